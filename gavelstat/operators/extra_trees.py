@@ -1,0 +1,164 @@
+"""Extremely randomised trees, grown level by level for all trees at once.
+
+MLlib has no learner that draws split points at random.  Here each level takes two
+passes over the rows.  The first finds, per open node, the range of every feature; a
+threshold is drawn inside it.  The second sums targets left of each threshold, and the
+best feature wins.  Tasks reduce their rows to one partial sum per node and feature
+before anything is shuffled, so the shuffle grows with the open nodes, not the rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gavelstat.operators.forest import Forest, Tree
+
+NODE_GROUP = 4096
+
+
+class _Growing:
+    """A tree under construction."""
+
+    def __init__(self):
+        self.feature, self.threshold, self.left, self.right = [], [], [], []
+        self.value, self.cover = [], []
+
+    def add(self, count: float, total: float) -> int:
+        self.feature.append(-1)
+        self.threshold.append(0.0)
+        self.left.append(-1)
+        self.right.append(-1)
+        self.value.append(total / count)
+        self.cover.append(count)
+        return len(self.feature) - 1
+
+    def frozen(self) -> Tree:
+        whole = lambda v: np.asarray(v, dtype=np.int64)
+        real = lambda v: np.asarray(v, dtype=float)
+        return Tree(whole(self.feature), real(self.threshold), whole(self.left), whole(self.right),
+                    real(self.value), real(self.cover))
+
+
+def fit_extra_trees(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    n_estimators: int = 300,
+    max_depth: int = 20,
+    min_samples_split: int = 10,
+    min_samples_leaf: int = 4,
+    seed: int = 42,
+) -> Forest:
+    """All rows train every tree; only the thresholds differ."""
+    df = df.select(*[F.col(c).cast("double") for c in [*features, target]])
+    count, total = df.agg(F.count("*"), F.sum(target)).first()
+    growing = [_Growing() for _ in range(n_estimators)]
+    open_nodes = [(t, g.add(float(count), float(total))) for t, g in enumerate(growing)]
+    for depth in range(max_depth):
+        open_nodes = [(t, n) for t, n in open_nodes if growing[t].cover[n] >= min_samples_split]
+        next_level = []
+        for start in range(0, len(open_nodes), NODE_GROUP):
+            group = open_nodes[start : start + NODE_GROUP]
+            next_level += _split_group(df, features, target, growing, group, min_samples_leaf, seed)
+        open_nodes = next_level
+        if not open_nodes:
+            break
+    return Forest([g.frozen() for g in growing], [1.0 / n_estimators] * n_estimators)
+
+
+def _split_group(df, features, target, growing, group, min_leaf, seed):
+    """Split the open nodes of one group; returns their children."""
+    p = len(features)
+    slots = {node: i for i, node in enumerate(group)}
+    members = {t: growing[t].frozen() for t, _ in group}
+    slot_of = {t: np.full(len(tree.feature), -1, dtype=np.int64) for t, tree in members.items()}
+    for (t, n), i in slots.items():
+        slot_of[t][n] = i
+    size = len(group)
+
+    low, high = np.full((size, p), np.inf), np.full((size, p), -np.inf)
+    for r in _partials(df, _ranges(members, slot_of, size, features), F.min("a"), F.max("b")):
+        low[r["slot"], r["feature"]], high[r["slot"], r["feature"]] = r["a"], r["b"]
+    draws = np.stack([np.random.default_rng([seed, t, n]).random(p) for t, n in group])
+    cuts = np.where(high > low, low + draws * (high - low), -np.inf)
+    cuts = np.where(cuts >= high, low, cuts)
+
+    n_left, sum_left = np.zeros((size, p)), np.zeros((size, p))
+    for r in _partials(df, _left_sums(members, slot_of, size, features, target, cuts), F.sum("a"), F.sum("b")):
+        n_left[r["slot"], r["feature"]], sum_left[r["slot"], r["feature"]] = r["a"], r["b"]
+
+    children = []
+    for (t, n), i in slots.items():
+        tree = growing[t]
+        count, total = tree.cover[n], tree.cover[n] * tree.value[n]
+        n_right, sum_right = count - n_left[i], total - sum_left[i]
+        valid = np.isfinite(cuts[i]) & (n_left[i] >= min_leaf) & (n_right >= min_leaf)
+        if not valid.any():
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(valid, sum_left[i] ** 2 / n_left[i] + sum_right**2 / n_right, -np.inf)
+        best = int(np.argmax(gain))
+        if gain[best] - total**2 / count <= 1e-12 * max(1.0, abs(gain[best])):
+            continue
+        tree.feature[n], tree.threshold[n] = best, float(cuts[i, best])
+        tree.left[n] = tree.add(float(n_left[i, best]), float(sum_left[i, best]))
+        tree.right[n] = tree.add(float(n_right[best]), float(sum_right[best]))
+        children += [(t, tree.left[n]), (t, tree.right[n])]
+    return children
+
+
+def _partials(df: DataFrame, kernel, merge_a, merge_b):
+    """Per-task partials merged over all tasks; at most NODE_GROUP x features rows."""
+    partial = df.mapInPandas(kernel, "slot int, feature int, a double, b double")
+    return partial.groupBy("slot", "feature").agg(merge_a.alias("a"), merge_b.alias("b")).collect()
+
+
+def _rows_in_nodes(x, members, slot_of):
+    for t, tree in members.items():
+        slot = slot_of[t][tree.leaf_of(x)]
+        inside = np.flatnonzero(slot >= 0)
+        if len(inside):
+            yield inside, slot[inside]
+
+
+def _emit(a: np.ndarray, b: np.ndarray, used: np.ndarray) -> pd.DataFrame:
+    slot, feature = np.nonzero(used)
+    return pd.DataFrame({"slot": slot.astype("int32"), "feature": feature.astype("int32"),
+                         "a": a[slot, feature], "b": b[slot, feature]})
+
+
+def _ranges(members, slot_of, size, features):
+    names, p = list(features), len(features)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = np.full((size, p), np.inf), np.full((size, p), -np.inf)
+        for batch in batches:
+            x = batch[names].to_numpy(float)
+            for rows, slot in _rows_in_nodes(x, members, slot_of):
+                np.minimum.at(low, slot, x[rows])
+                np.maximum.at(high, slot, x[rows])
+        yield _emit(low, high, low <= high)
+
+    return kernel
+
+
+def _left_sums(members, slot_of, size, features, target, cuts):
+    names, p = list(features), len(features)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, total = np.zeros((size, p)), np.zeros((size, p))
+        for batch in batches:
+            x, y = batch[names].to_numpy(float), batch[target].to_numpy(float)
+            for rows, slot in _rows_in_nodes(x, members, slot_of):
+                left = x[rows] <= cuts[slot]
+                for j in range(p):
+                    count[:, j] += np.bincount(slot, weights=left[:, j], minlength=size)
+                    total[:, j] += np.bincount(slot, weights=left[:, j] * y[rows], minlength=size)
+        yield _emit(count, total, count > 0)
+
+    return kernel
