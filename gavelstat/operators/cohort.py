@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstat.functions.columns import to_decimal
+from gavelstat.functions.columns import row_hash, to_decimal
+from gavelstat.functions.order_stats import select_ranks
 from gavelstat.schema import (
     AMOUNT_FLOOR,
     AMOUNT_LIMIT,
@@ -114,14 +115,26 @@ def filter_county(cohort: DataFrame, county: str | None) -> DataFrame:
 
 def restrict(
     cohort: DataFrame, judges: Sequence[str] = (), counties: Sequence[str] = (), limit: int | None = None,
-    order_by: Sequence[str] = (),
+    key: str = "internal_case_id", seed: int = 42,
 ) -> DataFrame:
-    """Cases of listed judges and counties, the first ``limit`` by ``order_by``; empty lists do not filter."""
+    """Cases of listed judges and counties, at most ``limit`` of them; empty lists do not filter.
+
+    The limited rows are those with the smallest key hashes.  A cutoff found by exact
+    selection picks them, so a limit of millions never passes through one task.
+    """
     if judges:
         cohort = cohort.filter(F.col("judge_name").isin(list(judges)))
     if counties:
         cohort = cohort.filter(F.col("county_name").isin(list(counties)))
-    return cohort.orderBy(*order_by).limit(limit) if limit is not None else cohort
+    if limit is None:
+        return cohort
+    place = row_hash(F.col(key), seed)
+    long = cohort.select(F.lit("rows").alias("series"), place.alias("x"))
+    _, found = select_ranks(long, lambda _, n: [limit - 1] if 0 < limit < n else [])
+    if limit <= 0:
+        return cohort.limit(0)
+    ranks = found.get("rows")
+    return cohort.filter(place <= F.lit(ranks[limit - 1][0])) if ranks else cohort
 
 
 def eligible_targets(dimension: DataFrame, name: str, count: str, min_cases: int = MIN_CASES) -> DataFrame:

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from gavelstat.functions.columns import row_hash
 from gavelstat.functions.order_stats import melt_numbers, select_ranks
+from gavelstat.functions.ranks import descending_rank
 from gavelstat.operators.forest import Forest, attributions, partial_dependence
 from gavelstat.schema import TARGET
 
 BUCKET_ROWS = 65_536
 GRID = 100
 GRID_RANGE = (0.05, 0.95)
+NOISE = 1e-9
 LEVELS = {"state": [], "county": ["county_name"], "judge": ["county_name", "judge_name"]}
 
 
@@ -99,18 +101,20 @@ def _level_strength(by_label: DataFrame, by_number: DataFrame, keys: list[str])
     overall = F.pow(F.sum("s"), 2) / F.sum("c")
     between = F.sum(F.col("s") * F.col("s") / F.col("c")) - overall
     total = F.sum("q") - overall
-    labels = merged.groupBy(*keys, "Feature").agg(_share(between, total).alias("strength"))
+    varies = total > NOISE * F.sum("q")
+    labels = merged.groupBy(*keys, "Feature").agg(_share(between, total, varies).alias("strength"))
     sums = {n: F.sum(n) for n in ("c", "sx", "sy", "sxx", "sxy", "syy")}
     cov = sums["sxy"] - sums["sx"] * sums["sy"] / sums["c"]
     vx = sums["sxx"] - sums["sx"] * sums["sx"] / sums["c"]
     vy = sums["syy"] - sums["sy"] * sums["sy"] / sums["c"]
-    numbers = by_number.groupBy(*keys, "Feature").agg(_share(cov * cov, vx * vy).alias("strength"))
+    varies = (vx > NOISE * sums["sxx"]) & (vy > NOISE * sums["syy"])
+    numbers = by_number.groupBy(*keys, "Feature").agg(_share(cov * cov, vx * vy, varies).alias("strength"))
     return labels.unionByName(numbers)
 
 
-def _share(part: Column, whole: Column, noise: float = 1e-9) -> Column:
+def _share(part: Column, whole: Column, varies: Column) -> Column:
     """Ratio of two sums, 0 where the whole is nothing but rounding."""
-    return F.when(whole > F.lit(noise), part / whole).otherwise(F.lit(0.0))
+    return F.when(varies, part / whole).otherwise(F.lit(0.0))
 
 
 def association_profile(
@@ -155,8 +159,7 @@ def correlation_compare(
     general = _correlations(df, outer, features, target).withColumnRenamed("correlation", "general_correlation")
     joined = mine.join(general, [*outer, "Feature"])
     compared = joined.withColumn("difference", F.col("correlation") - F.col("general_correlation"))
-    order = Window.partitionBy(*outer, "Feature").orderBy(F.desc_nulls_last(F.round("difference", 9)))
-    return compared.withColumn("rank", F.rank().over(order))
+    return descending_rank(compared, [*outer, "Feature"], F.round("difference", 9))
 
 
 # ---- partial dependence ----

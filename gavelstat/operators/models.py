@@ -136,7 +136,7 @@ class FittedModel:
         stage = self.model.stages[-1] if self.model is not None else None
         if stage is None or not hasattr(stage, "coefficients"):
             return None
-        return list(stage.coefficients.toArray()), float(stage.intercept)
+        return [float(w) for w in stage.coefficients.toArray()], float(stage.intercept)
 
     def importances(self) -> list[float] | None:
         """Share of the impurity reduction per feature; None for linear and bagged models."""

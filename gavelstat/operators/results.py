@@ -100,5 +100,5 @@ def params_json(params: Column) -> Column:
 
 def with_duration(runs: DataFrame) -> DataFrame:
     """Elapsed seconds from the start and end stored with each run."""
-    seconds = F.col("ended_at").cast("double") - F.col("started_at").cast("double")
-    return runs.withColumn("time_elapsed", seconds)
+    begin, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("started_at", "ended_at"))
+    return runs.withColumn("time_elapsed", (end - begin) / 1_000_000)

@@ -22,6 +22,7 @@ from gavelstat.plans.catalog import (
 )
 from gavelstat.schema import COHORT_COLUMNS, QUERY_LIMIT
 from gavelstat.sources.star import table_sizes
+from gavelstat.workspace import materialize
 
 CASE_COLUMNS = [KEY, "first_bail_set_cash", "top_charge_weight_at_arraign", "known_days_in_custody"]
 CASE_LIST = ", ".join(CASE_COLUMNS)
@@ -110,12 +111,11 @@ def filter_county(spark, sf_dir):
     "query_params",
     f"""{WITH_BASE} SELECT internal_case_id, judge_name, county_name, first_bail_set_cash FROM base
  WHERE county_name IN ('NATION_1', 'NATION_2', 'NATION_3')
- ORDER BY internal_case_id LIMIT {QUERY_LIMIT}""",
+ ORDER BY md5('42:' || internal_case_id) LIMIT {QUERY_LIMIT}""",
 )
 def query_params(spark, sf_dir):
-    picked = K.restrict(
-        cohort_of(spark, sf_dir), counties=["NATION_1", "NATION_2", "NATION_3"], limit=QUERY_LIMIT, order_by=[KEY]
-    )
+    cohort = materialize(cohort_of(spark, sf_dir), "cohort")
+    picked = K.restrict(cohort, counties=["NATION_1", "NATION_2", "NATION_3"], limit=QUERY_LIMIT)
     return picked.select(KEY, "judge_name", "county_name", "first_bail_set_cash")
 
 

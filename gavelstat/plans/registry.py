@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gavelstat.plans import catalog
-from gavelstat.plans import cohort_queries, prepare_queries, rollup_queries  # noqa: F401
+from gavelstat.plans import cohort_queries, model_queries, prepare_queries, result_queries, rollup_queries  # noqa: F401
 
 
 def queries():
