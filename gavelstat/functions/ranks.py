@@ -18,24 +18,44 @@ def descending_rank(
 ) -> DataFrame:
     """``rank()`` by falling ``value`` within each ``by`` group, missing values last.
 
-    Up to ``window_rows`` rows a plain window does.  Beyond, each group is cut at
-    approximate quantiles; a row's rank is its rank in its slice plus the rows in higher slices.
-    Equal values share a slice, so any cuts give the same ranks.
+    Up to ``window_rows`` rows a plain window does.  Beyond, values are counted first, so ties
+    weigh nothing, and each group's distinct values are cut at approximate quantiles: a rank
+    is one plus the rows with higher values in the same slice and in higher slices.
     """
     by = list(by)
-    ranked = materialize(df.withColumn("__value", value), "ranked")
-    order = F.desc_nulls_last("__value")
-    if ranked.count() <= window_rows:
-        return ranked.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(order))).drop("__value")
+    rows = materialize(df.withColumn("__value", value), "ranked")
+    if rows.count() <= window_rows:
+        order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("__value"))
+        return rows.withColumn(name, F.rank().over(order)).drop("__value")
+    ranks = _value_ranks(rows, by).select(
+        *[F.col(b).alias(f"__{b}") for b in by], F.col("__value").alias("__v"),
+        F.col("__rank").cast("int").alias(name),
+    )
+    same = F.col("__value").eqNullSafe(F.col("__v"))
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    return rows.join(ranks, same).select(*[c for c in rows.columns if c != "__value"], name)
+
+
+def _value_ranks(rows: DataFrame, by: list[str]) -> DataFrame:
+    values = materialize(rows.groupBy(*by, "__value").agg(F.count("*").alias("__n")), "values")
     steps = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    cuts = ranked.groupBy(*by).agg(F.percentile_approx("__value", steps, F.lit(2000)).alias("__cuts"))
+    cuts = values.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(
+        F.percentile_approx("__value", steps, F.lit(2000)).alias("__cuts")
+    )
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
     above = F.array_size(F.filter("__cuts", lambda c: c > F.col("__value")))
-    last = F.lit(SLICES)  # rows without a value
-    sliced = ranked.join(cuts, by, "left").withColumn("__slice", F.coalesce(above, last)).drop("__cuts")
-    sizes = sliced.groupBy(*by, "__slice").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = F.rank().over(Window.partitionBy(*by, "__slice").orderBy(order))
-    joined = sliced.withColumn("__rank", inside).join(offsets, [*by, "__slice"])
-    result = joined.withColumn(name, (F.col("__rank") + F.col("__offset")).cast("int"))
-    return result.select(*[c for c in ranked.columns if c != "__value"], name)
+    number = F.when(F.col("__value").isNull(), F.lit(SLICES)).otherwise(above)
+    sliced = values.join(cuts, same).select(*values.columns, number.alias("__slice"))
+    before = lambda *keys: Window.partitionBy(*by, *keys).rowsBetween(Window.unboundedPreceding, -1)
+    higher = F.sum("__n").over(before("__slice").orderBy(F.desc_nulls_last("__value")))
+    inside = sliced.withColumn("__inside", F.coalesce(higher, F.lit(0)))
+    sizes = sliced.groupBy(*by, "__slice").agg(F.sum("__n").alias("__m"))
+    offset = F.coalesce(F.sum("__m").over(before().orderBy("__slice")), F.lit(0))
+    offsets = sizes.select(
+        *[F.col(b).alias(f"__{b}") for b in by], F.col("__slice").alias("__s"), offset.alias("__offset")
+    )
+    joined = inside.join(offsets, same & (F.col("__slice") == F.col("__s")))
+    return joined.select(*by, "__value", (F.col("__inside") + F.col("__offset") + 1).alias("__rank"))

@@ -302,7 +302,7 @@ def train(
         return FittedModel(model_type, features, merged, forest=_fit_bagging(df, features, target, merged, key))
     scale = None
     if model_type == "ridge":
-        row = df.agg(F.stddev_samp(target), F.count(target)).first()
+        row = df.agg(F.stddev_pop(target), F.count(target)).first()
         scale = (row[0], row[1])
     assembler = VectorAssembler(inputCols=features, outputCol=VECTOR)
     pipeline = Pipeline(stages=[assembler, estimator(model_type, target, params, scale)])
@@ -463,7 +463,7 @@ def _score_by_hold_out(df, features, model_type, options, target, train_ratio) -
 def _score_by_validation(df, features, model_type, options, target, parallelism, train_ratio) -> list[float]:
     scale = None
     if model_type == "ridge":
-        row = df.agg(F.stddev_samp(target), F.count(target)).first()
+        row = df.agg(F.stddev_pop(target), F.count(target)).first()
         scale = (row[0], row[1])
     vectors = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(df.select(*features, target))
     base = estimator(model_type, target, None, scale)

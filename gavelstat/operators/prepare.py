@@ -277,6 +277,7 @@ def fit(
     scale: Sequence[str] = SCALED_COLUMNS,
     text_numeric: str = "lexical",
     null_policy: str = "impute",
+    cap_quantile: float = CAP_QUANTILE,
 ) -> Preparation:
     """Learn the preparation from a cohort that is cheap to read several times.
 
@@ -287,7 +288,7 @@ def fit(
     body = drop_array_columns(cohort).drop(*keep)
     parsed = [c for c in TEXT_NUMBERS if c in body.columns] if text_numeric == "numeric" else []
     body = coerce_target(body, raw).withColumns({c: to_number(F.col(c)) for c in parsed})
-    cap = quantiles(body, {TARGET: [CAP_QUANTILE]})[TARGET][CAP_QUANTILE]
+    cap = quantiles(body, {TARGET: [cap_quantile]})[TARGET][cap_quantile]
     if cap is None:
         raise ValueError("the cohort has no amounts to learn from")
     body = body.filter(F.col(TARGET) <= F.lit(cap))

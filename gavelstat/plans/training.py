@@ -72,7 +72,8 @@ def _fit_on_train(cohort, key, keep, seed, options):
     capped = materialize(P.quantile_cap(materialize(parsed, "target")), "capped")
     parts = materialize(stratified_split(capped, F.col(key), seed=seed).select(key, "stratum", "split"), "parts")
     labelled = cohort.join(parts, key)
-    learned = P.fit(materialize(labelled.filter("split = 'train'").drop("stratum", "split"), "train"), keep, **options)
+    train_rows = materialize(labelled.filter("split = 'train'").drop("stratum", "split"), "train")
+    learned = P.fit(train_rows, keep, cap_quantile=1.0, **options)  # the cap has been applied already
     return learned, learned.transform(labelled, [*keep, "stratum", "split"], unseen="keep")
 
 
