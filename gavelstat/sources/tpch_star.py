@@ -10,12 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavelstat.schema import Star
+from gavelstat.workspace import spread
+
+
+_SCHEMAS: dict[str, T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table; its footer is read for the schema once per process, not once per use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _text(value):
@@ -32,7 +41,7 @@ def bind_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     No join is hinted: dimension sizes grow with the data, so the planner decides by
     their statistics and adaptive execution corrects it.
     """
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lines, orders = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders")
     customers, parts = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
     suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     joined = (

@@ -49,6 +49,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gavelstat/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a plain scan that has fewer read tasks than there are cores.
+
+    A table stored as a few small files would otherwise keep the joins above it, and every
+    table written from it, on as few tasks.  A large table is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return the table read back."""
     path = new_path(df.sparkSession, label)
