@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_LABELS = 100_000
 SLICE_LABELS = 50_000
 MAX_SLICES = 512
 BROADCAST_LABELS = 200_000
+INLINE_LABELS = 32
 
 
 def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -85,25 +86,46 @@ def _sliced_codes(labels: DataFrame, feature: str, size: int, slice_labels: int)
     )
 
 
-def join_codes(df: DataFrame, codes: DataFrame, sizes: dict[str, int], unseen: str = "error") -> DataFrame:
+def short_label_lists(codes: DataFrame, sizes: dict[str, int]) -> dict[str, list[str]]:
+    """Labels in code order of the features that have at most ``INLINE_LABELS``."""
+    short = [f for f, n in sizes.items() if n <= INLINE_LABELS]
+    lists: dict[str, list[str]] = {f: [] for f in short}
+    for r in codes.filter(F.col("feature").isin(short)).orderBy("feature", "code").collect():
+        lists[r["feature"]].append(r["value"])
+    return lists
+
+
+def apply_codes(
+    df: DataFrame, codes: DataFrame, sizes: dict[str, int], inline: dict[str, list[str]], unseen: str = "error"
+) -> DataFrame:
     """Replace each coded column by its code.
 
     ``unseen='error'`` raises on a label without a code, ``'keep'`` gives the next free
-    code.  Small code tables are broadcast after their size has been counted; a larger one is
-    joined on the label, where adaptive execution splits a dominant label.
+    code.  Short label lists are part of the expression.  Longer ones are joined: broadcast
+    if their counted size allows it, else shuffled on the label, where adaptive execution
+    splits a dominant one.
     """
     order = df.columns
-    for feature, size in sizes.items():
+    short = {}
+    for feature in (f for f in sizes if f in inline):
+        label = F.col(feature)
+        place = F.array_position(F.lit(inline[feature]).cast("array<string>"), label) - 1
+        known = F.when(place >= 0, place)
+        short[feature] = _code(feature, label, known, sizes[feature], unseen)
+    df = df.withColumns(short) if short else df
+    for feature in (f for f in sizes if f not in inline):
         table = codes.filter(F.col("feature") == feature).select(
             F.col("value").alias(feature), F.col("code").alias("__code")
         )
-        table = F.broadcast(table) if size <= BROADCAST_LABELS else table
-        label = F.col(feature)
-        if unseen == "error":
-            message = F.concat(F.lit(f"unseen label in {feature}: "), label)
-            code = F.when(F.col("__code").isNull() & label.isNotNull(), F.raise_error(message).cast("bigint"))
-            code = code.otherwise(F.col("__code"))
-        else:
-            code = F.when(label.isNotNull(), F.coalesce("__code", F.lit(size)))
-        df = df.join(table, feature, "left").withColumn(feature, code.cast("double")).drop("__code")
+        table = F.broadcast(table) if sizes[feature] <= BROADCAST_LABELS else table
+        code = _code(feature, F.col(feature), F.col("__code"), sizes[feature], unseen)
+        df = df.join(table, feature, "left").withColumn(feature, code).drop("__code")
     return df.select(order)
+
+
+def _code(feature: str, label: Column, known: Column, size: int, unseen: str) -> Column:
+    if unseen == "error":
+        message = F.concat(F.lit(f"unseen label in {feature}: "), label)
+        missing = known.isNull() & label.isNotNull()
+        return F.when(missing, F.raise_error(message).cast("double")).otherwise(known.cast("double"))
+    return F.when(label.isNotNull(), F.coalesce(known, F.lit(size))).cast("double")

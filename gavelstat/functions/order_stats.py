@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 1024
+FETCH_ROWS = 20_000
 MAX_SERIES = 10_000
 
 
@@ -32,64 +34,92 @@ def _present(name: str, dtype: str) -> Column:
 
 
 def select_ranks(
-    long: DataFrame, wanted: Callable[[object, int], Sequence[int]]
+    long: DataFrame,
+    wanted: Callable[[object, int], Sequence[int]],
+    known: dict[object, tuple[int, float, float]] | None = None,
 ) -> tuple[dict[object, int], dict[object, dict[int, tuple]]]:
     """Values at given zero-based ranks of each series of ``long(series, x)``.
 
-    ``wanted(series, n)`` names the ranks.  Returns the sizes and, per series and
+    ``wanted(series, n)`` names the ranks.  ``known`` gives each series' size and bounds on its
+    values if the caller has them already.  Returns the sizes and, per series and
     rank, ``(value, rows below it, rows equal to it)``.
     """
-    spark = long.sparkSession
-    extent = (
+    extent = known if known is not None else _extent(long)
+    sizes = {s: n for s, (n, _, _) in extent.items()}
+    found: dict[object, dict[int, tuple]] = {s: {} for s in sizes}
+    active = []
+    for series, (n, lo, hi) in extent.items():
+        ranks = sorted(set(wanted(series, n)))
+        if ranks:
+            active.append(_Range(series, lo, hi, 0, n, ranks))
+    while active:
+        for r in active:
+            if r.lo == r.hi:
+                found[r.series].update({rank: (r.lo, r.below, r.count) for rank in r.ranks})
+        active = [r for r in active if r.lo != r.hi]
+        if active:
+            fetch = sum(r.count for r in active) <= FETCH_ROWS
+            active = _narrow(long, active, fetch)
+    return sizes, found
+
+
+@dataclass(frozen=True)
+class _Range:
+    """Values between ``lo`` and ``hi`` still in play for some ranks of a series."""
+
+    series: object
+    lo: float
+    hi: float
+    below: int
+    count: int
+    ranks: list[int]
+
+
+def _extent(long: DataFrame) -> dict[object, tuple]:
+    rows = (
         long.groupBy("series")
         .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .limit(MAX_SERIES + 1)
         .collect()
     )
-    if len(extent) > MAX_SERIES:
+    if len(rows) > MAX_SERIES:
         raise ValueError(f"more than {MAX_SERIES} series in one selection")
-    sizes = {r["series"]: r["n"] for r in extent}
-    found: dict[object, dict[int, tuple]] = {s: {} for s in sizes}
-    active = []
-    for row in extent:
-        ranks = sorted(set(wanted(row["series"], row["n"])))
-        if ranks:
-            active.append((row["series"], row["lo"], row["hi"], 0, row["n"], ranks))
-    value_type = long.schema["x"].dataType.simpleString()
-    while active:
-        pending = []
-        for series, lo, hi, below, count, ranks in active:
-            if lo == hi:
-                found[series].update({r: (lo, below, count) for r in ranks})
-            else:
-                pending.append((series, lo, hi, below, count, ranks))
-        if not pending:
-            break
-        ranges = spark.createDataFrame(
-            [(p[0], i, p[1], p[2]) for i, p in enumerate(pending)],
-            f"series {long.schema['series'].dataType.simpleString()}, part int, "
-            f"lo {value_type}, hi {value_type}",
-        )
-        position = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(CELLS))
-        cells = (
-            long.join(F.broadcast(ranges), "series")
-            .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-            .groupBy("part", F.least(F.floor(position), F.lit(CELLS - 1)).alias("cell"))
-            .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .collect()
-        )
-        by_part: dict[int, list] = {}
-        for cell in cells:
-            by_part.setdefault(cell["part"], []).append(cell)
-        active = []
-        for part, (series, _, _, below, _, ranks) in enumerate(pending):
-            start = below
-            for cell in sorted(by_part[part], key=lambda c: c["cell"]):
-                inside = [r for r in ranks if start <= r < start + cell["n"]]
-                if inside:
-                    active.append((series, cell["lo"], cell["hi"], start, cell["n"], inside))
-                start += cell["n"]
-    return sizes, found
+    return {r["series"]: (r["n"], r["lo"], r["hi"]) for r in rows}
+
+
+def _narrow(long: DataFrame, active: list[_Range], fetch: bool) -> list[_Range]:
+    """One pass: cut each range into cells and keep those that hold a wanted rank.
+
+    With few rows left (``fetch``) every distinct value is a cell of its own.
+    """
+    kinds = dict(long.dtypes)
+    ranges = long.sparkSession.createDataFrame(
+        [(r.series, i, r.lo, r.hi) for i, r in enumerate(active)],
+        f"series {kinds['series']}, part int, lo {kinds['x']}, hi {kinds['x']}",
+    )
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    cell = x if fetch else F.least(F.floor((x - lo) / (hi - lo) * F.lit(float(CELLS))), F.lit(CELLS - 1))
+    cells = (
+        long.join(F.broadcast(ranges), "series")
+        .filter((x >= lo) & (x <= hi))
+        .groupBy("part", cell.alias("cell"))
+        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .drop("cell")
+        .toArrow()
+        .to_pylist()
+    )
+    by_part: dict[int, list] = {}
+    for c in sorted(cells, key=lambda c: (c["part"], c["lo"])):
+        by_part.setdefault(c["part"], []).append(c)
+    kept = []
+    for part, r in enumerate(active):
+        start = r.below
+        for c in by_part[part]:
+            inside = [rank for rank in r.ranks if start <= rank < start + c["n"]]
+            if inside:
+                kept.append(_Range(r.series, c["lo"], c["hi"], start, c["n"], inside))
+            start += c["n"]
+    return kept
 
 
 def quantiles(df: DataFrame, probabilities: dict[str, Sequence[float]]) -> dict[str, dict[float, float]]:

@@ -8,7 +8,7 @@ row gets the same codes, fills and scales as the rows the model saw.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,17 +92,22 @@ class LabelEncoder:
 
     codes: DataFrame
     sizes: dict[str, int]
+    inline: dict[str, list[str]]
 
     def transform(self, df: DataFrame, unseen: str = "error") -> DataFrame:
         present = {f: n for f, n in self.sizes.items() if f in df.columns}
-        return C.join_codes(df, self.codes, present, unseen)
+        return C.apply_codes(df, self.codes, present, self.inline, unseen)
 
 
 def fit_labels(df: DataFrame, columns: Sequence[str]) -> LabelEncoder:
     freq = materialize(C.frequencies(df, columns), "labels")
-    sizes = {f: n for f, (n, _) in C.label_summary(freq).items()}
-    labels = freq.filter(F.col("value").isNotNull())
-    return LabelEncoder(materialize(C.rank_codes(labels, sizes), "codes"), sizes)
+    return _encoder(freq, {f: n for f, (n, _) in C.label_summary(freq).items()})
+
+
+def _encoder(freq: DataFrame, sizes: dict[str, int]) -> LabelEncoder:
+    labels = freq.filter(F.col("value").isNotNull() & F.col("feature").isin(list(sizes)))
+    codes = materialize(C.rank_codes(labels, sizes), "codes")
+    return LabelEncoder(codes, sizes, C.short_label_lists(codes, sizes))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -270,7 +275,7 @@ class Preparation:
         return df.withColumns(scaled)
 
 
-def fit(
+def prepare(
     cohort: DataFrame,
     keep: Sequence[str] = (),
     raw: str = RAW_TARGET,
@@ -278,8 +283,10 @@ def fit(
     text_numeric: str = "lexical",
     null_policy: str = "impute",
     cap_quantile: float = CAP_QUANTILE,
-) -> Preparation:
-    """Learn the preparation from a cohort that is cheap to read several times.
+) -> tuple[DataFrame, Preparation]:
+    """Learn the preparation from a stored cohort, and the cohort prepared by it.
+
+    The encoded rows are written once; the scaling learned from them is a projection on top.
 
     ``text_numeric='lexical'`` keeps numbers stored as text as labels in string order;
     ``'numeric'`` parses them.  ``null_policy='impute'`` fills a missing label by the mode,
@@ -303,24 +310,21 @@ def fit(
     summary = C.label_summary(freq)
     modes = {c: top for c, (_, top) in summary.items()}
     sizes = {c: n for c, (n, _) in summary.items() if c != severity}
-    labels = freq.filter(F.col("value").isNotNull() & F.col("feature").isin(list(sizes)))
-    encoder = LabelEncoder(materialize(C.rank_codes(labels, sizes), "codes"), sizes)
+    encoder = _encoder(freq, sizes)
     draft = Preparation(
         raw, cap, 1.0, numeric, categorical, severity, medians, modes, encoder, {}, parsed, null_policy
     )
-    encoded = draft.transform(cohort, cap=True)
-    present = [c for c in scale if c in encoded.columns]
+    encoded = materialize(draft.transform(cohort, keep, cap=True), "encoded")
+    present = [c for c in scale if c in draft.features]
     aggs = [F.max(TARGET).alias("largest")]
     for c in present:
         aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
     row = encoded.agg(*aggs).first()
     moments = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in present}
-    return Preparation(
-        raw, cap, row["largest"], numeric, categorical, severity, medians, modes, encoder, moments, parsed, null_policy
-    )
+    learned = replace(draft, largest=row["largest"], moments=moments)
+    return learned._scale(encoded), learned
 
 
-def prepare(cohort: DataFrame, keep: Sequence[str] = (), **options) -> tuple[DataFrame, Preparation]:
-    """Fit on a cohort and prepare it: capped, filled, encoded, scaled."""
-    learned = fit(cohort, keep, **options)
-    return learned.transform(cohort, keep, cap=True), learned
+def fit(cohort: DataFrame, keep: Sequence[str] = (), **options) -> Preparation:
+    """Learn the preparation alone."""
+    return prepare(cohort, keep, **options)[1]

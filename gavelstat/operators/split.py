@@ -20,6 +20,7 @@ from gavelstat.schema import TARGET
 BINS = 20
 TEST_SHARE = 0.2
 TIE_LIMIT = 100_000
+HASH_TOP = 2**60 - 1
 
 
 def allot(counts: dict[int, int], test_total: int) -> dict[int, int]:
@@ -86,7 +87,8 @@ def stratified_split(
     share = allot(counts, test_total)
     hashed = binned.withColumn("__h", row_hash(key, seed)).withColumn("__key", key)
     long = hashed.select(F.col("stratum").alias("series"), F.col("__h").alias("x"))
-    _, found = select_ranks(long, lambda s, _: [share[s] - 1] if share[s] else [])
+    known = {s: (c, 0, HASH_TOP) for s, c in counts.items()}
+    _, found = select_ranks(long, lambda s, _: [share[s] - 1] if share[s] else [], known)
     is_test = F.lit(False)
     for s, ranks in sorted(found.items()):
         if not share[s]:

@@ -247,8 +247,7 @@ def _per_group_sql(column):
 
 def _prepared(spark, sf_dir, column):
     cohort = materialize(cohort_of(spark, sf_dir).withColumn("target", F.col(column)), "cohort")
-    prepared, learned = P.prepare(cohort, [KEY, "target"])
-    return materialize(prepared, "prepared"), learned
+    return P.prepare(cohort, [KEY, "target"])
 
 
 def _per_group(spark, sf_dir, column):

@@ -63,7 +63,7 @@ def prepared_split(
         learned, rows = _fit_on_train(cohort, key, keep, seed, options)
     else:
         prepared, learned = P.prepare(cohort, keep, **options)
-        rows = stratified_split(materialize(prepared, "prepared"), F.col(key), seed=seed)
+        rows = stratified_split(prepared, F.col(key), seed=seed)
     return cohort, materialize(rows, "split"), learned
 
 
