@@ -9,6 +9,7 @@ so no task sees more than a slice of them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ WINDOW_LABELS = 100_000
 SLICE_LABELS = 50_000
 MAX_SLICES = 512
 BROADCAST_LABELS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 INLINE_LABELS = 32
 
 
@@ -32,18 +34,31 @@ def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def label_summary(freq: DataFrame) -> dict[str, tuple[int, str | None]]:
-    """Per feature: number of labels and the most frequent one, smallest on ties."""
+class LabelInfo(NamedTuple):
+    """Number of labels of a feature, the most frequent one, and their total length in bytes."""
+
+    labels: int
+    mode: str
+    size: int
+
+    @property
+    def fits_broadcast(self) -> bool:
+        return self.labels <= BROADCAST_LABELS and self.size <= BROADCAST_BYTES
+
+
+def label_summary(freq: DataFrame) -> dict[str, LabelInfo]:
+    """Facts per feature; of equally frequent labels the smallest is the mode."""
     rows = (
         freq.filter(F.col("value").isNotNull())
         .groupBy("feature")
         .agg(
             F.count("*").alias("labels"),
             F.min(F.struct((-F.col("n")).alias("neg"), "value")).alias("top"),
+            F.sum(F.octet_length("value").cast("bigint")).alias("size"),
         )
         .collect()
     )
-    return {r["feature"]: (r["labels"], r["top"]["value"]) for r in rows}
+    return {r["feature"]: LabelInfo(r["labels"], r["top"]["value"], r["size"]) for r in rows}
 
 
 def rank_codes(
@@ -86,9 +101,9 @@ def _sliced_codes(labels: DataFrame, feature: str, size: int, slice_labels: int)
     )
 
 
-def short_label_lists(codes: DataFrame, sizes: dict[str, int]) -> dict[str, list[str]]:
+def short_label_lists(codes: DataFrame, facts: dict[str, LabelInfo]) -> dict[str, list[str]]:
     """Labels in code order of the features that have at most ``INLINE_LABELS``."""
-    short = [f for f, n in sizes.items() if n <= INLINE_LABELS]
+    short = [f for f, info in facts.items() if info.labels <= INLINE_LABELS]
     lists: dict[str, list[str]] = {f: [] for f in short}
     for r in codes.filter(F.col("feature").isin(short)).orderBy("feature", "code").collect():
         lists[r["feature"]].append(r["value"])
@@ -96,7 +111,7 @@ def short_label_lists(codes: DataFrame, sizes: dict[str, int]) -> dict[str, list
 
 
 def apply_codes(
-    df: DataFrame, codes: DataFrame, sizes: dict[str, int], inline: dict[str, list[str]], unseen: str = "error"
+    df: DataFrame, codes: DataFrame, facts: dict[str, LabelInfo], inline: dict[str, list[str]], unseen: str = "error"
 ) -> DataFrame:
     """Replace each coded column by its code.
 
@@ -107,18 +122,18 @@ def apply_codes(
     """
     order = df.columns
     short = {}
-    for feature in (f for f in sizes if f in inline):
+    for feature in (f for f in facts if f in inline):
         label = F.col(feature)
         place = F.array_position(F.lit(inline[feature]).cast("array<string>"), label) - 1
         known = F.when(place >= 0, place)
-        short[feature] = _code(feature, label, known, sizes[feature], unseen)
+        short[feature] = _code(feature, label, known, facts[feature].labels, unseen)
     df = df.withColumns(short) if short else df
-    for feature in (f for f in sizes if f not in inline):
+    for feature in (f for f in facts if f not in inline):
         table = codes.filter(F.col("feature") == feature).select(
             F.col("value").alias(feature), F.col("code").alias("__code")
         )
-        table = F.broadcast(table) if sizes[feature] <= BROADCAST_LABELS else table
-        code = _code(feature, F.col(feature), F.col("__code"), sizes[feature], unseen)
+        table = F.broadcast(table) if facts[feature].fits_broadcast else table
+        code = _code(feature, F.col(feature), F.col("__code"), facts[feature].labels, unseen)
         df = df.join(table, feature, "left").withColumn(feature, code).drop("__code")
     return df.select(order)
 

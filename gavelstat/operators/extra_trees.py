@@ -13,12 +13,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelstat.operators.forest import Forest, Tree
 
-NODE_GROUP = 4096
+NODE_GROUP = 65_536
 
 
 class _Growing:
@@ -73,27 +73,26 @@ def fit_extra_trees(
 
 def _split_group(df, features, target, growing, group, min_leaf, seed):
     """Split the open nodes of one group; returns their children."""
-    p = len(features)
-    slots = {node: i for i, node in enumerate(group)}
-    members = {t: growing[t].frozen() for t, _ in group}
+    p, size = len(features), len(group)
+    members = {t: growing[t].frozen() for t in {t for t, _ in group}}
     slot_of = {t: np.full(len(tree.feature), -1, dtype=np.int64) for t, tree in members.items()}
-    for (t, n), i in slots.items():
+    for i, (t, n) in enumerate(group):
         slot_of[t][n] = i
-    size = len(group)
-
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast((members, slot_of))
     low, high = np.full((size, p), np.inf), np.full((size, p), -np.inf)
-    for r in _partials(df, _ranges(members, slot_of, size, features), F.min("a"), F.max("b")):
-        low[r["slot"], r["feature"]], high[r["slot"], r["feature"]] = r["a"], r["b"]
+    _merge(df, _ranges(shared, size, list(features)), F.min("a"), F.max("b"), low, high)
     draws = np.stack([np.random.default_rng([seed, t, n]).random(p) for t, n in group])
-    cuts = np.where(high > low, low + draws * (high - low), -np.inf)
+    with np.errstate(invalid="ignore"):
+        cuts = np.where(high > low, low + draws * (high - low), -np.inf)
     cuts = np.where(cuts >= high, low, cuts)
 
     n_left, sum_left = np.zeros((size, p)), np.zeros((size, p))
-    for r in _partials(df, _left_sums(members, slot_of, size, features, target, cuts), F.sum("a"), F.sum("b")):
-        n_left[r["slot"], r["feature"]], sum_left[r["slot"], r["feature"]] = r["a"], r["b"]
+    kernel = _left_sums(shared, context.broadcast(cuts), size, list(features), target)
+    _merge(df, kernel, F.sum("a"), F.sum("b"), n_left, sum_left)
 
     children = []
-    for (t, n), i in slots.items():
+    for i, (t, n) in enumerate(group):
         tree = growing[t]
         count, total = tree.cover[n], tree.cover[n] * tree.value[n]
         n_right, sum_right = count - n_left[i], total - sum_left[i]
@@ -112,13 +111,16 @@ def _split_group(df, features, target, growing, group, min_leaf, seed):
     return children
 
 
-def _partials(df: DataFrame, kernel, merge_a, merge_b):
-    """Per-task partials merged over all tasks; at most NODE_GROUP x features rows."""
+def _merge(df: DataFrame, kernel, merge_a: Column, merge_b: Column, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge per-task partials into the arrays; at most NODE_GROUP x features rows come back."""
     partial = df.mapInPandas(kernel, "slot int, feature int, a double, b double")
-    return partial.groupBy("slot", "feature").agg(merge_a.alias("a"), merge_b.alias("b")).collect()
+    rows = partial.groupBy("slot", "feature").agg(merge_a.alias("a"), merge_b.alias("b")).toArrow()
+    at = rows["slot"].to_numpy(), rows["feature"].to_numpy()
+    a[at], b[at] = rows["a"].to_numpy(), rows["b"].to_numpy()
 
 
-def _rows_in_nodes(x, members, slot_of):
+def _rows_in_nodes(x, shared):
+    members, slot_of = shared.value
     for t, tree in members.items():
         slot = slot_of[t][tree.leaf_of(x)]
         inside = np.flatnonzero(slot >= 0)
@@ -132,14 +134,12 @@ def _emit(a: np.ndarray, b: np.ndarray, used: np.ndarray) -> pd.DataFrame:
                          "a": a[slot, feature], "b": b[slot, feature]})
 
 
-def _ranges(members, slot_of, size, features):
-    names, p = list(features), len(features)
-
+def _ranges(shared, size: int, names: list[str]):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low, high = np.full((size, p), np.inf), np.full((size, p), -np.inf)
+        low, high = np.full((size, len(names)), np.inf), np.full((size, len(names)), -np.inf)
         for batch in batches:
             x = batch[names].to_numpy(float)
-            for rows, slot in _rows_in_nodes(x, members, slot_of):
+            for rows, slot in _rows_in_nodes(x, shared):
                 np.minimum.at(low, slot, x[rows])
                 np.maximum.at(high, slot, x[rows])
         yield _emit(low, high, low <= high)
@@ -147,18 +147,15 @@ def _ranges(members, slot_of, size, features):
     return kernel
 
 
-def _left_sums(members, slot_of, size, features, target, cuts):
-    names, p = list(features), len(features)
-
+def _left_sums(shared, cuts, size: int, names: list[str], target: str):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, total = np.zeros((size, p)), np.zeros((size, p))
+        count, total = np.zeros((size, len(names))), np.zeros((size, len(names)))
         for batch in batches:
             x, y = batch[names].to_numpy(float), batch[target].to_numpy(float)
-            for rows, slot in _rows_in_nodes(x, members, slot_of):
-                left = x[rows] <= cuts[slot]
-                for j in range(p):
-                    count[:, j] += np.bincount(slot, weights=left[:, j], minlength=size)
-                    total[:, j] += np.bincount(slot, weights=left[:, j] * y[rows], minlength=size)
+            for rows, slot in _rows_in_nodes(x, shared):
+                row, feature = np.nonzero(x[rows] <= cuts.value[slot])
+                np.add.at(count, (slot[row], feature), 1.0)
+                np.add.at(total, (slot[row], feature), y[rows][row])
         yield _emit(count, total, count > 0)
 
     return kernel

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstat.workspace import new_path
+from gavelstat.workspace import drop_at_exit, new_path
 
 GROUP_NODES = 2_000_000
 
@@ -157,6 +157,7 @@ def read_trees(model) -> list[Tree]:
     spark = SparkSession.getActiveSession()
     path = new_path(spark, "trees")
     model.write().save(path)
+    drop_at_exit(spark, path)
     return trees_from_table(spark.read.parquet(f"{path}/data"))
 
 

@@ -75,7 +75,7 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill missing labels by the most frequent one, the smallest on ties."""
     top = C.label_summary(C.frequencies(df, columns))
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(top[c][1])) for c in columns if c in top})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(top[c].mode)) for c in columns if c in top})
 
 
 def map_severity(df: DataFrame, column: str = SEVERITY) -> DataFrame:
@@ -88,26 +88,26 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class LabelEncoder:
-    """Fitted label codes: one table over all features, plus the labels per feature."""
+    """Fitted label codes: one table over all features, and facts about each."""
 
     codes: DataFrame
-    sizes: dict[str, int]
+    facts: dict[str, C.LabelInfo]
     inline: dict[str, list[str]]
 
     def transform(self, df: DataFrame, unseen: str = "error") -> DataFrame:
-        present = {f: n for f, n in self.sizes.items() if f in df.columns}
+        present = {f: n for f, n in self.facts.items() if f in df.columns}
         return C.apply_codes(df, self.codes, present, self.inline, unseen)
 
 
 def fit_labels(df: DataFrame, columns: Sequence[str]) -> LabelEncoder:
     freq = materialize(C.frequencies(df, columns), "labels")
-    return _encoder(freq, {f: n for f, (n, _) in C.label_summary(freq).items()})
+    return _encoder(freq, C.label_summary(freq))
 
 
-def _encoder(freq: DataFrame, sizes: dict[str, int]) -> LabelEncoder:
-    labels = freq.filter(F.col("value").isNotNull() & F.col("feature").isin(list(sizes)))
-    codes = materialize(C.rank_codes(labels, sizes), "codes")
-    return LabelEncoder(codes, sizes, C.short_label_lists(codes, sizes))
+def _encoder(freq: DataFrame, facts: dict[str, C.LabelInfo]) -> LabelEncoder:
+    labels = freq.filter(F.col("value").isNotNull() & F.col("feature").isin(list(facts)))
+    codes = materialize(C.rank_codes(labels, {f: info.labels for f, info in facts.items()}), "codes")
+    return LabelEncoder(codes, facts, C.short_label_lists(codes, facts))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -122,7 +122,7 @@ def label_encode_new(
 
     Missing numbers are filled by the new rows' medians.
     """
-    missing = [c for c in columns if c not in encoder.sizes]
+    missing = [c for c in columns if c not in encoder.facts]
     if missing:
         new = fit_labels(new, missing).transform(new)
     new = encoder.transform(new, unseen)
@@ -308,9 +308,8 @@ def prepare(
         body = body.withColumns({c: F.coalesce(F.col(c), F.lit("None")) for c in categorical})
     freq = materialize(C.frequencies(body, categorical), "labels")
     summary = C.label_summary(freq)
-    modes = {c: top for c, (_, top) in summary.items()}
-    sizes = {c: n for c, (n, _) in summary.items() if c != severity}
-    encoder = _encoder(freq, sizes)
+    modes = {c: info.mode for c, info in summary.items()}
+    encoder = _encoder(freq, {c: info for c, info in summary.items() if c != severity})
     draft = Preparation(
         raw, cap, 1.0, numeric, categorical, severity, medians, modes, encoder, {}, parsed, null_policy
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gavelstat.functions.columns import rounded, severity_weight, to_number
 from gavelstat.operators.prepare import bin_column
 from gavelstat.schema import RAW_TARGET, TARGET, Star
+from gavelstat.workspace import materialize
 
 
 def _amount() -> Column:
@@ -50,10 +51,13 @@ def case_totals(df: DataFrame, features: int) -> DataFrame:
 def rollup_judge(star: Star) -> DataFrame:
     """Per judge: counts, averages and the distinct labels met.
 
+    The fact table is aggregated once; names of districts, courts and so on are looked up
+    from the stored per-judge rows.
+
     ``average_sentence_severity`` is the mean weight of the charge at conviction;
     ``rearrest_rate`` the share of cases with a rearrest.
     """
-    per_judge = star.cases.groupBy("judge_id").agg(
+    measures = star.cases.groupBy("judge_id").agg(
         F.avg(_amount()).alias("average_bail_set"),
         F.count("*").alias("case_count"),
         F.collect_set("district_id").alias("district_ids"),
@@ -74,9 +78,8 @@ def rollup_judge(star: Star) -> DataFrame:
         ).alias("average_sentence_severity"),
         F.avg(_is_yes("rearrest").cast("double")).alias("rearrest_rate"),
     )
-    named = star.judges.select("judge_uuid", "judge_name").join(
-        per_judge, F.col("judge_id") == F.col("judge_uuid")
-    )
+    per_judge = materialize(measures, "judges")
+    named = star.judges.select("judge_uuid", "judge_name").join(per_judge, F.col("judge_uuid") == F.col("judge_id"))
     for ids, dim, uid, label, name in (
         ("district_ids", star.districts, "district_uuid", "district_name", "unique_districts"),
         ("county_ids", star.counties, "county_uuid", "county_name", "counties"),
@@ -84,15 +87,18 @@ def rollup_judge(star: Star) -> DataFrame:
         ("representation_ids", star.representation, "representation_uuid", "representation_type",
          "representation_types"),
     ):
-        named = _names_for(named, ids, dim.select(F.col(uid).alias("__id"), F.col(label).alias("__label")), name)
+        pairs = per_judge.select("judge_id", F.explode(ids).alias("__id"))
+        known = dim.select(F.col(uid).alias("__id"), F.col(label).alias("__label"))
+        names = pairs.join(known, "__id").groupBy("judge_id").agg(_labels("__label", name))
+        named = named.drop(ids).join(names, "judge_id", "left")
     return named.drop("judge_id", "judge_uuid")
 
 
-def _names_for(df: DataFrame, ids: str, dimension: DataFrame, name: str) -> DataFrame:
-    """Replace an array of keys by the sorted names they stand for."""
-    pairs = df.select("judge_uuid", F.explode(ids).alias("__id")).join(dimension, "__id")
-    names = pairs.groupBy("judge_uuid").agg(_labels("__label", name))
-    return df.drop(ids).join(names, "judge_uuid", "left")
+def judge_cases(star: Star) -> DataFrame:
+    """Number of cases per judge."""
+    counted = star.cases.groupBy("judge_id").agg(F.count("*").alias("case_count"))
+    judges = star.judges.select("judge_uuid", "judge_name")
+    return judges.join(counted, F.col("judge_uuid") == F.col("judge_id")).select("judge_name", "case_count")
 
 
 def _amounts_by(star: Star, key: str, dimension: DataFrame, uid: str, label: str) -> DataFrame:

@@ -19,7 +19,7 @@ from gavelstat.schema import TARGET
 
 BINS = 20
 TEST_SHARE = 0.2
-TIE_LIMIT = 100_000
+TIE_LIMIT = 1_000
 HASH_TOP = 2**60 - 1
 
 

@@ -126,7 +126,7 @@ def query_params(spark, sf_dir):
 )
 def eligible_judges(spark, sf_dir):
     star = star_of(spark, sf_dir)
-    return K.eligible_targets(R.rollup_judge(star), "judge_name", "case_count")
+    return K.eligible_targets(R.judge_cases(star), "judge_name", "case_count")
 
 
 @query(

@@ -60,7 +60,14 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once and return the table read back."""
+    """Write ``df`` once and return the table read back; it goes away with the session."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove an intermediate table when the session's JVM ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -20,7 +20,7 @@ def test_string_order(spark):
 
 def test_mode_takes_smallest_on_ties_and_skips_null(spark):
     top = C.label_summary(C.frequencies(frame(spark), ["n", "t"]))
-    assert top == {"n": (4, "10"), "t": (2, "x")}
+    assert top == {"n": (4, "10", 4), "t": (2, "x", 2)}
     filled = [r["t"] for r in P.impute_mode(frame(spark), ["t"]).collect()]
     assert filled == ["x", "y", "y", "x", "x", "x", "x"]
 
