@@ -28,6 +28,15 @@ def to_decimal(value: Column, strict: bool = False) -> Column:
     return value.cast("decimal(38,10)") if strict else value.try_cast("decimal(38,10)")
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of a text amount, summed exactly to four decimals.
+
+    A sum of doubles depends on the order rows arrive in; money should not.
+    """
+    amount = F.when(value.rlike(NUMERIC_TEXT), F.trim(value).try_cast("decimal(18,4)"))
+    return F.try_divide(F.sum(amount).cast("double"), F.count(amount))
+
+
 def severity_weight(code: Column) -> Column:
     """Weight of a severity code; unknown or missing codes weigh 0."""
     weight = F.lit(0.0)

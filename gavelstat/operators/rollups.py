@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelstat.functions.columns import rounded, severity_weight, to_number
+from gavelstat.functions.columns import exact_mean, rounded, severity_weight, to_number
 from gavelstat.operators.prepare import bin_column
 from gavelstat.schema import RAW_TARGET, TARGET, Star
 from gavelstat.workspace import materialize
@@ -40,7 +40,7 @@ def _labels(column: str, name: str) -> Column:
 
 def average_target(df: DataFrame, column: str = RAW_TARGET) -> DataFrame:
     """Mean of the parsed amounts."""
-    return df.agg(F.avg(to_number(F.col(column))).alias("average_bail_amount"))
+    return df.agg(exact_mean(F.col(column)).alias("average_bail_amount"))
 
 
 def case_totals(df: DataFrame, features: int) -> DataFrame:
@@ -58,7 +58,7 @@ def rollup_judge(star: Star) -> DataFrame:
     ``rearrest_rate`` the share of cases with a rearrest.
     """
     measures = star.cases.groupBy("judge_id").agg(
-        F.avg(_amount()).alias("average_bail_set"),
+        exact_mean(F.col(RAW_TARGET)).alias("average_bail_set"),
         F.count("*").alias("case_count"),
         F.collect_set("district_id").alias("district_ids"),
         F.collect_set("county_id").alias("county_ids"),
@@ -103,7 +103,7 @@ def judge_cases(star: Star) -> DataFrame:
 
 def _amounts_by(star: Star, key: str, dimension: DataFrame, uid: str, label: str) -> DataFrame:
     per_key = star.cases.groupBy(key).agg(
-        F.avg(_amount()).alias("average_bail_amount"), F.count("*").alias("number_of_cases")
+        exact_mean(F.col(RAW_TARGET)).alias("average_bail_amount"), F.count("*").alias("number_of_cases")
     )
     return dimension.select(uid, label).join(per_key, F.col(uid) == F.col(key)).drop(uid, key)
 
@@ -133,7 +133,7 @@ def _outcomes_by(star: Star, key: str, dimension: DataFrame, uid: str, label: st
     """
     bail_set = _is_yes("bail_set_and_posted_at_arraign") | _is_yes("bail_set_and_not_posted_at_arraign")
     per_key = star.cases.groupBy(key).agg(
-        F.avg(_amount()).alias("average_bail_amount"),
+        exact_mean(F.col(RAW_TARGET)).alias("average_bail_amount"),
         F.count("*").alias("number_of_cases"),
         F.avg(to_number(F.col("known_days_in_custody"))).alias("average_known_days_in_custody"),
         _percent(_is_yes("remanded_to_jail_at_arraign"), "remanded_percentage"),
@@ -161,14 +161,14 @@ def rollup_all_levels(cohort: DataFrame) -> DataFrame:
     The finest level is aggregated first and rolled up from there, so the cohort is not
     repeated per level as grouping sets over rows would.
     """
-    amount = _amount()
+    amount = _amount().try_cast("decimal(18,4)")
     finest = cohort.groupBy("county_name", "judge_name").agg(
         F.sum(amount).alias("total"), F.count(amount).alias("amounts"), F.count("*").alias("cases")
     )
     return (
         finest.rollup("county_name", "judge_name")
         .agg(
-            (F.sum("total") / F.sum("amounts")).alias("average_bail_amount"),
+            F.try_divide(F.sum("total").cast("double"), F.sum("amounts")).alias("average_bail_amount"),
             F.sum("cases").alias("number_of_cases"),
             F.grouping_id().alias("__level"),
         )
@@ -183,7 +183,7 @@ def target_by_disposition(cases: DataFrame, bins: int = 10) -> DataFrame:
     return (
         bin_column(amounts, TARGET, bins)
         .groupBy("disposition_type", "bin")
-        .agg(F.count("*").alias("n"), F.avg(TARGET).alias("average_bail_amount"))
+        .agg(F.count("*").alias("n"), exact_mean(F.col(RAW_TARGET)).alias("average_bail_amount"))
     )
 
 
@@ -199,7 +199,7 @@ def county_overview(cohort: DataFrame) -> DataFrame:
     return cohort.groupBy("county_name").agg(
         F.count("*").alias("n"),
         F.count_distinct("judge_name").alias("judges"),
-        rounded(F.avg(amount)).alias("avg_bail"),
+        rounded(exact_mean(F.col(RAW_TARGET))).alias("avg_bail"),
         rounded(F.max("median_household_income")).alias("income"),
         rounded(F.corr(to_number(F.col("prior_misd_cnt")), amount)).alias("corr_misd"),
     )

@@ -88,6 +88,12 @@ def number(column: str) -> str:
     return f"CASE WHEN regexp_full_match({column}, '{pattern}') THEN TRY_CAST(trim({column}) AS DOUBLE) END"
 
 
+def exact_mean(column: str) -> str:
+    """SQL for the mean of a text amount, summed exactly."""
+    amount = f"CAST({number(column)} AS DECIMAL(18,4))"
+    return f"CAST(sum({amount}) AS DOUBLE) / nullif(count({amount}), 0)"
+
+
 def r(expression: str, digits: int = 6) -> str:
     return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0"
 

@@ -15,6 +15,7 @@ from gavelstat.plans.catalog import (
     WITH_CASES,
     WITH_JOINED,
     cohort_of,
+    exact_mean,
     number,
     query,
     r,
@@ -220,7 +221,7 @@ def join_existence(spark, sf_dir):
 
 COHORT_BY_COUNTY = f"""{WITH_BASE}
 SELECT county_name, count(*) AS n, count(DISTINCT judge_name) AS judges,
- {r(f"avg({number('first_bail_set_cash')})")} AS avg_bail,
+ {r(exact_mean('first_bail_set_cash'))} AS avg_bail,
  {r('max(median_household_income)')} AS income,
  {r(f"corr({number('prior_misd_cnt')}, {number('first_bail_set_cash')})")} AS corr_misd
 FROM base GROUP BY county_name"""

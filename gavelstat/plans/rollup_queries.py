@@ -16,6 +16,7 @@ from gavelstat.plans.catalog import (
     WITH_CASES,
     bin_sql,
     cohort_of,
+    exact_mean,
     number,
     query,
     r,
@@ -27,6 +28,7 @@ from gavelstat.sources.tpch_star import table
 from gavelstat.workspace import materialize
 
 BAIL = number("first_bail_set_cash")
+MEAN = exact_mean("first_bail_set_cash")
 DAYS = number("known_days_in_custody")
 
 
@@ -34,7 +36,7 @@ def _round(df, *columns):
     return df.withColumns({c: rounded(F.col(c)) for c in columns})
 
 
-@query("average_target", f"{WITH_BASE} SELECT {r(f'avg({BAIL})')} AS average_bail_amount FROM base")
+@query("average_target", f"{WITH_BASE} SELECT {r(MEAN)} AS average_bail_amount FROM base")
 def average_target(spark, sf_dir):
     return _round(R.average_target(cohort_of(spark, sf_dir)), "average_bail_amount")
 
@@ -55,7 +57,7 @@ def _yes(column):
 
 @query(
     "rollup_judge",
-    f"""{WITH_CASES} SELECT s_name AS judge_name, {r(f'avg({BAIL})')} AS average_bail_set, count(*) AS case_count,
+    f"""{WITH_CASES} SELECT s_name AS judge_name, {r(MEAN)} AS average_bail_set, count(*) AS case_count,
  {_sorted('r_name')} AS unique_districts, {_sorted('n.n_name')} AS counties, {_sorted('court_id')} AS court_names,
  {_sorted('rep.n_name')} AS representation_types, {_sorted('top_charge_at_arraign')} AS top_charges_at_arraign,
  coalesce({_sorted('disposition_type')}, []) AS disposition_types,
@@ -79,7 +81,7 @@ def rollup_judge(spark, sf_dir):
 
 @query(
     "rollup_court",
-    f"""{WITH_CASES} SELECT court_id AS court_name, {r(f'avg({BAIL})')} AS average_bail_amount,
+    f"""{WITH_CASES} SELECT court_id AS court_name, {r(MEAN)} AS average_bail_amount,
  count(*) AS number_of_cases FROM cases GROUP BY court_id""",
 )
 def rollup_court(spark, sf_dir):
@@ -88,7 +90,7 @@ def rollup_court(spark, sf_dir):
 
 @query(
     "rollup_charge",
-    f"""{WITH_CASES} SELECT crime_id AS top_charge_at_arrest, {r(f'avg({BAIL})')} AS average_bail_amount,
+    f"""{WITH_CASES} SELECT crime_id AS top_charge_at_arrest, {r(MEAN)} AS average_bail_amount,
  count(*) AS number_of_cases FROM cases GROUP BY crime_id""",
 )
 def rollup_charge(spark, sf_dir):
@@ -99,7 +101,7 @@ def _percent(condition):
     return r(f"100.0::DOUBLE * avg(CASE WHEN {condition} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")
 
 
-OUTCOMES = f"""{r(f'avg({BAIL})')} AS average_bail_amount, count(*) AS number_of_cases,
+OUTCOMES = f"""{r(MEAN)} AS average_bail_amount, count(*) AS number_of_cases,
  {r(f'avg({DAYS})')} AS average_known_days_in_custody,
  {_percent("remanded_to_jail_at_arraign = 'Y'")} AS remanded_percentage,
  {_percent("bail_set_and_posted_at_arraign = 'Y' OR bail_set_and_not_posted_at_arraign = 'Y'")} AS bail_set_percentage,
@@ -133,7 +135,7 @@ def rollup_representation(spark, sf_dir):
 
 @query(
     "rollup_county",
-    f"""{WITH_CASES}, {INCOME}, per AS (SELECT n_name AS county_name, {r(f'avg({BAIL})')} AS average_bail_amount,
+    f"""{WITH_CASES}, {INCOME}, per AS (SELECT n_name AS county_name, {r(MEAN)} AS average_bail_amount,
   count(*) AS number_of_cases FROM cases JOIN nation ON county_id = n_nationkey GROUP BY n_name)
  SELECT per.*, {r('median_household_income')} AS median_income FROM per LEFT JOIN ny_income ON county = county_name""",
 )
@@ -143,7 +145,7 @@ def rollup_county(spark, sf_dir):
 
 @query(
     "rollup_all_levels",
-    f"""{WITH_BASE} SELECT county_name, judge_name, {r(f'avg({BAIL})')} AS average_bail_amount,
+    f"""{WITH_BASE} SELECT county_name, judge_name, {r(MEAN)} AS average_bail_amount,
  count(*) AS number_of_cases,
  CASE GROUPING(county_name, judge_name) WHEN 3 THEN 'state' WHEN 1 THEN 'county' ELSE 'judge' END AS level
  FROM base GROUP BY GROUPING SETS ((), (county_name), (county_name, judge_name))""",
@@ -154,8 +156,8 @@ def rollup_all_levels(spark, sf_dir):
 
 @query(
     "target_vs_disposition",
-    f"""{WITH_CASES}, amounts AS (SELECT disposition_type, {BAIL} AS b FROM cases WHERE {BAIL} IS NOT NULL)
- SELECT disposition_type, {bin_sql('b', 'lo', 'hi', 10)} AS bin, count(*) AS n, {r('avg(b)')} AS average_bail_amount
+    f"""{WITH_CASES}, amounts AS (SELECT disposition_type, first_bail_set_cash, {BAIL} AS b FROM cases WHERE {BAIL} IS NOT NULL)
+ SELECT disposition_type, {bin_sql('b', 'lo', 'hi', 10)} AS bin, count(*) AS n, {r(MEAN)} AS average_bail_amount
  FROM amounts, (SELECT min(b) AS lo, max(b) AS hi FROM amounts) GROUP BY ALL""",
 )
 def target_vs_disposition(spark, sf_dir):

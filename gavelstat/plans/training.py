@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstat.functions.columns import to_number
+from gavelstat.functions.columns import exact_mean
 from gavelstat.operators import cohort as K
 from gavelstat.operators import grouped as G
 from gavelstat.operators import models as M
@@ -90,7 +90,7 @@ def run_training(
     cohort, rows, learned = prepared_split(star, key, judge, county, seed=seed, **options)
     train_rows, test_rows = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     fitted = M.run_models(train_rows, test_rows, learned.features, types, params, key=F.col(key))
-    totals = cohort.agg(F.avg(to_number(F.col(RAW_TARGET))), F.count("*")).first()
+    totals = cohort.agg(exact_mean(F.col(RAW_TARGET)), F.count("*")).first()
     target_type = "judge_name" if judge else "county_name" if county else "baseline"
     target = judge or county or "baseline"
     begin, end = (datetime.fromtimestamp(t, timezone.utc) for t in (started, time.time()))
