@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_LABELS = 100_000
@@ -19,7 +19,6 @@ SLICE_LABELS = 50_000
 MAX_SLICES = 512
 BROADCAST_LABELS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-INLINE_LABELS = 32
 
 
 def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,46 +100,25 @@ def _sliced_codes(labels: DataFrame, feature: str, size: int, slice_labels: int)
     )
 
 
-def short_label_lists(codes: DataFrame, facts: dict[str, LabelInfo]) -> dict[str, list[str]]:
-    """Labels in code order of the features that have at most ``INLINE_LABELS``."""
-    short = [f for f, info in facts.items() if info.labels <= INLINE_LABELS]
-    lists: dict[str, list[str]] = {f: [] for f in short}
-    for r in codes.filter(F.col("feature").isin(short)).orderBy("feature", "code").collect():
-        lists[r["feature"]].append(r["value"])
-    return lists
-
-
-def apply_codes(
-    df: DataFrame, codes: DataFrame, facts: dict[str, LabelInfo], inline: dict[str, list[str]], unseen: str = "error"
-) -> DataFrame:
+def apply_codes(df: DataFrame, codes: DataFrame, facts: dict[str, LabelInfo], unseen: str = "error") -> DataFrame:
     """Replace each coded column by its code.
 
     ``unseen='error'`` raises on a label without a code, ``'keep'`` gives the next free
-    code.  Short label lists are part of the expression.  Longer ones are joined: broadcast
-    if their counted size allows it, else shuffled on the label, where adaptive execution
-    splits a dominant one.
+    code.  A code table is broadcast if its counted size allows it; a larger one is joined on the
+    label, where adaptive execution splits a dominant one.
     """
     order = df.columns
-    short = {}
-    for feature in (f for f in facts if f in inline):
-        label = F.col(feature)
-        place = F.array_position(F.lit(inline[feature]).cast("array<string>"), label) - 1
-        known = F.when(place >= 0, place)
-        short[feature] = _code(feature, label, known, facts[feature].labels, unseen)
-    df = df.withColumns(short) if short else df
-    for feature in (f for f in facts if f not in inline):
+    for feature, info in facts.items():
         table = codes.filter(F.col("feature") == feature).select(
             F.col("value").alias(feature), F.col("code").alias("__code")
         )
-        table = F.broadcast(table) if facts[feature].fits_broadcast else table
-        code = _code(feature, F.col(feature), F.col("__code"), facts[feature].labels, unseen)
-        df = df.join(table, feature, "left").withColumn(feature, code).drop("__code")
+        table = F.broadcast(table) if info.fits_broadcast else table
+        label, known = F.col(feature), F.col("__code")
+        if unseen == "error":
+            message = F.concat(F.lit(f"unseen label in {feature}: "), label)
+            missing = known.isNull() & label.isNotNull()
+            code = F.when(missing, F.raise_error(message).cast("bigint")).otherwise(known)
+        else:
+            code = F.when(label.isNotNull(), F.coalesce(known, F.lit(info.labels)))
+        df = df.join(table, feature, "left").withColumn(feature, code.cast("double")).drop("__code")
     return df.select(order)
-
-
-def _code(feature: str, label: Column, known: Column, size: int, unseen: str) -> Column:
-    if unseen == "error":
-        message = F.concat(F.lit(f"unseen label in {feature}: "), label)
-        missing = known.isNull() & label.isNotNull()
-        return F.when(missing, F.raise_error(message).cast("double")).otherwise(known.cast("double"))
-    return F.when(label.isNotNull(), F.coalesce(known, F.lit(size))).cast("double")

@@ -20,36 +20,49 @@ from gavelstat.schema import MIN_CASES, TARGET
 
 ALPHA = 0.1
 MAX_TREE_TARGETS = 50
+BLOCK = 80  # whole-stage code generation stops at 100 fields
 
 
-def group_moments(df: DataFrame, by: Sequence[str], features: Sequence[str], target: str = TARGET) -> DataFrame:
-    """Count, means and centred second moments per group.
+def group_sums(
+    df: DataFrame, by: Sequence[str], features: Sequence[str], target: str = TARGET
+) -> tuple[DataFrame, np.ndarray]:
+    """Sums and sums of products per group, around the overall means, which are returned too.
 
-    ``gram`` holds the upper triangle of the features' covariance row by row, ``cross`` their
-    covariance with the target.
+    ``sums`` holds the count, the sum of each variable (features, then target) and the upper
+    triangle of their products.  The sums are taken in blocks narrow enough for generated code;
+    each block reads only stored columns.  Rows with a missing value are left out.
     """
-    x = [F.col(f).cast("double") for f in features]
-    y = F.col(target).cast("double")
-    aggs = [F.count("*").alias("n"), F.avg(y).alias("mean_y"), F.var_pop(y).alias("var_y")]
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]
-    aggs += [F.covar_pop(x[i], x[j]).alias(f"g{i}_{j}") for i, j in pairs]
-    aggs += [F.covar_pop(c, y).alias(f"c{i}") for i, c in enumerate(x)]
-    return df.groupBy(*by).agg(*aggs).select(
-        *by, "n", "mean_y", "var_y",
-        F.array(*[F.col(f"m{i}") for i in range(len(x))]).alias("means"),
-        F.array(*[F.col(f"g{i}_{j}") for i, j in pairs]).alias("gram"),
-        F.array(*[F.col(f"c{i}") for i in range(len(x))]).alias("cross"),
-    )
+    names = [*features, target]
+    whole = df.dropna(subset=names)
+    centre = whole.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]).first()
+    shifted = [(F.col(c).cast("double") - F.lit(centre[c])).alias(f"__{i}") for i, c in enumerate(names)]
+    whole = whole.select(*by, *shifted)
+    v = [F.col(f"__{i}") for i in range(len(names))]
+    terms = [F.sum(F.lit(1.0)), *[F.sum(x) for x in v]]
+    terms += [F.sum(v[i] * v[j]) for i in range(len(v)) for j in range(i, len(v))]
+    blocks = None
+    for number, start in enumerate(range(0, len(terms), BLOCK)):
+        named = [t.alias(f"t{k}") for k, t in enumerate(terms[start : start + BLOCK])]
+        found = whole.groupBy(*by).agg(*named)
+        found = found.select(*by, F.struct(F.lit(number).alias("block"), F.array(*[f"t{k}" for k in range(len(named))]).alias("v")).alias("part"))
+        blocks = found if blocks is None else blocks.unionByName(found)
+    in_order = F.transform(F.sort_array(F.collect_list("part")), lambda part: part["v"])
+    return blocks.groupBy(*by).agg(F.flatten(in_order).alias("sums")), np.array([centre[c] for c in names], dtype=float)
+
+
+def moments_of(sums: np.ndarray, centre: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, means and population covariance matrix from one group's sums."""
+    q = len(centre)
+    n, first = sums[0], sums[1 : q + 1] / sums[0]
+    covariance = np.zeros((q, q))
+    covariance[np.triu_indices(q)] = sums[q + 1 :] / n
+    covariance = covariance + np.triu(covariance, 1).T - np.outer(first, first)
+    return n, centre + first, covariance
 
 
 def solve_ridge(gram: np.ndarray, cross: np.ndarray, n: float, alpha: float) -> np.ndarray:
-    """Coefficients from the covariance triangle; ``alpha`` penalises the sum of squares."""
-    p = len(cross)
-    full = np.zeros((p, p))
-    full[np.triu_indices(p)] = gram
-    full = full + np.triu(full, 1).T
-    left, right = n * full + alpha * np.eye(p), n * cross
+    """Coefficients from covariances; ``alpha`` penalises the sum of squares."""
+    left, right = n * gram + alpha * np.eye(len(cross)), n * cross
     return np.linalg.solve(left, right) if alpha > 0 else np.linalg.lstsq(left, right, rcond=None)[0]
 
 
@@ -62,26 +75,27 @@ def train_per_group(
     Gives ``n, intercept, coefficients, mse, r2`` per group; the fit quality follows from the
     moments too.  Only the small systems are solved outside the JVM.
     """
-    moments = group_moments(df, by, features, target).filter(F.col("n") > min_cases)
-    kinds = dict(moments.dtypes)
-    schema = ", ".join(f"`{b}` {kinds[b]}" for b in by)
-    schema = f"{schema + ', ' if schema else ''}n bigint, intercept double, coefficients array<double>, mse double, r2 double"
+    by = list(by)
+    sums, centre = group_sums(df, by, features, target)
+    kinds = dict(sums.dtypes)
+    schema = ", ".join(
+        [f"`{b}` {kinds[b]}" for b in by]
+        + ["n bigint", "intercept double", "coefficients array<double>", "mse double", "r2 double"]
+    )
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for _, m in batch.iterrows():
-                cross, means = np.asarray(m["cross"]), np.asarray(m["means"])
-                w = solve_ridge(np.asarray(m["gram"]), cross, m["n"], alpha)
-                gram = np.zeros((len(w), len(w)))
-                gram[np.triu_indices(len(w))] = m["gram"]
-                gram = gram + np.triu(gram, 1).T
-                mse = m["var_y"] - 2 * w @ cross + w @ gram @ w
-                r2 = 1 - mse / m["var_y"] if m["var_y"] > 0 else None
-                rows.append((*[m[b] for b in by], m["n"], m["mean_y"] - w @ means, w.tolist(), mse, r2))
+            for *group, values in batch[[*by, "sums"]].itertuples(index=False, name=None):
+                n, means, covariance = moments_of(np.asarray(values), centre)
+                gram, cross, spread = covariance[:-1, :-1], covariance[:-1, -1], covariance[-1, -1]
+                w = solve_ridge(gram, cross, n, alpha)
+                mse = max(0.0, spread - 2 * w @ cross + w @ gram @ w)
+                r2 = 1 - mse / spread if spread > 0 else None
+                rows.append((*group, int(n), means[-1] - w @ means[:-1], w.tolist(), mse, r2))
             yield pd.DataFrame(rows, columns=[*by, "n", "intercept", "coefficients", "mse", "r2"])
 
-    return moments.mapInPandas(solve, schema)
+    return sums.filter(F.col("sums")[0] > min_cases).mapInPandas(solve, schema)
 
 
 def coefficient_profile(per_group: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:

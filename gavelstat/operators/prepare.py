@@ -92,11 +92,10 @@ class LabelEncoder:
 
     codes: DataFrame
     facts: dict[str, C.LabelInfo]
-    inline: dict[str, list[str]]
 
     def transform(self, df: DataFrame, unseen: str = "error") -> DataFrame:
         present = {f: n for f, n in self.facts.items() if f in df.columns}
-        return C.apply_codes(df, self.codes, present, self.inline, unseen)
+        return C.apply_codes(df, self.codes, present, unseen)
 
 
 def fit_labels(df: DataFrame, columns: Sequence[str]) -> LabelEncoder:
@@ -107,7 +106,7 @@ def fit_labels(df: DataFrame, columns: Sequence[str]) -> LabelEncoder:
 def _encoder(freq: DataFrame, facts: dict[str, C.LabelInfo]) -> LabelEncoder:
     labels = freq.filter(F.col("value").isNotNull() & F.col("feature").isin(list(facts)))
     codes = materialize(C.rank_codes(labels, {f: info.labels for f, info in facts.items()}), "codes")
-    return LabelEncoder(codes, facts, C.short_label_lists(codes, facts))
+    return LabelEncoder(codes, facts)
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
