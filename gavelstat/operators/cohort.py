@@ -18,6 +18,7 @@ from gavelstat.schema import (
     RAW_TARGET,
     REQUIRED_COLUMNS,
     SEVERITY,
+    TARGET,
     Star,
 )
 
@@ -38,8 +39,11 @@ def with_recorded_amount(cases: DataFrame) -> DataFrame:
 def amount_in_range(
     cases: DataFrame, low: float = AMOUNT_FLOOR, high: float = AMOUNT_LIMIT, strict: bool = False
 ) -> DataFrame:
-    """Rows whose amount lies strictly between the limits."""
-    amount = to_decimal(F.col(RAW_TARGET), strict)
+    """Rows whose amount lies strictly between the limits.
+
+    Where the amount is also stored as a number the predicate uses that, and reaches the scan.
+    """
+    amount = F.col(TARGET) if TARGET in cases.columns else to_decimal(F.col(RAW_TARGET), strict)
     return cases.filter((amount < high) & (amount > low))
 
 

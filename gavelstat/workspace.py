@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "gavelstat") -> SparkSession:
@@ -59,10 +60,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once and return the table read back; it goes away with the session."""
+def materialize(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
+    """Write ``df`` once and return the table read back; it goes away with the session.
+
+    With ``by`` the table has one partition per value of that column.  Rebalancing before the
+    write keeps small values in few files and spreads a dominant one over many tasks.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", F.col(by)).write.partitionBy(by).parquet(path)
     drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gavelstat.functions.columns import to_number
 from gavelstat.operators import cohort as K
 from gavelstat.operators import quality as Q
 from gavelstat.operators import results as S
@@ -126,6 +127,16 @@ def test_flat_records_to_star(spark):
     assert [rows[i]["bail_amount"] for i in "123"] == [10.5, None, None]
 
 
+def test_stored_amounts_reach_the_scan(spark):
+    star = bind_star(spark, SF)
+    path = new_path(spark, "cases")
+    star.cases.withColumn("bail_amount", to_number(F.col("first_bail_set_cash"))).write.parquet(path)
+    typed = star.with_cases(spark.read.parquet(path))
+    scan = K.amount_in_range(typed.cases).select("race_id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(bail_amount,1.0)" in scan and "LessThan(bail_amount,39000.0)" in scan
+    assert K.base_cohort(typed).count() == K.base_cohort(star).count()
+
+
 def test_cohort_guards(spark):
     star = bind_star(spark, SF)
     cohort = K.base_cohort(star)
