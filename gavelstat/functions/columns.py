@@ -16,7 +16,8 @@ NUMERIC_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 def to_number(value: Column) -> Column:
     """Text to double; whatever is not a finite decimal number becomes NULL."""
-    return F.when(value.rlike(NUMERIC_TEXT), F.trim(value).try_cast("double"))
+    parsed = F.trim(value).try_cast("double")
+    return F.when(value.rlike(NUMERIC_TEXT) & (F.abs(parsed) < F.lit(float("inf"))), parsed)
 
 
 def to_decimal(value: Column, strict: bool = False) -> Column:

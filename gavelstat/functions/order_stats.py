@@ -10,6 +10,7 @@ combined before the shuffle, so neither size nor skew of the data matters.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -94,11 +95,12 @@ def _narrow(long: DataFrame, active: list[_Range], fetch: bool) -> list[_Range]:
     """
     kinds = dict(long.dtypes)
     ranges = long.sparkSession.createDataFrame(
-        [(r.series, i, r.lo, r.hi) for i, r in enumerate(active)],
-        f"series {kinds['series']}, part int, lo {kinds['x']}, hi {kinds['x']}",
+        [(r.series, i, r.lo, r.hi, _pivot(r.lo, r.hi)) for i, r in enumerate(active)],
+        f"series {kinds['series']}, part int, lo {kinds['x']}, hi {kinds['x']}, pivot double",
     )
-    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
-    cell = x if fetch else F.least(F.floor((x - lo) / (hi - lo) * F.lit(float(CELLS))), F.lit(CELLS - 1))
+    x, lo, hi, pivot = F.col("x"), F.col("lo"), F.col("hi"), F.col("pivot")
+    even = F.least(F.floor((x - lo) / (hi - lo) * F.lit(float(CELLS))), F.lit(CELLS - 1))
+    cell = x if fetch else F.when(pivot.isNotNull(), (x > pivot).cast("bigint")).otherwise(even)
     cells = (
         long.join(F.broadcast(ranges), "series")
         .filter((x >= lo) & (x <= hi))
@@ -122,6 +124,15 @@ def _narrow(long: DataFrame, active: list[_Range], fetch: bool) -> list[_Range]:
     return kept
 
 
+def _pivot(lo: float, hi: float) -> float | None:
+    """Where to halve a range whose width is no finite number; None for all others."""
+    if not math.isinf(hi - lo):
+        return None
+    if math.isinf(lo):
+        return 0.0 if math.isinf(hi) else lo
+    return sys.float_info.max if math.isinf(hi) else lo / 2 + hi / 2
+
+
 def quantiles(df: DataFrame, probabilities: dict[str, Sequence[float]]) -> dict[str, dict[float, float]]:
     """Exact quantiles, interpolated linearly between neighbours; None for an empty column."""
     if not probabilities:

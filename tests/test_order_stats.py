@@ -38,6 +38,16 @@ def test_dominant_value_and_big_integers(spark):
     assert found["s"][500] == (2**59 + 7, 7, 1001)
 
 
+def test_extreme_values(spark, monkeypatch):
+    monkeypatch.setattr("gavelstat.functions.order_stats.FETCH_ROWS", 0)
+    top = float("inf")
+    values = sorted([-top, -top, -1.7e308, -5.0, 0.0, 1e-300, 3.0, 1.7e308, 1.75e308, top, top, top])
+    df = spark.createDataFrame([("s", v) for v in values], "series string, x double")
+    _, found = select_ranks(df, lambda s, n: range(n))
+    assert [found["s"][r][0] for r in range(len(values))] == values
+    assert found["s"][10] == (top, 9, 3)
+
+
 @pytest.mark.parametrize("window_rows", [10_000, 10])
 def test_descending_rank_with_ties(spark, window_rows):
     rng = np.random.default_rng(3)
