@@ -108,15 +108,18 @@ def filter_county(spark, sf_dir):
     return cohort_of(spark, sf_dir, county=county)
 
 
+LISTED_COUNTIES = [f"NATION_{i}" for i in range(1, 10)]
+
+
 @query(
     "query_params",
     f"""{WITH_BASE} SELECT internal_case_id, judge_name, county_name, first_bail_set_cash FROM base
- WHERE county_name IN ('NATION_1', 'NATION_2', 'NATION_3')
+ WHERE county_name IN ({', '.join(repr(c) for c in LISTED_COUNTIES)})
  ORDER BY md5('42:' || internal_case_id) LIMIT {QUERY_LIMIT}""",
 )
 def query_params(spark, sf_dir):
     cohort = materialize(cohort_of(spark, sf_dir), "cohort")
-    picked = K.restrict(cohort, counties=["NATION_1", "NATION_2", "NATION_3"], limit=QUERY_LIMIT)
+    picked = K.restrict(cohort, counties=LISTED_COUNTIES, limit=QUERY_LIMIT)
     return picked.select(KEY, "judge_name", "county_name", "first_bail_set_cash")
 
 
