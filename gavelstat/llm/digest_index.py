@@ -53,17 +53,16 @@ class DigestIndex:
         Columns: doc_id, keep_id (of the row that stays, maybe one of an earlier batch), group_size (equal rows
         of this batch), kept, text_sha256.
         """
-        rows = materialize(batch.select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")
-        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        digests = batch.select("doc_id", text_digest(F.col("text")).alias("digest"))
+        rows = materialize(digests.groupBy("digest", "doc_id").agg(F.count("*").alias("alike")), "digests")
+        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("alike").alias("group_size"))
         fresh = materialize(self._unseen(groups).withColumn("fresh", F.lit(True)), "fresh")
         seen = materialize(
             groups.drop("keep_id").join(self.entries(), "digest").withColumn("fresh", F.lit(False)), "seen"
         )
         self._append(fresh.select("digest", "keep_id"))
-        # a hot digest has many rows on one side alone: adaptive execution splits it in this join
-        judged = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("alike")).join(
-            fresh.unionByName(seen), "digest"
-        )
+        # a hot digest has many rows on one side alone: both sides are plain scans, which adaptive execution splits
+        judged = rows.join(fresh.unionByName(seen), "digest")
         return judged.select(
             "*", F.posexplode(F.sequence(F.lit(1).cast("bigint"), F.col("alike"))).alias("copy", "nth")
         ).select(

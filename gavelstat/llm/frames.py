@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Text bytes that one step of a Python task works on; a longer text forms a step of its own.
 STEP_BYTES = 1 << 20
-#: Rows handed back to the JVM at once.
-OUT_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +47,7 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 
 def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, so that memory does not follow the batch size."""
-    sizes = [len(v) if v else 0 for v in _views(batch.column(column))]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > most:
@@ -57,9 +56,3 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
         held += size
     if start < len(sizes):
         yield batch.slice(start)
-
-
-def _views(column: pa.Array):
-    import pyarrow.compute as pc
-
-    return (range(n) if n else None for n in pc.fill_null(pc.binary_length(column), 0).to_pylist())
