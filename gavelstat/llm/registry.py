@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelstat.llm import bpe, chat, digest_index, mixing, pii, quality_ranker, text_rules
+from gavelstat.llm import (
+    bpe, chat, dart_minhash, digest_index, mixing, pii, quality_ranker, suffix_buckets, text_rules,
+)
 from gavelstat.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +32,16 @@ def op1(spark, sf_dir):
     return quality_ranker.score(docs, quality_ranker.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op2_dart_minhash")
+def op2(spark, sf_dir):
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_buckets")
+def op3(spark, sf_dir):
+    return suffix_buckets.remove(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 @query("op4_pii")
 def op4(spark, sf_dir):
     return pii.summary(pii.find(table(spark, sf_dir, "documents")))
