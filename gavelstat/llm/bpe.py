@@ -33,14 +33,17 @@ from gavelstat.workspace import drop_at_exit, new_path
 
 #: Words in the lexicon, and counters in a task's summary.
 LEXICON_WORDS = 1 << 16
-#: Encoded words that a task remembers.
+#: Encoded words, and as many units, that a worker remembers from step to step.
 MEMO_WORDS = 1 << 18
 # Fixed value: the vocabulary's own pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space besides space and line feed.
 _RARE_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
 _THREE_SPACES = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
-_SHORT = 48
+#: Bytes of a word from which a heap finds the next pair.
+_LONG = 1024
+_NO_RANK = 1 << 40
+_NOTHING = np.zeros(0, np.int64)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -50,6 +53,42 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Pairs:
+    """Ranks of many pairs at once: a hash table with linear probing."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
+        self.merged = np.zeros(max((r for r, _ in ranks.values()), default=0) + 1, np.int64)
+        self.bits = max(len(ranks), 1).bit_length() + 2
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, _NO_RANK, np.int64)
+        pairs = np.asarray([*ranks], np.int64).reshape(-1, 2)
+        for slot, key, (rank, new) in zip(self._slot(self._key(*pairs.T)).tolist(), self._key(*pairs.T).tolist(), ranks.values()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % len(self.keys)
+            self.keys[slot], self.ranks[slot], self.merged[rank] = key, rank, new
+
+    @staticmethod
+    def _key(a, b):
+        return (a << 32) + b
+
+    def _slot(self, keys):
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = self._key(a, b)
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.ranks[slot], _NO_RANK)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.keys)
+            there = self.keys[slot[left]]
+            same = there == keys[left]
+            out[left[same]] = self.ranks[slot[left[same]]]
+            left = left[~same & (there >= 0)]
+        return out
+
+
 class Merges:
     """Ids of single bytes, ranked merges of ids, and the bytes of every id."""
 
@@ -71,27 +110,45 @@ class Merges:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             ids = model["vocab"]
             self.rank[ids[a], ids[b]] = (rank, ids[a + b])
+        self.pairs = Pairs(self.rank)
         self.pattern = regex.compile(PATTERN)
 
-    def merge(self, word: bytes) -> list[int]:
-        ids = [self.single[b] for b in word]
-        if len(ids) > _SHORT:
-            return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best = min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None)
-            if best is None:
-                break
-            out, i, new = [], 0, best[1]
-            while i < len(ids):
-                if i + 1 < len(ids) and rank.get((ids[i], ids[i + 1])) == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word, as little-endian 32-bit integers.
+
+        In each round every word merges its pair of least rank, wherever that occurs in the word.
+        """
+        out = [b""] * len(words)
+        some = []
+        for i, word in enumerate(words):
+            if len(word) > _LONG:
+                out[i] = np.asarray(self._merge_long([self.single[b] for b in word]), "<u4").tobytes()
+            elif word:
+                some.append(i)
+        ids = np.asarray(self.single, np.int64)[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
+        owner = np.repeat(np.arange(len(some)), [len(words[i]) for i in some])
+        done_ids, done_owner = [], []
+        while len(ids):
+            inside = np.append(owner[1:] == owner[:-1], False)
+            rank = np.where(inside, self.pairs.rank(ids, np.append(ids[1:], 0)), _NO_RANK)
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            open_ = least < _NO_RANK
+            done_ids.append(ids[~open_])
+            done_owner.append(owner[~open_])
+            hit = np.flatnonzero(open_ & (rank == least))
+            # of pairs that overlap, as in a run of one symbol, every second one from the left
+            lead = np.concatenate(([True], np.diff(hit) > 1)) if len(hit) else hit
+            hit = hit[(hit - hit[lead][np.cumsum(lead) - 1]) % 2 == 0] if len(hit) else hit
+            ids[hit] = self.pairs.merged[rank[hit]]
+            open_[hit + 1] = False
+            ids, owner = ids[open_], owner[open_]
+        ids, owner = np.concatenate([*done_ids, _NOTHING]), np.concatenate([*done_owner, _NOTHING])
+        flat = ids[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(some)))).tolist()
+        for i, low, high in zip(some, [0, *ends], ends):
+            out[i] = flat[low:high]
+        return out
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list, for words of any length."""
@@ -117,59 +174,97 @@ class Merges:
 
 
 class Encoder:
-    """Texts to ids, as bytes of little-endian 32-bit integers."""
+    """Texts to ids, as bytes of little-endian 32-bit integers.
+
+    A text falls into units, space-separated where that is safe, and units into words.  What a step has not seen
+    before is looked up or merged all together.
+    """
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None = None):
         self.merges, self.lexicon = merges, lexicon
         special = sorted(merges.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.line = self._memo(lambda word: self._words(word))
-        self.spaced = self._memo(lambda word: self._words(" " + word))
-
-    @staticmethod
-    def _memo(encode):
-        class Memo(dict):
-            def __missing__(self, word):
-                if len(self) >= MEMO_WORDS:
-                    self.clear()
-                self[word] = out = encode(word)
-                return out
-
-        return Memo()
-
-    def _words(self, text: str) -> bytes:
-        ids: list[int] = []
-        for word in self.merges.pattern.findall(text):
-            raw = word.encode()
-            found = self.lexicon.get(raw) if self.lexicon else None
-            ids += self.merges.merge(raw) if found is None else found
-        return np.asarray(ids, "<u4").tobytes()
+        #: Ids of words, of units at the start of a line, and of units after a space.
+        self.word: dict[str, bytes] = {}
+        self.line: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        for memo in (self.word, self.line, self.spaced):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+        parts = [self._parts(t) for t in texts]
+        first: set[str] = {"\n"}
+        rest: set[str] = set()
+        loose: set[str] = set()
+        for lines in (p for ps in parts for p in ps):
+            if isinstance(lines, tuple):
+                loose.update(lines)
+            elif isinstance(lines, list):
+                for head, *tail in lines:
+                    first.add(head)
+                    rest.update(tail)
+        self._learn([w for w in first if w not in self.line], [w for w in rest if w not in self.spaced], loose)
+        return [b"".join([self._ids(p) for p in ps]) for ps in parts]
+
+    def _parts(self, text: str) -> list:
+        """Ids of special tokens (bytes), words (tuple), or lines of units (list)."""
         if self.special is None or not self.special.search(text):
-            return self._plain(text)
+            return [self._units(text)]
         out, end = [], 0
         for match in self.special.finditer(text):
-            out.append(self._plain(text[end : match.start()]))
-            out.append(self.merges.special[match[0]].to_bytes(4, "little"))
+            out += [self._units(text[end : match.start()]), self.merges.special[match[0]].to_bytes(4, "little")]
             end = match.end()
-        return b"".join([*out, self._plain(text[end:])])
-
-    def _plain(self, text: str) -> bytes:
-        if not splits_at_spaces(text):
-            return self._words(text)
+        return [*out, self._units(text[end:])]
+
+    def _units(self, text: str) -> list | tuple:
+        if splits_at_spaces(text):
+            return [line.split(" ") for line in text.split("\n")]
+        return tuple(self.merges.pattern.findall(text))
+
+    def _learn(self, first: list[str], rest: list[str], loose: set[str]) -> None:
+        split = self.merges.pattern.findall
+        units = [(w, _plain_words(w) or split(w)) for w in first]
+        spaced = [" " + w for w in rest]
+        tails = [(w, _plain_words(w) or split(w)) for w in spaced]
+        words = {w for part in (units, tails) for _, ws in part for w in ws}
+        new = list((words | loose) - self.word.keys())
+        raw = [w.encode() for w in new]
+        found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, self.merges.merge_all([raw[i] for i in unseen])):
+            found[i] = ids
+        word = self.word
+        word.update(zip(new, found))
+        self.line.update([(w, b"".join([word[x] for x in ws])) for w, ws in units])
+        self.spaced.update([(w, b"".join([word[x] for x in ws])) for w, (_, ws) in zip(rest, tails)])
+
+    def _ids(self, part) -> bytes:
+        if isinstance(part, bytes):
+            return part
+        if isinstance(part, tuple):
+            return b"".join([self.word[w] for w in part])
         line, spaced = self.line, self.spaced
-        lines = []
-        for part in text.split("\n"):
-            first, *rest = part.split(" ")
-            lines.append(line[first] + b"".join([spaced[w] for w in rest]))
-        return line["\n"].join(lines)
+        return line["\n"].join([line[units[0]] + b"".join([spaced[w] for w in units[1:]]) for units in part])
 
     def decode(self, ids: bytes) -> str:
         token = self.merges.token
         return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", errors="replace")
 
 
+def _plain_words(unit: str) -> tuple[str, ...]:
+    """What the pattern finds in letters, after a space or not, and one sign: most units.  Empty for other units."""
+    body = unit[1:] if unit[:1] == " " else unit
+    if body.isalpha():
+        return (unit,)
+    if body[:-1].isalpha() and body[-1] in ".,;:!?":
+        return unit[:-1], unit[-1]
+    return ()
+
+
 def splits_at_spaces(text: str) -> bool:
     """Whether the pattern's words end at every line feed and start at every space.
 
@@ -187,24 +282,23 @@ def splits_at_spaces(text: str) -> bool:
 def count_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
     """Frequent space-separated words of all texts: word, n.
 
-    A task keeps a Misra-Gries summary of ``most`` counters.  Summaries add up; a count is too small by at most
+    A task keeps Misra-Gries summaries of ``most`` counters, for words with and without a space before.  Summaries add up; a count is too small by at most
     the words of the corpus divided by ``most``.
     """
 
     def summarise(batches):
-        counts: Counter[str] = Counter()
+        counts = [Counter(), Counter()]  # of words at the start of a line, and after a space
         for batch in batches:
             for step in steps(batch, "text"):
                 for text in step.column(0).to_pylist():
-                    if text:
-                        for line in text.split("\n"):
-                            first, _, rest = line.partition(" ")
-                            counts[first] += 1
-                            counts.update([" " + w for w in rest.split(" ")] if rest else ())
-                if len(counts) > 4 * most:
-                    counts = reduced(counts, most)
-        counts = reduced(counts, most)
-        yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, schema=arrow)
+                    for line in text.split("\n") if text else ():
+                        first, *rest = line.split(" ")
+                        counts[0][first] += 1
+                        counts[1].update(rest)
+                counts = [reduced(c, most) if len(c) > 4 * most else c for c in counts]
+        for space, c in zip(("", " "), counts):
+            c = reduced(c, most)
+            yield pa.RecordBatch.from_pydict({"word": [space + w for w in c], "n": list(c.values())}, schema=arrow)
 
     arrow = pa.schema([("word", pa.string()), ("n", pa.int64())])
     found = docs.select("text").mapInArrow(summarise, "word string, n bigint")
@@ -227,13 +321,8 @@ def build(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS) -> s
         vocabulary = json.load(file)
     merges = Merges(vocabulary)
     top = count_words(docs, most).orderBy(F.desc("n"), "word").limit(most).collect()
-    words: dict[bytes, list[int]] = {}
-    for row in top:
-        for word in merges.pattern.findall(row["word"]):
-            raw = word.encode()
-            if raw not in words:
-                words[raw] = merges.merge(raw)
-    lexicon = compile_words(words)
+    words = list({w.encode() for row in top for w in merges.pattern.findall(row["word"])})
+    lexicon = compile_words({w: np.frombuffer(ids, "<u4") for w, ids in zip(words, merges.merge_all(words))})
     slim = {"added_tokens": vocabulary["added_tokens"], "model": {k: vocabulary["model"][k] for k in ("vocab", "merges")}}
     table = json.dumps(slim).encode()
     table += b" " * (-len(table) % 4)
@@ -270,7 +359,7 @@ def encode(docs: DataFrame, name: str, keep: list[str] | None = None) -> DataFra
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         encoder = encoder_of(name)
         for step in steps(batch, "_bpe_text"):
-            ids = [encoder.encode(t or "") for t in step.column(len(keep)).to_pylist()]
+            ids = encoder.encode_all([t or "" for t in step.column(len(keep)).to_pylist()])
             yield {c: step.column(i) for i, c in enumerate(keep)} | {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
     rows = docs.select(*keep, F.col("text").alias("_bpe_text"))
@@ -295,7 +384,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS)
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         encoder = encoder_of(name)
         for step in steps(batch, "text"):
-            ids = [encoder.encode(t or "") for t in step.column(1).to_pylist()]
+            ids = encoder.encode_all([t or "" for t in step.column(1).to_pylist()])
             yield {
                 "doc_id": step.column(0),
                 "n_tokens": [len(x) // 4 for x in ids],

@@ -64,8 +64,8 @@ def compile_words(words: dict[bytes, list[int]]) -> bytes:
     outputs = [words[w] for w in ordered]
     offsets = np.cumsum([0] + [len(o) for o in outputs])
     arrays = [starts, finals, labels, targets, skips, offsets, [i for o in outputs for i in o]]
-    parts = [np.asarray(a, np.int32) for a in arrays]
-    head = np.asarray([root, *map(len, parts)], np.int32)
+    parts = [np.asarray(a, "<i4") for a in arrays]
+    head = np.asarray([root, *map(len, parts)], "<i4")
     return b"".join(p.tobytes() for p in (head, *parts))
 
 
@@ -75,28 +75,44 @@ class Lexicon:
     def __init__(self, path: str, at: int = 0):
         """``at``: where the automaton begins in the file, in bytes."""
         with open(path, "rb") as file:
-            self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        numbers = memoryview(self._map)[at:].cast("i")
-        self.root, *sizes = numbers[: len(PARTS) + 1]
-        place = len(PARTS) + 1
-        for name, size in zip(PARTS, sizes):
-            setattr(self, name, numbers[place : place + size])
-            place += size
-
-    def number(self, word: bytes) -> int:
-        """The word's place in sorted order; -1 if it is unknown."""
-        starts, labels, targets, skips = self.starts, self.labels, self.targets, self.skips
-        state, number = self.root, 0
-        for label in word:
-            edge, end = starts[state], starts[state + 1]
-            while edge < end and labels[edge] != label:
-                edge += 1
-            if edge == end:
-                return -1
-            number += skips[edge]
-            state = targets[edge]
-        return number if self.finals[state] else -1
-
-    def get(self, word: bytes) -> list[int] | None:
-        number = self.number(word)
-        return None if number < 0 else list(self.outputs[self.offsets[number] : self.offsets[number + 1]])
+            mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        numbers = np.frombuffer(mapped, "<i4", offset=at)
+        self.root, *sizes = numbers[: len(PARTS) + 1].tolist()
+        ends = np.cumsum([len(PARTS) + 1, *sizes])
+        self.parts = {name: numbers[a:b] for name, a, b in zip(PARTS, ends, ends[1:])}
+        self.ends = (4 * self.parts["offsets"]).tolist()
+        self.outputs = memoryview(mapped)[at + 4 * ends[-2] :]
+        # edges stand in the order of state and label
+        states = np.repeat(np.arange(len(self.parts["finals"])), np.diff(self.parts["starts"]))
+        self.edges = states * 256 + self.parts["labels"]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' places in sorted order, -1 for unknown ones; all walk through the automaton in step."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        labels = np.frombuffer(b"".join(words), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        state = np.full(len(words), self.root, np.int64)
+        number = np.zeros(len(words), np.int64)
+        walking = np.arange(len(words))
+        depth = 0
+        while True:
+            done = sizes[walking] == depth
+            ended = walking[done]
+            number[ended] = np.where(self.parts["finals"][state[ended]], number[ended], -1)
+            walking = walking[~done]
+            if not len(walking) or not len(self.edges):
+                number[walking] = -1
+                return number
+            wanted = state[walking] * 256 + labels[begins[walking] + depth]
+            edge = np.minimum(np.searchsorted(self.edges, wanted), len(self.edges) - 1)
+            found = self.edges[edge] == wanted
+            number[walking[~found]] = -1
+            walking, edge = walking[found], edge[found]
+            number[walking] += self.parts["skips"][edge]
+            state[walking] = self.parts["targets"][edge]
+            depth += 1
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """Output ids of every word as little-endian 32-bit integers, None for unknown words."""
+        ends, outputs = self.ends, self.outputs
+        return [None if n < 0 else bytes(outputs[ends[n] : ends[n + 1]]) for n in self.numbers(words).tolist()]

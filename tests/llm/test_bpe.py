@@ -29,6 +29,10 @@ def library():
     return tokenizer
 
 
+def numbers(ids):
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 def texts():
     rng = random.Random(5)
     parts = [
@@ -43,13 +47,14 @@ def texts():
 
 
 def test_ids_and_text_equal_the_library(merges, library, tmp_path):
-    words = {w.encode(): merges.merge(w.encode()) for w in (" the", "The", "the", " word", "word", " été")}
+    some = [w.encode() for w in (" the", "The", "the", " word", "word", " été")]
+    words = {w: numbers(ids) for w, ids in zip(some, merges.merge_all(some))}
     path = tmp_path / "lexicon"
     path.write_bytes(compile_words(words))
     encoder = bpe.Encoder(merges, Lexicon(str(path)))
-    for text in texts():
+    for text, ids in zip(texts(), encoder.encode_all(list(texts()))):
         expected = library.encode(text, add_special_tokens=False).ids
-        ids = encoder.encode(text)
+        assert encoder.encode(text) == ids
         assert np.frombuffer(ids, "<u4").tolist() == expected, repr(text)
         assert encoder.decode(ids) == library.decode(expected, skip_special_tokens=False), repr(text)
 
@@ -61,14 +66,22 @@ def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
     path = tmp_path / "words"
     path.write_bytes(b"head" + compile_words(words))
     lexicon = Lexicon(str(path), 4)
-    for word, ids in words.items():
-        assert lexicon.get(word) == ids
-    assert [lexicon.number(w) for w in sorted(words)] == list(range(len(words)))
-    for word in (b"walk", b"walkings", b"x", b"abcabcabc"):
-        assert word in words or lexicon.get(word) is None
+    assert [numbers(i) for i in lexicon.get_all(list(words))] == list(words.values())
+    assert lexicon.numbers(sorted(words)).tolist() == list(range(len(words)))
+    unknown = [w for w in (b"walk", b"walkings", b"x", b"abcabcabc") if w not in words]
+    assert lexicon.get_all(unknown) == [None] * len(unknown)
     path.write_bytes(compile_words({w + b"ing": [1] for w in (b"walk", b"talk", b"jump")}))
     # three stems of four letters and one shared ending
-    assert len(Lexicon(str(path)).starts) - 1 <= 3 * 4 + 3
+    assert len(Lexicon(str(path)).parts["finals"]) <= 3 * 4 + 3
+
+
+def test_long_words_merge_alike(merges, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeth ") for _ in range(rng.randint(1, 90))).encode() for _ in range(200)]
+    words += [b"a" * n for n in range(1, 40)] + [b""]
+    expected = merges.merge_all(words)
+    monkeypatch.setattr(bpe, "_LONG", 0)
+    assert merges.merge_all(words) == expected
 
 
 def test_summary_keeps_heavy_words():
