@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelstat.llm import (
-    bpe, chat, dart_minhash, digest_index, mixing, pii, quality_ranker, suffix_buckets, text_rules,
+    bpe, chat, dart_minhash, debruijn, digest_index, mixing, pii, quality_ranker, suffix_buckets, text_rules,
 )
 from gavelstat.llm.frames import table
 
@@ -95,6 +95,11 @@ def op6(spark, sf_dir):
     return mixing.taken(mixing.plan(table(spark, sf_dir, "documents")))
 
 
+@query("op7_debruijn")
+def op7(spark, sf_dir):
+    return debruijn.remove(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 @query("op8_bpe")
 def op8(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
