@@ -12,6 +12,7 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -33,13 +34,14 @@ from gavelstat.workspace import drop_at_exit, new_path
 
 #: Words in the lexicon, and counters in a task's summary.
 LEXICON_WORDS = 1 << 16
-#: Encoded words, and as many units, that a worker remembers from step to step.
+#: Encoded words that a worker remembers from step to step.
 MEMO_WORDS = 1 << 18
 # Fixed value: the vocabulary's own pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space besides space and line feed.
-_RARE_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
-_THREE_SPACES = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
+#: The same for texts of ASCII alone, which the standard library splits faster.
+_ASCII_PATTERN = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
 #: Bytes of a word from which a heap finds the next pair.
 _LONG = 1024
 _NO_RANK = 1 << 40
@@ -176,118 +178,72 @@ class Merges:
 class Encoder:
     """Texts to ids, as bytes of little-endian 32-bit integers.
 
-    A text falls into units, space-separated where that is safe, and units into words.  What a step has not seen
-    before is looked up or merged all together.
+    Words that a step has not seen before are looked up, or merged, all together.
     """
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None = None):
         self.merges, self.lexicon = merges, lexicon
         special = sorted(merges.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        #: Ids of words, of units at the start of a line, and of units after a space.
         self.word: dict[str, bytes] = {}
-        self.line: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        for memo in (self.word, self.line, self.spaced):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-        parts = [self._parts(t) for t in texts]
-        first: set[str] = {"\n"}
-        rest: set[str] = set()
-        loose: set[str] = set()
-        for lines in (p for ps in parts for p in ps):
-            if isinstance(lines, tuple):
-                loose.update(lines)
-            elif isinstance(lines, list):
-                for head, *tail in lines:
-                    first.add(head)
-                    rest.update(tail)
-        self._learn([w for w in first if w not in self.line], [w for w in rest if w not in self.spaced], loose)
-        return [b"".join([self._ids(p) for p in ps]) for ps in parts]
-
-    def _parts(self, text: str) -> list:
-        """Ids of special tokens (bytes), words (tuple), or lines of units (list)."""
+        if len(self.word) > MEMO_WORDS:
+            self.word.clear()
+        # millions of strings and no cycles: looking for those would take a fifth of the time
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            split = [self._split(t) for t in texts]
+            self._learn(list(set().union(*split) - self.word.keys()))
+            word = self.word
+            return [b"".join([word[w] for w in words]) for words in split]
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _split(self, text: str) -> list[str]:
+        """The pattern's words, special tokens among them."""
+        find = _ASCII_PATTERN.findall if text.isascii() else self.merges.pattern.findall
         if self.special is None or not self.special.search(text):
-            return [self._units(text)]
+            return find(text)
         out, end = [], 0
         for match in self.special.finditer(text):
-            out += [self._units(text[end : match.start()]), self.merges.special[match[0]].to_bytes(4, "little")]
+            out += [*find(text[end : match.start()]), match[0]]
             end = match.end()
-        return [*out, self._units(text[end:])]
-
-    def _units(self, text: str) -> list | tuple:
-        if splits_at_spaces(text):
-            return [line.split(" ") for line in text.split("\n")]
-        return tuple(self.merges.pattern.findall(text))
-
-    def _learn(self, first: list[str], rest: list[str], loose: set[str]) -> None:
-        split = self.merges.pattern.findall
-        units = [(w, _plain_words(w) or split(w)) for w in first]
-        spaced = [" " + w for w in rest]
-        tails = [(w, _plain_words(w) or split(w)) for w in spaced]
-        words = {w for part in (units, tails) for _, ws in part for w in ws}
-        new = list((words | loose) - self.word.keys())
-        raw = [w.encode() for w in new]
+        return out + find(text[end:])
+
+    def _learn(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
         found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
         unseen = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(unseen, self.merges.merge_all([raw[i] for i in unseen])):
             found[i] = ids
-        word = self.word
-        word.update(zip(new, found))
-        self.line.update([(w, b"".join([word[x] for x in ws])) for w, ws in units])
-        self.spaced.update([(w, b"".join([word[x] for x in ws])) for w, (_, ws) in zip(rest, tails)])
-
-    def _ids(self, part) -> bytes:
-        if isinstance(part, bytes):
-            return part
-        if isinstance(part, tuple):
-            return b"".join([self.word[w] for w in part])
-        line, spaced = self.line, self.spaced
-        return line["\n"].join([line[units[0]] + b"".join([spaced[w] for w in units[1:]]) for units in part])
+        self.word.update(zip(words, found))
+        # no word of the pattern reads like a special token
+        self.word.update((t, i.to_bytes(4, "little")) for t, i in self.merges.special.items())
 
     def decode(self, ids: bytes) -> str:
         token = self.merges.token
         return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", errors="replace")
 
 
-def _plain_words(unit: str) -> tuple[str, ...]:
-    """What the pattern finds in letters, after a space or not, and one sign: most units.  Empty for other units."""
-    body = unit[1:] if unit[:1] == " " else unit
-    if body.isalpha():
-        return (unit,)
-    if body[:-1].isalpha() and body[-1] in ".,;:!?":
-        return unit[:-1], unit[-1]
-    return ()
-
-
-def splits_at_spaces(text: str) -> bool:
-    """Whether the pattern's words end at every line feed and start at every space.
-
-    It is so where white space comes one or two at a time: of two the pattern takes each alone, or the second
-    with the word that follows.  Longer runs, and two at the end, can make words of several spaces.
-    """
-    if _RARE_SPACE.search(text) or text[-2:].strip(" \n") == "" and len(text) > 1:
-        return False
-    return not any(run in text for run in _THREE_SPACES)
-
-
 # ---- Spark ----
 
 
 def count_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
     """Frequent space-separated words of all texts: word, n.
 
-    A task keeps Misra-Gries summaries of ``most`` counters, for words with and without a space before.  Summaries add up; a count is too small by at most
-    the words of the corpus divided by ``most``.
+    A task keeps Misra-Gries summaries of ``most`` / 2 counters for words after a space and fewer for others.
+    Summaries add up; a count is too small by at most the words of its kind divided by the counters.
     """
 
     def summarise(batches):
         counts = [Counter(), Counter()]  # of words at the start of a line, and after a space
+        shares = [max(most // 16, 1), max(most // 2, 1)]
         for batch in batches:
             for step in steps(batch, "text"):
                 for text in step.column(0).to_pylist():
@@ -295,9 +251,9 @@ def count_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
                         first, *rest = line.split(" ")
                         counts[0][first] += 1
                         counts[1].update(rest)
-                counts = [reduced(c, most) if len(c) > 4 * most else c for c in counts]
-        for space, c in zip(("", " "), counts):
-            c = reduced(c, most)
+                counts = [reduced(c, n) if len(c) > 8 * n else c for c, n in zip(counts, shares)]
+        for space, c, n in zip(("", " "), counts, shares):
+            c = reduced(c, n)
             yield pa.RecordBatch.from_pydict({"word": [space + w for w in c], "n": list(c.values())}, schema=arrow)
 
     arrow = pa.schema([("word", pa.string()), ("n", pa.int64())])

@@ -43,6 +43,8 @@ def texts():
     yield from ("", " ", "  ", "\n", " \n", "\n ", "a ", "a  ", " a", "  a", "a\n\n", "a \nb", "a\n b", "a  b", "a\n\nb")
     for _ in range(1500):
         yield "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+    for code in range(128):
+        yield f"a{chr(code)}b {chr(code)}{chr(code)}1 {chr(code)}"
     yield "a" * 5000 + " " * 700 + "".join(rng.choice("abcdefghij") for _ in range(3000))
 
 
