@@ -33,7 +33,7 @@ from gavelstat.llm.windows import BYTE_NAMES, MARK_BITS, Windows, covered, names
 from gavelstat.workspace import materialize
 
 LENGTH, GRAM = 100, 32
-WINDOWS = Windows(LENGTH, GRAM, 64)
+WINDOWS = Windows(LENGTH, GRAM, LENGTH)
 #: Chains in a bucket from which its windows are grouped by their names across tasks.
 LARGE_BUCKET = 4096
 #: Rows that a task looks at together when it finishes buckets, and chains that it settles together.
