@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstat.workspace import materialize
+from gavelstat.workspace import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(links, "links")
     state = _state(links)
     while True:
-        links = materialize(_small_star(_large_star(links)), "links")
+        old, links = links, materialize(_small_star(_large_star(links)), "links")
+        release(old)
         before, state = state, _state(links)
         if before == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
