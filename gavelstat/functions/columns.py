@@ -20,22 +20,58 @@ def to_number(value: Column) -> Column:
     return F.when(value.rlike(NUMERIC_TEXT) & (F.abs(parsed) < F.lit(float("inf"))), parsed)
 
 
-def to_decimal(value: Column, strict: bool = False) -> Column:
-    """Text to an exact decimal for range predicates.
+def below(value: Column, limit: float, strict: bool = False) -> Column:
+    """Whether a number in text is less than ``limit``, without rounding it.
 
-    ``strict`` raises on text that does not parse, as a relational cast does;
-    otherwise such rows compare as unknown and drop out.
+    Decimals are cut, not rounded, after the eighteenth; what is cut off decides between a negative number and a
+    limit that are equal so far.  Numbers too large for a decimal compare as doubles.  ``strict`` raises on text
+    that does not parse, as a relational cast does; otherwise such rows compare as unknown and drop out.
     """
-    return value.cast("decimal(38,10)") if strict else value.try_cast("decimal(38,10)")
+    long = F.length(value) > 20
+    short = F.when(long, F.regexp_replace(value, r"(\.[0-9]{18})[0-9]+", "$1")).otherwise(value)
+    decimal, edge = short.try_cast("decimal(38,18)"), F.lit(limit).cast("decimal(38,18)")
+    more = long & (decimal == edge) & value.rlike(r"^\s*-[0-9]*\.[0-9]{18}0*[1-9]")
+    double = value.cast("double") if strict else value.try_cast("double")
+    return F.coalesce((decimal < edge) | more, double < limit)
 
 
-def exact_mean(value: Column) -> Column:
-    """Mean of a text amount, summed exactly to four decimals.
+def above(value: Column, limit: float, strict: bool = False) -> Column:
+    """Whether a number in text is more than ``limit``, without rounding it; see ``below``."""
+    return below(_negated(value), -limit, strict)
+
+
+def _negated(value: Column) -> Column:
+    """The text of the number's negative."""
+    bare = F.trim(value)
+    return F.when(bare.startswith("-"), F.substring(bare, 2, 1 << 30)).otherwise(
+        F.concat(F.lit("-"), F.regexp_replace(bare, r"^\+", ""))
+    )
+
+
+def mean_parts(value: Column) -> dict[str, Column]:
+    """Aggregates that add up over groups and from which ``mean_of_parts`` makes the mean of a text amount.
 
-    A sum of doubles depends on the order rows arrive in; money should not.
+    A sum of doubles depends on the order rows arrive in; money should not.  Amounts that a decimal of twelve
+    places holds are summed exactly, all others as doubles.
     """
-    amount = F.when(value.rlike(NUMERIC_TEXT), F.trim(value).try_cast("decimal(18,4)"))
-    return F.try_divide(F.sum(amount).cast("double"), F.count(amount))
+    number = to_number(value)
+    decimal = F.when(number.isNotNull(), F.trim(value).try_cast("decimal(30,12)"))
+    exact = F.coalesce(decimal.cast("double") == number, F.lit(False))
+    return {
+        "exact_total": F.sum(F.when(exact, decimal)),
+        "other_total": F.sum(F.when(~exact, number)),
+        "amounts": F.count(number),
+    }
+
+
+def mean_of_parts(exact_total: Column, other_total: Column, amounts: Column) -> Column:
+    total = F.coalesce(exact_total.cast("double"), F.lit(0.0)) + F.coalesce(other_total, F.lit(0.0))
+    return F.try_divide(total, amounts)
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean of all amounts in text that parse."""
+    return mean_of_parts(*mean_parts(value).values())
 
 
 def severity_weight(code: Column) -> Column:

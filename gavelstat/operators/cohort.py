@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstat.functions.columns import row_hash, to_decimal
+from gavelstat.functions.codes import BROADCAST_BYTES, BROADCAST_LABELS
+from gavelstat.functions.columns import above, below, row_hash
 from gavelstat.functions.order_stats import select_ranks
 from gavelstat.schema import (
     AMOUNT_FLOOR,
@@ -43,13 +45,15 @@ def amount_in_range(
 
     Where the amount is also stored as a number the predicate uses that, and reaches the scan.
     """
-    amount = F.col(TARGET) if TARGET in cases.columns else to_decimal(F.col(RAW_TARGET), strict)
-    return cases.filter((amount < high) & (amount > low))
+    if TARGET in cases.columns:
+        return cases.filter((F.col(TARGET) < high) & (F.col(TARGET) > low))
+    raw = F.col(RAW_TARGET)
+    return cases.filter(below(raw, high, strict) & above(raw, low, strict))
 
 
 def days_below(cases: DataFrame, limit: float = DAYS_LIMIT, strict: bool = False) -> DataFrame:
     """Rows with fewer days in custody than ``limit``."""
-    return cases.filter(to_decimal(F.col("known_days_in_custody"), strict) < limit)
+    return cases.filter(below(F.col("known_days_in_custody"), limit, strict))
 
 
 def eligible_cases(cases: DataFrame, strict: bool = False) -> DataFrame:
@@ -57,24 +61,69 @@ def eligible_cases(cases: DataFrame, strict: bool = False) -> DataFrame:
     return days_below(amount_in_range(with_recorded_amount(cases), strict=strict), strict=strict)
 
 
+def counted(*tables: DataFrame) -> list[DataFrame]:
+    """The tables, marked for broadcast where their counted rows and bytes allow it.
+
+    Foreign keys of cases have few values, some of them very frequent: shuffled by such a key, a third of all cases
+    would meet in one task.  Static estimates can't tell a small dimension made of a growing table, so all are
+    counted, in one job.  A dimension beyond the bound is joined by a shuffle that adaptive execution splits.
+    """
+    sizes = [
+        t.agg(
+            F.lit(i).alias("i"), F.count("*").alias("n"),
+            F.sum(F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in t.columns]))).alias("bytes"),
+        )
+        for i, t in enumerate(tables)
+    ]
+    rows = reduce(DataFrame.unionByName, sizes).collect()
+    fits = {r["i"]: r["n"] <= BROADCAST_LABELS and (r["bytes"] or 0) <= BROADCAST_BYTES for r in rows}
+    return [F.broadcast(t) if fits[i] else t for i, t in enumerate(tables)]
+
+
+def _races(star: Star) -> DataFrame:
+    return star.races.select("race_uuid", "race")
+
+
+def _places(star: Star) -> DataFrame:
+    """Counties with their income; those without an income row are left out."""
+    income = star.ny_income.select("county", "median_household_income")
+    counties = star.counties.select("county_uuid", "county_name")
+    return counties.join(income, F.col("county_name") == F.col("county")).drop("county")
+
+
+def _judges(star: Star) -> DataFrame:
+    return star.judges.select("judge_uuid", "judge_name")
+
+
+#: Keys of cases whose dimension gives no column.
+REFERENCES = {"district_id": "district_uuid", "court_id": "court_uuid", "representation_id": "representation_uuid"}
+
+
+def _references(star: Star) -> list[DataFrame]:
+    tables = (star.districts, star.courts, star.representation)
+    return [t.select(uid) for t, uid in zip(tables, REFERENCES.values())]
+
+
+def _lookup(cases: DataFrame, table: DataFrame, key: str, uid: str) -> DataFrame:
+    return cases.join(table, F.col(key) == F.col(uid)).drop(uid)
+
+
 def join_race(cases: DataFrame, star: Star) -> DataFrame:
-    return cases.join(star.races.select("race_uuid", "race"), F.col("race_id") == F.col("race_uuid")).drop("race_uuid")
+    return _lookup(cases, *counted(_races(star)), "race_id", "race_uuid")
 
 
 def join_county(cases: DataFrame, star: Star) -> DataFrame:
-    counties = star.counties.select("county_uuid", "county_name")
-    return cases.join(counties, F.col("county_id") == F.col("county_uuid")).drop("county_uuid")
+    return _lookup(cases, *counted(star.counties.select("county_uuid", "county_name")), "county_id", "county_uuid")
 
 
 def join_income(cases: DataFrame, star: Star) -> DataFrame:
     """Income by county name; cases of counties without an income row drop out."""
     income = star.ny_income.select("county", "median_household_income")
-    return cases.join(income, F.col("county_name") == F.col("county")).drop("county")
+    return _lookup(cases, *counted(income), "county_name", "county")
 
 
 def join_judge(cases: DataFrame, star: Star) -> DataFrame:
-    judges = star.judges.select("judge_uuid", "judge_name")
-    return cases.join(judges, F.col("judge_id") == F.col("judge_uuid")).drop("judge_uuid")
+    return _lookup(cases, *counted(_judges(star)), "judge_id", "judge_uuid")
 
 
 def with_known_references(cases: DataFrame, star: Star) -> DataFrame:
@@ -82,12 +131,12 @@ def with_known_references(cases: DataFrame, star: Star) -> DataFrame:
 
     These dimensions give no column, so a semi join says all that is needed.
     """
-    for key, table, uid in (
-        ("district_id", star.districts, "district_uuid"),
-        ("court_id", star.courts, "court_uuid"),
-        ("representation_id", star.representation, "representation_uuid"),
-    ):
-        cases = cases.join(table.select(uid), F.col(key) == F.col(uid), "left_semi")
+    return _semi(cases, counted(*_references(star)))
+
+
+def _semi(cases: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    for (key, uid), table in zip(REFERENCES.items(), tables):
+        cases = cases.join(table, F.col(key) == F.col(uid), "left_semi")
     return cases
 
 
@@ -96,12 +145,13 @@ def base_cohort(
 ) -> DataFrame:
     """The modelling cohort; ``keep`` adds further columns, such as the row key.
 
-    Filters come before joins, so only eligible cases are shuffled.  An empty ``judge``
-    or ``county`` means no filter.
+    Filters come before joins.  Counties and incomes are joined with each other first, so that the cases meet one
+    small table less.  An empty ``judge`` or ``county`` means no filter.
     """
-    cases = eligible_cases(star.cases, strict)
-    joined = join_income(join_county(join_race(cases, star), star), star)
-    joined = with_known_references(join_judge(joined, star), star)
+    races, places, judges, *references = counted(_races(star), _places(star), _judges(star), *_references(star))
+    joined = _lookup(eligible_cases(star.cases, strict), races, "race_id", "race_uuid")
+    joined = _lookup(_lookup(joined, places, "county_id", "county_uuid"), judges, "judge_id", "judge_uuid")
+    joined = _semi(joined, references)
     return filter_county(filter_judge(joined.select(*COHORT_COLUMNS, *keep), judge), county)
 
 

@@ -172,15 +172,16 @@ def feature_grids(df: DataFrame, features: Sequence[str], resolution: int = GRID
     between the 5th and 95th percentile (median-unbiased plotting positions).
     """
     features = list(features)
+    # the estimate only saves exact counting where there are far more; the exact count decides
     counts = df.agg(*[F.approx_count_distinct(f, 0.02).alias(f) for f in features]).first()
-    few = [f for f in features if counts[f] < resolution * 1.5]
+    few = [f for f in features if counts[f] < resolution * 2]
     grids: dict[str, list[float]] = {}
     if few:
-        values = melt_numbers(df, few).distinct().limit(len(few) * resolution * 2).collect()
-        for f in few:
-            mine = sorted(r["x"] for r in values if r["series"] == f)
-            if len(mine) < resolution:
-                grids[f] = mine
+        exact = melt_numbers(df, few).distinct().groupBy("series").count().collect()
+        few = [r["series"] for r in exact if r["count"] < resolution]
+    if few:
+        values = melt_numbers(df, few).distinct().collect()  # fewer than ``resolution`` per feature
+        grids = {f: sorted(r["x"] for r in values if r["series"] == f) for f in few}
     many = [f for f in features if f not in grids]
     if many:
         grids.update(_even_grids(df, many, resolution))

@@ -83,7 +83,7 @@ PARAM_GRIDS = {
 
 DEFAULT_TYPES = ["random_forest", "gradient_boosting"]
 SEED = 42
-FULL_DEPTH = 20  # stands for 'unlimited'; MLlib allows 30 at most
+FULL_DEPTH = 30  # stands for 'unlimited': as deep as MLlib goes
 BINS = 128
 ROUND_CUT = 5
 OWN_ENSEMBLES = ("ada_boost", "bagging", "extra_trees")
@@ -356,12 +356,14 @@ def _fit_ada_boost(df: DataFrame, features: list[str], target: str, p: dict) ->
 
 
 def _poisson_weight(uniform: Column, mean: float) -> Column:
-    """Poisson row weight by inverting its distribution at ``uniform``; draws above 12 are one in 10^10."""
+    """Poisson row weight by inverting its distribution at ``uniform``, up to a tail below 2^-60."""
     weight, p, cumulative = F.lit(0), float(np.exp(-mean)), 0.0
-    for k in range(12):
+    k = 0
+    while k <= mean or p > 2.0**-60:
         cumulative += p
         weight = weight + (uniform > F.lit(cumulative)).cast("int")
-        p *= mean / (k + 1)
+        k += 1
+        p *= mean / k
     return weight.cast("double")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelstat.functions.columns import exact_mean, rounded, severity_weight, to_number
+from gavelstat.functions.columns import exact_mean, mean_of_parts, mean_parts, rounded, severity_weight, to_number
 from gavelstat.operators.prepare import bin_column
 from gavelstat.schema import RAW_TARGET, TARGET, Star
 from gavelstat.workspace import materialize
@@ -161,14 +161,14 @@ def rollup_all_levels(cohort: DataFrame) -> DataFrame:
     The finest level is aggregated first and rolled up from there, so the cohort is not
     repeated per level as grouping sets over rows would.
     """
-    amount = _amount().try_cast("decimal(18,4)")
+    parts = mean_parts(F.col(RAW_TARGET))
     finest = cohort.groupBy("county_name", "judge_name").agg(
-        F.sum(amount).alias("total"), F.count(amount).alias("amounts"), F.count("*").alias("cases")
+        *[c.alias(n) for n, c in parts.items()], F.count("*").alias("cases")
     )
     return (
         finest.rollup("county_name", "judge_name")
         .agg(
-            F.try_divide(F.sum("total").cast("double"), F.sum("amounts")).alias("average_bail_amount"),
+            mean_of_parts(*[F.sum(n) for n in parts]).alias("average_bail_amount"),
             F.sum("cases").alias("number_of_cases"),
             F.grouping_id().alias("__level"),
         )
@@ -187,12 +187,6 @@ def target_by_disposition(cases: DataFrame, bins: int = 10) -> DataFrame:
     )
 
 
-def disposition_matrix(cases: DataFrame, dispositions: list[str], bins: int = 10) -> DataFrame:
-    """The cross-tab with one column per listed disposition."""
-    cells = target_by_disposition(cases, bins)
-    return cells.groupBy("bin").pivot("disposition_type", dispositions).agg(F.sum("n"))
-
-
 def county_overview(cohort: DataFrame) -> DataFrame:
     """Per county: cases, judges, average amount, income and its correlation with prior offences."""
     amount = _amount()

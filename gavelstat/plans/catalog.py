@@ -89,9 +89,8 @@ def number(column: str) -> str:
 
 
 def exact_mean(column: str) -> str:
-    """SQL for the mean of a text amount, summed exactly."""
-    amount = f"CAST({number(column)} AS DECIMAL(18,4))"
-    return f"CAST(sum({amount}) AS DOUBLE) / nullif(count({amount}), 0)"
+    """SQL for the plain mean of a text amount."""
+    return f"avg({number(column)})"
 
 
 def r(expression: str, digits: int = 6) -> str:
@@ -99,9 +98,9 @@ def r(expression: str, digits: int = 6) -> str:
 
 
 ELIGIBLE = """first_bail_set_cash IS NOT NULL AND top_charge_weight_at_arraign IS NOT NULL
-   AND TRY_CAST(first_bail_set_cash AS DECIMAL(38,10)) < 39000
-   AND TRY_CAST(first_bail_set_cash AS DECIMAL(38,10)) > 1
-   AND TRY_CAST(known_days_in_custody AS DECIMAL(38,10)) < 100"""
+   AND TRY_CAST(first_bail_set_cash AS DOUBLE) < 39000
+   AND TRY_CAST(first_bail_set_cash AS DOUBLE) > 1
+   AND TRY_CAST(known_days_in_custody AS DOUBLE) < 100"""
 
 COHORT_LIST = """gender, ethnicity, race, age_at_arrest, known_days_in_custody, top_charge_weight_at_arraign,
   first_bail_set_cash, prior_vfo_cnt, prior_nonvfo_cnt, prior_misd_cnt, pend_nonvfo, pend_misd, pend_vfo,

@@ -22,8 +22,9 @@ from gavelstat.plans.catalog import (
     star_of,
 )
 from gavelstat.schema import COHORT_COLUMNS, QUERY_LIMIT
-from gavelstat.sources.star import table_sizes
-from gavelstat.workspace import materialize
+from gavelstat.sources.star import read_star as stored_star
+from gavelstat.sources.star import table_sizes, write_star
+from gavelstat.workspace import drop_at_exit, materialize, new_path
 
 CASE_COLUMNS = [KEY, "first_bail_set_cash", "top_charge_weight_at_arraign", "known_days_in_custody"]
 CASE_LIST = ", ".join(CASE_COLUMNS)
@@ -43,7 +44,11 @@ UNION ALL SELECT 'counties', count(*) FROM nation
 UNION ALL SELECT 'districts', count(*) FROM region""",
 )
 def read_star(spark, sf_dir):
-    return table_sizes(star_of(spark, sf_dir))
+    """The star written and read back by the library's own reader."""
+    folder = new_path(spark, "star")
+    write_star(star_of(spark, sf_dir), folder)
+    drop_at_exit(spark, folder)
+    return table_sizes(stored_star(spark, folder))
 
 
 def _rounded_income(df):
@@ -73,8 +78,8 @@ def filter_not_null(spark, sf_dir):
 
 @query(
     "filter_amount_range",
-    f"{WITH_CASES} SELECT {CASE_LIST} FROM cases WHERE TRY_CAST(first_bail_set_cash AS DECIMAL(38,10)) < 39000 "
-    "AND TRY_CAST(first_bail_set_cash AS DECIMAL(38,10)) > 1",
+    f"{WITH_CASES} SELECT {CASE_LIST} FROM cases WHERE TRY_CAST(first_bail_set_cash AS DOUBLE) < 39000 "
+    "AND TRY_CAST(first_bail_set_cash AS DOUBLE) > 1",
 )
 def filter_amount_range(spark, sf_dir):
     return K.amount_in_range(star_of(spark, sf_dir).cases).select(*CASE_COLUMNS)
@@ -82,7 +87,7 @@ def filter_amount_range(spark, sf_dir):
 
 @query(
     "filter_days_outlier",
-    f"{WITH_CASES} SELECT {CASE_LIST} FROM cases WHERE TRY_CAST(known_days_in_custody AS DECIMAL(38,10)) < 100",
+    f"{WITH_CASES} SELECT {CASE_LIST} FROM cases WHERE TRY_CAST(known_days_in_custody AS DOUBLE) < 100",
 )
 def filter_days_outlier(spark, sf_dir):
     return K.days_below(star_of(spark, sf_dir).cases).select(*CASE_COLUMNS)

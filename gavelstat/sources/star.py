@@ -6,16 +6,21 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gavelstat.schema import SCHEMAS, Star
+from gavelstat.schema import SCHEMAS, TARGET, Star
 
 
 def read_star(spark: SparkSession, folder: str) -> Star:
     """Star stored as one parquet table per entity; schemas are declared, not inferred.
 
-    A fact table partitioned by ``arrest_year`` is pruned by filters on it.
+    A fact table partitioned by ``arrest_year`` is pruned by filters on it.  Where amounts are also stored as
+    numbers, as ``normalize_flat`` does, that column is read too, and predicates on it reach the scan.
     """
-    return Star(**{n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in SCHEMAS.items()})
+    schemas = dict(SCHEMAS)
+    if TARGET in spark.read.parquet(f"{folder}/cases").columns:
+        schemas["cases"] = T.StructType([*schemas["cases"].fields, T.StructField(TARGET, T.DoubleType())])
+    return Star(**{n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in schemas.items()})
 
 
 def read_star_jdbc(
@@ -32,7 +37,9 @@ def read_star_jdbc(
     for name, struct in SCHEMAS.items():
         reader = spark.read.format("jdbc").options(**common).option("dbtable", f"{schema}.{name}")
         if name == "cases":
-            predicates = [f"mod(abs(hashtext(internal_case_id)), {partitions}) = {i}" for i in range(partitions)]
+            # the mask keeps the hash positive; abs() of the smallest one would overflow
+            slices = f"(hashtext(internal_case_id) & 2147483647) % {partitions}"
+            predicates = [f"{slices} = {i}" for i in range(partitions)]
             properties = {k: v for k, v in common.items() if k != "url"}
             table = spark.read.jdbc(url, f"{schema}.{name}", predicates=predicates, properties=properties)
         else:
@@ -42,9 +49,11 @@ def read_star_jdbc(
 
 
 def write_star(star: Star, folder: str) -> None:
-    """Store the star as parquet, the fact table partitioned by year where it has one."""
+    """Store the star as parquet in the declared types, the fact table partitioned by year where it has one."""
     for name, table in star.tables().items():
-        writer = table.write.mode("overwrite")
+        declared = {f.name: f.dataType for f in SCHEMAS[name].fields}
+        typed = table.select(*[F.col(c).cast(declared.get(c, table.schema[c].dataType)) for c in table.columns])
+        writer = typed.write.mode("overwrite")
         if name == "cases" and "arrest_year" in table.columns:
             writer = writer.partitionBy("arrest_year")
         writer.parquet(f"{folder}/{name}")

@@ -3,13 +3,17 @@
 Iterative steps (selection passes, boosting rounds, forests) read the same input
 many times.  ``materialize`` writes such an input once as parquet in the folder
 the cluster names in ``spark.checkpoint.dir``: the lineage is cut, columns stay
-prunable, and a lost executor costs only the re-read of a file.
+prunable, and a lost executor costs only the re-read of a file.  ``release`` frees
+a table that is no longer needed; what is left goes with the session.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,23 +30,30 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "gav
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", _own_folder())
         .getOrCreate()
     )
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder for a session whose driver and tasks are one process on one machine."""
+    folder = tempfile.mkdtemp(prefix="gavelstat-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as configured for checkpoints.
 
-    Only a local master may fall back to a machine-local folder.
+    Only where there are no executors, under a ``local`` master, may the folder be unset.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="gavelstat-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return _own_folder()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -72,7 +83,18 @@ def materialize(df: DataFrame, label: str = "stage", by: str | None = None) -> D
     else:
         df.hint("rebalance", F.col(by)).write.partitionBy(by).parquet(path)
     drop_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` has returned and nothing reads any more."""
+    for stored in tables:
+        path = vars(stored).get("stored_at")
+        if path:
+            place = stored.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(stored.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def drop_at_exit(spark: SparkSession, path: str) -> None:

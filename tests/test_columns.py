@@ -19,10 +19,28 @@ def test_text_numbers(spark):
 
 def test_strict_cast_raises(spark):
     df = spark.createDataFrame([("1.5",), ("x",)], "v string")
-    lenient = [r[0] for r in df.select(C.to_decimal(F.col("v")).cast("double")).collect()]
-    assert lenient == [1.5, None]
+    assert [r[0] for r in df.select(C.below(F.col("v"), 2)).collect()] == [True, None]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        df.select(C.to_decimal(F.col("v"), strict=True)).collect()
+        df.select(C.below(F.col("v"), 2, strict=True)).collect()
+
+
+def test_comparisons_do_not_round(spark):
+    cases = {
+        "38999.99999999999": (True, True), "38999.9999999999999999999999": (True, True), "39000": (False, True),
+        "39000.0000000000000000000001": (False, True), "1": (True, False), "1.0000000000000000001": (True, True),
+        "0.99999999999999999999": (True, False), "-5": (True, False), "+7": (True, True), "1e25": (False, True), "-1e25": (True, False),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = df.select("v", C.below(F.col("v"), 39000).alias("b"), C.above(F.col("v"), 1).alias("a")).collect()
+    assert {r.v: (r.b, r.a) for r in got} == cases
+
+
+def test_means_keep_every_amount(spark):
+    for values in (["10", "1e15", "0.00004"], ["0.1"] * 10, ["1e14", "x", None, "2.123456789012345"], ["-3", "3.00001"], ["x"]):
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        numbers = [float(v) for v in values if v not in ("x", None)]
+        got = df.agg(C.exact_mean(F.col("v"))).first()[0]
+        assert got == (pytest.approx(sum(numbers) / len(numbers), rel=1e-14) if numbers else None)
 
 
 def test_severity(spark):

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from gavelstat.schema import PROFILE_SCHEMA, SCHEMAS
 from gavelstat.sources import outputs as O
 from gavelstat.sources.star import read_star, write_star
 from gavelstat.sources.tpch_star import bind_star
-from gavelstat.workspace import new_path
+from gavelstat.workspace import materialize, new_path, release
 
 from conftest import SF
 
@@ -137,6 +139,37 @@ def test_stored_amounts_reach_the_scan(spark):
     assert K.base_cohort(typed).count() == K.base_cohort(star).count()
 
 
+def test_stored_star_is_read_with_its_typed_amounts(spark):
+    star = bind_star(spark, SF)
+    typed = star.with_cases(star.cases.withColumn("bail_amount", to_number(F.col("first_bail_set_cash"))))
+    folder = new_path(spark, "star")
+    write_star(typed, folder)
+    scan = K.amount_in_range(read_star(spark, folder).cases).select("race_id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(bail_amount,1.0)" in scan
+    write_star(star, folder + "-plain")
+    assert "bail_amount" not in read_star(spark, folder + "-plain").cases.columns
+    assert K.base_cohort(read_star(spark, folder)).count() == K.base_cohort(star).count()
+
+
+def test_cases_are_not_shuffled_by_a_hot_key(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+    try:
+        plan = K.base_cohort(bind_star(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [line for line in plan.split("\n") if "hashpartitioning(" in line]
+    assert shuffles and not any(f"hashpartitioning({k}#" in s for s in shuffles for k in ("race_id", "court_id", "county_name", "county_id"))
+
+
+def test_released_tables_are_gone(spark):
+    stored = materialize(spark.range(3), "some")
+    folder = Path(stored.stored_at.removeprefix("file:").replace("//", "/"))
+    assert folder.exists() and stored.count() == 3
+    release(stored)
+    assert not folder.exists()
+
+
 def test_cohort_guards(spark):
     star = bind_star(spark, SF)
     cohort = K.base_cohort(star)
