@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gavelstat.llm.components import components
 from gavelstat.llm.darts import signatures
-from gavelstat.llm.frames import map_batches, steps
+from gavelstat.llm.frames import map_batches, small, steps
 from gavelstat.llm.windows import combine, names, signed
 from gavelstat.workspace import materialize
 
@@ -150,7 +150,7 @@ def links(members: DataFrame, similarity: float) -> DataFrame:
     """Links enough to join the classes of fields; ``members``: node, field, size (of the field) and text."""
     blocks = _blocks(members.select("field", "node", "text", _deal("size")), "field")
     around = blocks.filter("block = 0").select("field", F.col("rows").alias("left"))
-    near = materialize(_compare(blocks.select("field", F.col("rows").alias("right")).join(around, "field"), similarity), "links")
+    near = small(_compare(blocks.select("field", F.col("rows").alias("right")).join(around, "field"), similarity), "links")
     wide = members.filter(F.col("size") > BLOCK)
     if wide.isEmpty():
         return near
@@ -164,7 +164,7 @@ def links(members: DataFrame, similarity: float) -> DataFrame:
         F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")
     ).filter("n_rest > 0")
     wide = wide.join(sizes, "field").withColumn("part", F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest")))
-    blocks = materialize(_blocks(wide.select("field", "main", "node", "text", _deal("part")), "field", "main"), "blocks")
+    blocks = small(_blocks(wide.select("field", "main", "node", "text", _deal("part")), "field", "main"), "blocks")
     rest = blocks.filter("not main").select("field", F.col("block").alias("i"), F.col("rows").alias("left"))
     right = blocks.select("field", "main", "block", F.col("rows").alias("right"))
     pairs = right.join(rest, "field").filter("main or i <= block")
@@ -179,19 +179,19 @@ def _joined(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Distinct rows (node, doc) with how often each occurs and its class's label, and a row per class."""
     sketched = materialize(sketch(docs), "sketches")
     rows = sketched.groupBy("node", "doc").agg(F.count("*").alias("alike"))
-    near = materialize(fields(sketched), "fields")
+    near = small(fields(sketched), "fields")
     sizes = near.groupBy("field").agg(F.count("*").alias("size"))
     one = sketched.groupBy("node").agg(F.min("doc").alias("doc")).join(near.join(sizes, "field"), "node")
     members = identified(docs).join(one, ["node", "doc"]).dropDuplicates(["node", "doc"]).drop("doc")
-    labels = components(links(materialize(members, "members"), similarity))
+    labels = components(links(small(members, "members"), similarity))
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = materialize(rows, "rows")
+    rows = small(rows, "rows")
     first = F.min(F.struct("doc", "node")).alias("first")
     groups = rows.groupBy("label").agg(first, F.sum("alike").alias("class_size"))
     groups = groups.select(
         "label", F.col("first.doc").alias("class_doc"), F.col("first.node").alias("class_node"), "class_size"
     )
-    return rows, materialize(groups, "classes")
+    return rows, small(groups, "classes")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

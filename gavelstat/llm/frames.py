@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from gavelstat.workspace import materialize
+
 #: Text bytes that one step of a Python task works on; a longer text forms a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, label: str) -> DataFrame:
+    """Store a table of ids, far smaller than the texts it stands for, in an eighth of the usual partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
+    return materialize(df.coalesce(max(parts, 1)), label)
+
+
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
