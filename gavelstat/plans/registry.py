@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from gavelstat.plans import catalog
-from gavelstat.plans import cohort_queries, model_queries, prepare_queries, result_queries, rollup_queries  # noqa: F401
+from gavelstat.plans import (  # noqa: F401
+    cohort_queries, model_queries, prepare_queries, result_queries, rollup_queries, stump_queries,
+)
 
 
 def queries():
