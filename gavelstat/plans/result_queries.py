@@ -11,15 +11,18 @@ from gavelstat.plans.catalog import (
     KEY,
     WITH_BASE,
     cohort_of,
+    exact_mean,
     number,
     query,
     r,
+    star_of,
 )
 from gavelstat.plans.model_queries import ASSOCIATION, WITH_PARTS, _forest, _split, associations
+from gavelstat.plans.training import persist_run, run_training
 from gavelstat.schema import FEATURES, TARGET
 from gavelstat.sources import outputs as O
 from gavelstat.sources.tpch_star import table
-from gavelstat.workspace import materialize, new_path
+from gavelstat.workspace import drop_at_exit, materialize, new_path
 
 
 def _importance():
@@ -181,6 +184,28 @@ def run_duration(spark, sf_dir):
     return S.with_duration(spans).select("user_id", rounded(F.col("time_elapsed"), 3).alias("time_elapsed"))
 
 
+@query(
+    "persisted_run",
+    f"""{WITH_BASE}, models(model_type, model_params) AS (VALUES ('lasso', '{{"alpha": 0.1}}'), ('ridge', '{{"alpha": 0.1}}'))
+ SELECT 'baseline' AS model_target_type, 'baseline' AS model_target, model_type, model_params,
+  {r(exact_mean('first_bail_set_cash'))} AS average_bail_amount, count(*) AS total_cases, 15 AS num_features,
+  'No previous R² value' AS r2_comparison, true AS measured, 15 AS importances FROM base, models GROUP BY model_type, model_params""",
+)
+def persisted_run(spark, sf_dir):
+    """The wide rows of a run, as stored and read back."""
+    run = run_training(star_of(spark, sf_dir), KEY, types=["lasso", "ridge"])
+    folder = new_path(spark, "runs")
+    drop_at_exit(spark, folder)
+    rows = O.read_runs(spark, persist_run(run, folder).results)
+    found = [F.col(f"{f}_importance").isNotNull().cast("int") for f in FEATURES]
+    measured = (F.col("time_elapsed") > 0) & (F.col("mean_squared_error") > 0) & F.col("average_r2").isNotNull()
+    return rows.select(
+        "model_target_type", "model_target", "model_type", "model_params",
+        rounded(F.col("average_bail_amount")).alias("average_bail_amount"), "total_cases", "num_features", "r2_comparison",
+        measured.alias("measured"), sum(found[1:], found[0]).alias("importances"),
+    )
+
+
 # ---- sinks ----
 
 

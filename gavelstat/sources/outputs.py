@@ -41,8 +41,23 @@ def read_features(spark: SparkSession, path: str, part: str | None = None) -> Da
     return stored.filter(F.col("split") == part) if part else stored
 
 
+def write_runs(rows: DataFrame, path: str) -> str:
+    """Add the rows of runs, one partition per run_id; writing a run again replaces it."""
+    writer = rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
+    return path
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``write_runs`` has stored; None before the first run."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
+
+
 def append_rows(rows: DataFrame, path: str) -> str:
-    """Append result or run rows; the commit is atomic, a failed job leaves none behind."""
+    """Append rows; a retry after a lost commit repeats them, ``write_runs`` is safe from that."""
     rows.write.mode("append").parquet(path)
     return path
 

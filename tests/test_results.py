@@ -194,7 +194,7 @@ def test_training_and_grading_runs(spark):
     assert summary["ridge"]["total_cases"] == K.base_cohort(star).count()
     assert run.train_rows.count() + run.test_rows.count() == run.rows.count()
     wide = S.result_rows(run.profiles, ["run_id", "model_type"])
-    assert wide.count() == 1
+    assert wide.count() == 2  # ridge has no importances of its own, its features are permuted
     graded = T.run_grading(star, run.models[0], run.preparation)
     assert graded.count() == 10 and "judge_name" in graded.columns
     assert T.run_grading(star, run.models[1], run.preparation, by="county_name", limit=3).count() == 3
@@ -208,3 +208,27 @@ def test_preparation_learned_on_the_training_part(spark):
     assert parts == {r["split"]: r["count"] for r in rows_all.groupBy("split").count().collect()}
     means = rows.filter("split = 'train'").agg(F.avg("age_at_arrest")).first()[0]
     assert abs(means) < 1e-9
+
+
+def test_a_run_is_stored_compared_and_replaced(spark, tmp_path):
+    star = bind_star(spark, SF)
+    small = {"random_forest": {"n_estimators": 2, "max_depth": 2}}
+    run = T.run_training(star, types=["random_forest", "ridge"], params=small)
+    folder = f"file://{tmp_path}"
+    baseline = profile(spark, [("race", 0.5), ("gender", 0.5)])
+    stored = T.persist_run(run, folder, baseline)
+    T.persist_run(run, folder, baseline)  # a retry
+    rows = O.read_runs(spark, stored.results).collect()
+    assert sorted(r.model_type for r in rows) == ["random_forest", "ridge"]
+    assert {r.r2_comparison for r in rows} == {"No previous R² value"}
+    assert all(r.race_importance is not None and r.time_elapsed > 0 for r in rows)
+    assert spark.read.parquet(stored.comparison).count() == 4
+    phi = spark.read.parquet(f"{stored.attributions}/{rows[0].run_id}/random_forest")
+    assert phi.count() == run.test_rows.count() * 15
+    again = T.run_training(star, types=["ridge"])
+    T.persist_run(again, folder)
+    (row,) = O.read_runs(spark, stored.results).filter(F.col("run_id") == again.summary.first().run_id).collect()
+    assert row.r2_comparison.startswith("R²") and row.model_params == '{"alpha": 0.1}'
+    graded = T.grade_stored(stored, run, "ridge", star)
+    whole = run.test_rows.count()
+    assert 0 < graded.agg(F.sum("n")).first()[0] <= whole
