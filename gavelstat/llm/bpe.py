@@ -28,9 +28,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstat.llm.frames import map_batches, steps
+from gavelstat.llm.frames import map_batches, small, steps
 from gavelstat.llm.lexicon import Lexicon, compile_words
-from gavelstat.workspace import drop_at_exit, new_path
+from gavelstat.workspace import drop_at_exit, new_path, release
 
 #: Words in the lexicon, and counters in a task's summary.
 LEXICON_WORDS = 1 << 16
@@ -261,6 +261,23 @@ def count_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counted: DataFrame, most: int) -> list:
+    """The most frequent words, ``most`` at most: those above a count that a histogram of counts gives.
+
+    Only the histogram and the words themselves reach the driver, however many tasks have counted.
+    """
+    counted = small(counted.withColumn("cell", F.floor(16 * F.log2(F.col("n").cast("double")))), "words")
+    cut, total = None, 0
+    for cell, words in sorted(counted.groupBy("cell").count().collect(), reverse=True):
+        total += words
+        if total > most:
+            break
+        cut = cell
+    found = [] if cut is None else counted.filter(F.col("cell") >= cut).select("word").collect()
+    release(counted)
+    return sorted(r["word"] for r in found)
+
+
 def reduced(counts: Counter, most: int) -> Counter:
     """The summary with at most ``most`` counters: all lose as much as the first that is left out has."""
     if len(counts) <= most:
@@ -276,8 +293,8 @@ def build(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS) -> s
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = json.load(file)
     merges = Merges(vocabulary)
-    top = count_words(docs, most).orderBy(F.desc("n"), "word").limit(most).collect()
-    words = list({w.encode() for row in top for w in merges.pattern.findall(row["word"])})
+    top = most_frequent(count_words(docs, most), most)
+    words = list({w.encode() for text in top for w in merges.pattern.findall(text)})
     lexicon = compile_words({w: np.frombuffer(ids, "<u4") for w, ids in zip(words, merges.merge_all(words))})
     slim = {"added_tokens": vocabulary["added_tokens"], "model": {k: vocabulary["model"][k] for k in ("vocab", "merges")}}
     table = json.dumps(slim).encode()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelstat.llm.frames import map_batches, steps
+from gavelstat.llm.frames import map_batches, small, steps
 from gavelstat.llm.windows import MARK_BITS, Windows, covered, names, pack, runs, signed
 from gavelstat.workspace import materialize
 
@@ -93,7 +93,7 @@ def occurrences(found: DataFrame) -> DataFrame:
     )
     shared = paths.join(buckets.filter("low < high"), "bucket")
     shared = shared.select("path", "n", "first_doc", (F.col("first_doc") < F.col("last_doc")).alias("repeated"), "branches")
-    shared = materialize(shared.filter("repeated or branches"), "paths")
+    shared = small(shared.filter("repeated or branches"), "paths")
     return found.join(shared, "path")
 
 
@@ -145,7 +145,7 @@ def wanted(occurring: DataFrame) -> DataFrame:
 
     ``span``: the words of a unitig's source and traversals; ``few`` and ``many``: k-mers where paths branch.
     """
-    compact = materialize(unitigs(occurring), "unitigs")
+    compact = small(unitigs(occurring), "unitigs")
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     team = F.xxhash64("head", "salt").alias("team")
     sources = compact.select("*", salt).select(

@@ -93,6 +93,14 @@ def test_summary_keeps_heavy_words():
     assert kept["a"] >= 50 - sum(counts.values()) // 10
 
 
+def test_the_lexicon_is_of_frequent_words(spark):
+    rows = [("a",)] * 0 + [(f"{'often ' * 50}rare{i} seldom seldom",) for i in range(30)]
+    docs = spark.createDataFrame(rows, "text string")
+    found = bpe.most_frequent(bpe.count_words(docs, 100), 4)
+    assert " often" in found and len(found) <= 4 and not any("rare" in w for w in found)
+    assert bpe.most_frequent(bpe.count_words(docs.limit(0), 100), 4) == []
+
+
 def test_round_trip_of_a_table(spark, library):
     rows = [(1, "the cat  sat\n"), (2, None), (3, ""), (4, "the cat  sat\n"), (None, "x" * 50_000 + " the"), (5, "<|endoftext|>")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS ids", "'x' AS n_tokens")
