@@ -97,8 +97,8 @@ def _ratio(part: str, whole: str, scale: int) -> Column:
 RATIOS = {
     "word_length": (_ratio, ("word_chars", "n_words", 100), 200),
     "symbols": (_ratio, ("n_symbols", "word_chars", 1000), 50),
-    "dup_lines": (_ratio, ("n_dup_lines", "n_lines", 1000), 300),
-    "repeats": (_ratio, ("n_repeat_words", "n_words", 1000), 200),
+    "dup_lines": (_ratio, ("n_dup_lines", "n_lines", 1000), 500),
+    "repeats": (_ratio, ("n_repeat_words", "n_words", 1000), 400),
 }
 
 
