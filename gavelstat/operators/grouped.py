@@ -100,6 +100,33 @@ def train_per_group(
     return sums.filter(F.col("sums")[0] > min_cases).mapInPandas(solve, schema)
 
 
+def check_fits(
+    df: DataFrame, fitted: DataFrame, by: Sequence[str], features: Sequence[str], target: str = TARGET,
+    alpha: float = ALPHA,
+) -> DataFrame:
+    """How well stored models solve their normal equations on the rows: n, largest_residual and r2_recomputed.
+
+    One pass over the rows; it does not use the moments that the fit came from.
+    """
+    by, y = list(by), F.col(target).cast("double")
+    joined = df.join(fitted.select(*by, "intercept", "coefficients"), by)
+    prediction = F.col("intercept")
+    for i, f in enumerate(features):
+        prediction = prediction + F.col("coefficients")[i] * F.col(f).cast("double")
+    rows = joined.withColumn("__e", y - prediction)
+    sums = [F.sum("__e").alias("__s"), F.sum(F.col("__e") * F.col("__e")).alias("__q"), F.var_pop(y).alias("__v"), F.count("*").alias("n")]
+    for i, f in enumerate(features):
+        x = F.col(f).cast("double")
+        sums += [F.sum(x * F.col("__e")).alias(f"__c{i}"), F.avg(x).alias(f"__m{i}"), F.max(F.col("coefficients")[i]).alias(f"__w{i}")]
+    residuals = [
+        F.abs(F.col(f"__c{i}") - F.col(f"__m{i}") * F.col("__s") - alpha * F.col(f"__w{i}")) for i in range(len(features))
+    ]
+    return rows.groupBy(*by).agg(*sums).select(
+        *by, "n", F.greatest(F.abs("__s"), *residuals).alias("largest_residual"),
+        F.try_divide(-F.col("__q"), F.col("n") * F.col("__v")).alias("__r"),
+    ).select(*by, "n", "largest_residual", (F.col("__r") + 1).alias("r2_recomputed"))
+
+
 def coefficient_profile(per_group: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Long form: one row per group and feature."""
     names = F.array(*[F.lit(f) for f in features])

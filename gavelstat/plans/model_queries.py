@@ -277,6 +277,35 @@ def train_per_judge_full(spark, sf_dir):
     return G.coefficient_profile(G.train_per_group(rows, ["target"], features), ["target"], features)
 
 
+def _all_features_sql(column):
+    return f"""{WITH_PREPARED} SELECT b.{column} AS {column}, count(*) AS n, CAST(0 AS DOUBLE) AS largest_residual, true AS r2_agrees
+ FROM prepared p JOIN base b USING (internal_case_id) GROUP BY b.{column} HAVING count(*) > 5"""
+
+
+def _all_features(column, constant):
+    """Ridge over every feature that varies within a group, held against its normal equations and its own R²."""
+
+    def run(spark, sf_dir):
+        rows, learned = _prepared(spark, sf_dir, column)
+        features = [f for f in learned.features if f not in constant]
+        fitted = materialize(G.train_per_group(rows, ["target"], features), "fitted")
+        checked = G.check_fits(rows, fitted, ["target"], features).join(fitted.select("target", "r2"), "target")
+        agrees = F.abs(F.col("r2") - F.col("r2_recomputed")) < 1e-9
+        return checked.select(
+            F.col("target").alias(column), "n", rounded(F.col("largest_residual")).alias("largest_residual"),
+            F.coalesce(agrees, F.col("r2").isNull()).alias("r2_agrees"),
+        )
+
+    return run
+
+
+for _column, _constant in (
+    ("judge_name", ("judge_name", "county_name", "median_household_income")),
+    ("county_name", ("county_name", "median_household_income")),
+):
+    query(f"train_per_{_column.split('_')[0]}_all", _all_features_sql(_column))(_all_features(_column, _constant))
+
+
 def _grade_sql(column):
     return f"""{WITH_PREPARED}, {pair_moments('prepared')}, {pair_solution(0.1)},
  scored AS (SELECT b.{column} AS target, p.bail_amount AS y,
