@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelstat.llm import bpe, dart_minhash, digest_index, mixing, quality_ranker
-from gavelstat.llm.frames import table
+from gavelstat.llm.frames import fewer, table
 from gavelstat.workspace import materialize
 
 #: The vocabulary that the last stage encodes with.
@@ -19,22 +19,22 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, rejects go."""
-    return quality_ranker.keep_good(docs, quality_ranker.fit(docs, table(spark, sf_dir, "labels")))
+    return fewer(quality_ranker.keep_good(docs, quality_ranker.fit(docs, table(spark, sf_dir, "labels"))))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact copies go; of equal texts the row with the largest doc_id stays."""
-    return digest_index.temporary_index(spark).keep_new(docs)
+    return fewer(digest_index.temporary_index(spark).keep_new(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the row with the least doc_id stays."""
-    return dart_minhash.keep_first(docs)
+    return fewer(dart_minhash.keep_first(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document."""
-    return mixing.mixture(docs)
+    return fewer(mixing.mixture(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,7 +314,7 @@ def write_file(spark: SparkSession, path: str, content: bytes) -> None:
     out.close()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder_of(name: str) -> Encoder:
     """This worker's encoder from the file that ``build`` handed out."""
     path = SparkFiles.get(name)
@@ -336,7 +336,7 @@ def encode(docs: DataFrame, name: str, keep: list[str] | None = None) -> DataFra
             yield {c: step.column(i) for i, c in enumerate(keep)} | {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
     rows = docs.select(*keep, F.col("text").alias("_bpe_text"))
-    return map_batches(rows, run, ", ".join([*fields, "n_tokens bigint", "ids binary"]))
+    return map_batches(rows, run, ", ".join([*fields, "n_tokens bigint", "ids binary"]), encoder_of.cache_clear)
 
 
 def decode(encoded: DataFrame, name: str) -> DataFrame:
@@ -347,7 +347,7 @@ def decode(encoded: DataFrame, name: str) -> DataFrame:
         for step in steps(batch, "ids"):
             yield {"doc_id": step.column(0), "text": [encoder.decode(x) for x in step.column(1).to_pylist()]}
 
-    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string", encoder_of.cache_clear)
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS) -> DataFrame:
@@ -366,4 +366,5 @@ def round_trip(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS)
             }
 
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, ddl)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return map_batches(rows, run, ddl, encoder_of.cache_clear)

@@ -30,14 +30,13 @@ from pyspark.sql import functions as F
 
 from gavelstat.llm.components import components
 from gavelstat.llm.darts import signatures
-from gavelstat.llm.frames import map_batches, small, steps
+from gavelstat.llm.frames import LEAST, map_batches, small, steps
 from gavelstat.llm.windows import combine, names, signed
 from gavelstat.workspace import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 BLOCK = 512
-_LEAST = -(1 << 63)
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +56,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def _key():
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST))
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST))
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -204,7 +203,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _id(column: str):
-    return F.when(F.col(column) != _LEAST, F.col(column))
+    return F.when(F.col(column) != LEAST, F.col(column))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelstat.llm.frames import map_batches, small, steps
-from gavelstat.llm.windows import MARK_BITS, Windows, covered, names, pack, runs, signed
+from gavelstat.llm.frames import LEAST, fewer, keyed_texts, map_batches, small, steps
+from gavelstat.llm.windows import Windows, covered, names, pack, runs, signed
 from gavelstat.workspace import materialize
 
 WORDS, MINIMIZER = 50, 8
@@ -42,17 +42,6 @@ LARGE_BUCKET = 4096
 SALTS = 8
 #: Rows that a task compares together.
 TOGETHER = 20_000
-_LEAST = -(1 << 63)
-
-
-def texts(docs: DataFrame) -> DataFrame:
-    """doc (the order of documents), mark (tells rows of one doc_id apart) and the text, never null."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(1 << MARK_BITS)).alias("mark"),
-        text.alias("text"),
-    )
 
 
 def word_names(words: list[bytes]) -> np.ndarray:
@@ -266,18 +255,18 @@ def _repeated_kmers(rows: list[tuple]) -> np.ndarray:
 
 def remove(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, and ``kept``, the remaining words."""
-    source = texts(docs)
+    source = keyed_texts(docs)
     occurring = materialize(occurrences(materialize(chains(source), "chains")), "occurrences")
     dealt = source.repartition("doc", "mark")  # one exchange for both joins with the texts
     places = compare(read_again(wanted(occurring), dealt))
     per_doc = places.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "kmers")).alias("places"))
-    joined = dealt.join(per_doc, ["doc", "mark"], "left").select("doc", "text", "places")
+    joined = fewer(dealt.join(per_doc, ["doc", "mark"], "left").select("doc", "text", "places"))
     columns = ["n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for step in steps(batch, "text"):
             rows = [cut(t, p) for t, p in zip(step.column(1).to_pylist(), step.column(2).to_pylist())]
-            ids = [None if d == _LEAST else d for d in step.column(0).to_pylist()]
+            ids = [None if d == LEAST else d for d in step.column(0).to_pylist()]
             yield {"doc_id": ids} | dict(zip(columns, zip(*rows)))
 
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstat.workspace import drop_at_exit, materialize, new_path
+from gavelstat.llm.frames import small
+from gavelstat.workspace import drop_at_exit, new_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,10 +55,10 @@ class DigestIndex:
         of this batch), kept, text_sha256.
         """
         digests = batch.select("doc_id", text_digest(F.col("text")).alias("digest"))
-        rows = materialize(digests.groupBy("digest", "doc_id").agg(F.count("*").alias("alike")), "digests")
+        rows = small(digests.groupBy("digest", "doc_id").agg(F.count("*").alias("alike")), "digests")
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("alike").alias("group_size"))
-        fresh = materialize(self._unseen(groups).withColumn("fresh", F.lit(True)), "fresh")
-        seen = materialize(
+        fresh = small(self._unseen(groups).withColumn("fresh", F.lit(True)), "fresh")
+        seen = small(
             groups.drop("keep_id").join(self.entries(), "digest").withColumn("fresh", F.lit(False)), "seen"
         )
         self._append(fresh.select("digest", "keep_id"))
@@ -81,7 +82,7 @@ class DigestIndex:
         digest, mark = "_exact_digest", "_exact_row"
         rows = docs.withColumns({digest: text_digest(F.col("text")), mark: F.xxhash64(*docs.columns)})
         best = rows.groupBy(F.col(digest).alias("digest")).agg(F.max(F.struct("doc_id", mark)).alias("best"))
-        best = materialize(self._unseen(best), "fresh")
+        best = small(self._unseen(best), "fresh")
         self._append(best.select("digest", F.col("best.doc_id").alias("keep_id")))
         stay = best.select(F.col("digest").alias(digest), F.col(f"best.{mark}").alias(mark))
         return rows.join(stay, [digest, mark], "left_semi").dropDuplicates([digest, mark]).drop(digest, mark)

@@ -7,11 +7,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from gavelstat.llm.windows import MARK_BITS
 from gavelstat.workspace import materialize
 
+#: Stands for a null doc_id, before all others.
+LEAST = -(1 << 63)
 #: Text bytes that one step of a Python task works on; a longer text forms a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -20,27 +24,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fewer(df: DataFrame, share: int = 4) -> DataFrame:
+    """The same rows in a ``share`` of the usual number of partitions, for fewer and larger files."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // share
+    return df.coalesce(max(parts, 1))
+
+
 def small(df: DataFrame, label: str) -> DataFrame:
-    """Store a table of ids, far smaller than the texts it stands for, in an eighth of the usual partitions."""
+    """Store a table of ids, far smaller than the texts it stands for, in few files."""
+    return materialize(fewer(df, 8), label)
+
+
+def gathered(df: DataFrame, label: str) -> DataFrame:
+    """``small`` for a table that each task makes from texts: its rows are dealt out before they are written."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
-    return materialize(df.coalesce(max(parts, 1)), label)
+    return materialize(df.repartition(max(parts, 1)), label)
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc (the order of documents), mark (tells rows of one doc_id apart) and the text, never null."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("doc"),
+        F.pmod(F.xxhash64(text), F.lit(1 << MARK_BITS)).alias("mark"),
+        text.alias("text"),
+    )
 
 
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], ddl: str) -> DataFrame:
-    """Run ``function`` over record batches; it yields dicts of columns, which may have any length."""
+def map_batches(
+    df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], ddl: str, done: Callable[[], None] | None = None
+) -> DataFrame:
+    """Run ``function`` over record batches; it yields dicts of columns, which may have any length.
+
+    ``done`` is called at the end of a task: workers live on, and should not keep what only this job needs.
+    """
     schema = schema_of(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            for columns in function(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [_array(columns[f.name], f.type) for f in arrow], schema=arrow
-                )
+        try:
+            for batch in batches:
+                for columns in function(batch):
+                    yield pa.RecordBatch.from_arrays(
+                        [_array(columns[f.name], f.type) for f in arrow], schema=arrow
+                    )
+        finally:
+            if done:
+                done()
 
     return df.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelstat.workspace import materialize
+from gavelstat.llm.frames import gathered, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, the share of all words that the mix has, and the most copies.
@@ -127,8 +127,8 @@ def plan(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = (), **option
     body = F.coalesce("text", F.lit(""))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(body)))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *keep)
-    sized = materialize(sized.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "sized")
-    buckets = materialize(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    sized = gathered(sized.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "sized")
+    buckets = small(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     # a row per source; their number does not follow that of documents
     totals = [tuple(r) for r in buckets.groupBy("source").agg(F.sum("words")).collect()]
     rows = source_table(totals, seed=seed, **options)

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelstat.llm.frames import map_batches, steps
-from gavelstat.llm.windows import BYTE_NAMES, MARK_BITS, Windows, covered, names, pack, runs, signed, unpack
+from gavelstat.llm.frames import LEAST, fewer, keyed_texts, map_batches, steps
+from gavelstat.llm.windows import BYTE_NAMES, Windows, covered, names, pack, runs, signed, unpack
 from gavelstat.workspace import materialize
 
 LENGTH, GRAM = 100, 32
@@ -38,20 +38,9 @@ WINDOWS = Windows(LENGTH, GRAM, LENGTH)
 LARGE_BUCKET = 4096
 #: Rows that a task looks at together when it finishes buckets, and chains that it settles together.
 TOGETHER, TOGETHER_CHAINS = 20_000, 1 << 20
-_LEAST = -(1 << 63)
 CHAIN_DDL = "bucket bigint, path bigint, doc bigint, at bigint"
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc (the order of documents), mark (tells rows of one doc_id apart) and the text, never null."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(1 << MARK_BITS)).alias("mark"),
-        text.alias("text"),
-    )
-
-
 def byte_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Names of the bytes of all texts, and the texts' sizes."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -258,18 +247,18 @@ def repeats(source: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def remove(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and ``kept``, the remaining bytes."""
-    source = texts(docs)
+    source = keyed_texts(docs)
     whole, open_ = repeats(source)
     dealt = source.repartition("doc", "mark")  # one exchange for both joins with the texts
     places = whole.unionByName(finish_teams(chain_bodies(open_, dealt)))
     per_doc = places.groupBy("doc", _mark()).agg(F.collect_list("at").alias("places"))
-    joined = dealt.join(per_doc, ["doc", "mark"], "left").select("doc", "text", "places")
+    joined = fewer(dealt.join(per_doc, ["doc", "mark"], "left").select("doc", "text", "places"))
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for step in steps(batch, "text"):
             rows = [cut(t.encode(), p) for t, p in zip(step.column(1).to_pylist(), step.column(2).to_pylist())]
-            ids = [None if d == _LEAST else d for d in step.column(0).to_pylist()]
+            ids = [None if d == LEAST else d for d in step.column(0).to_pylist()]
             yield {"doc_id": ids} | dict(zip(columns, zip(*rows)))
 
     ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

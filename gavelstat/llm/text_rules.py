@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelstat.llm.frames import map_batches
-from gavelstat.workspace import materialize
+from gavelstat.llm.frames import gathered, map_batches
 
 SPACES = "\t\n\v\f\r "
 SYMBOLS = "#*$%&|<>"
@@ -170,7 +169,7 @@ def base_failed() -> Column:
 
 def judge(docs: DataFrame, group_rows: int = GROUP_ROWS, reach: int = REACH) -> DataFrame:
     """Counts of every document, whether it fails the base rules, and whether it stays."""
-    measured = materialize(measure(docs), "metrics")
+    measured = gathered(measure(docs), "metrics")
     limits = fences(sketches(measured), group_rows, reach)
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     inside = F.lit(True)

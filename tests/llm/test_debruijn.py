@@ -6,6 +6,7 @@ import random
 import pytest
 
 from gavelstat.llm import debruijn as db
+from gavelstat.llm.frames import keyed_texts
 
 
 def brute(rows):
@@ -65,7 +66,7 @@ def test_a_shared_stretch_is_one_unitig(spark):
     passage = make(400)
     rows = [(i, " ".join(make(20) + passage + make(20))) for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = db.unitigs(db.occurrences(db.chains(db.texts(docs))).cache()).collect()
+    found = db.unitigs(db.occurrences(db.chains(keyed_texts(docs))).cache()).collect()
     # chains that reach into a document's own words differ; what is common is compacted
     assert len(found) == 1 and found[0].source_doc == 0
     assert 400 - db.WORDS + 1 - 2 * db.WORDS < found[0].kmers <= 400 - db.WORDS + 1
