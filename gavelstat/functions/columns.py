@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gavelstat.schema import SEVERITY_WEIGHTS
+from gavelstat.schema import METRIC_PREFIX, METRIC_REFUSED, SEVERITY_WEIGHTS
 
 # A number written as text, in the form both pandas and SQL engines accept.  Java's
 # own parser would also take a type suffix ('1d'), and some engines digit groups.
@@ -122,7 +122,7 @@ def surrogate_key(*natural_key: Column) -> Column:
 
 def metric_name(name: Column) -> Column:
     """Name of an importance metric, restricted to the characters metric stores accept."""
-    return F.regexp_replace(F.concat(F.lit("importance_"), name), r"[^a-zA-Z0-9_\- .]", "_")
+    return F.regexp_replace(F.concat(F.lit(METRIC_PREFIX), name), METRIC_REFUSED, "_")
 
 
 def rounded(value: Column, digits: int = 6) -> Column:

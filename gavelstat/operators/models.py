@@ -6,11 +6,11 @@ import itertools
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
@@ -19,7 +19,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.ml.tuning import TrainValidationSplit
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -441,46 +441,22 @@ def candidates(model_type: str, limit: int | None = None, seed: int = SEED) -> l
 
 def search(
     df: DataFrame, features: Sequence[str], model_type: str, options: Sequence[dict], target: str = TARGET,
-    parallelism: int = 2, train_ratio: float = 0.8,
+    parallelism: int = 2, train_ratio: float = 0.8, key: Column | None = None,
 ) -> tuple[dict, list[tuple[dict, float]]]:
-    """Best parameters by validation R² on one hold-out; the fits run ``parallelism`` at a time."""
-    if model_type in OWN_ENSEMBLES:
-        scores = _score_by_hold_out(df, features, model_type, options, target, train_ratio)
-    else:
-        scores = _score_by_validation(df, features, model_type, options, target, parallelism, train_ratio)
-    return options[int(np.argmax(scores))], list(zip(options, scores))
-
+    """Best parameters by R² on one hold-out; the fits run ``parallelism`` at a time.
 
-def _score_by_hold_out(df, features, model_type, options, target, train_ratio) -> list[float]:
-    part = F.pmod(F.xxhash64(*features, target), F.lit(1000)) < F.lit(int(train_ratio * 1000))
+    Which rows are held out follows from a hash of ``key`` (default: the row's content), so all model types are
+    judged on the same rows, however the table is partitioned.
+    """
+    if key is None:
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in [*features, target]])
+    part = F.pmod(row_hash(key, SEED), F.lit(1000)) < F.lit(int(train_ratio * 1000))
     fit_rows, test_rows = df.filter(part), df.filter(~part)
-    content = F.concat_ws("|", *[F.col(c).cast("string") for c in [*features, target]])
-    scores = []
-    for option in options:
-        fitted = train(fit_rows, features, model_type, target, option, key=content)
-        scores.append(evaluate(fitted.predict(test_rows), target=target).first()["r2"])
-    return scores
 
+    def score(option: dict) -> float:
+        fitted = train(fit_rows, features, model_type, target, option, key=key)
+        return evaluate(fitted.predict(test_rows), target=target).first()["r2"]
 
-def _score_by_validation(df, features, model_type, options, target, parallelism, train_ratio) -> list[float]:
-    scale = None
-    if model_type == "ridge":
-        row = df.agg(F.stddev_pop(target), F.count(target)).first()
-        scale = (row[0], row[1])
-    vectors = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(df.select(*features, target))
-    base = estimator(model_type, target, None, scale)
-    maps = []
-    for option in options:
-        variant = estimator(model_type, target, option, scale)
-        changed = [p for p in variant.params if variant.isDefined(p) and not _same(base, variant, p)]
-        maps.append({base.getParam(p.name): variant.getOrDefault(p) for p in changed})
-    judge = RegressionEvaluator(labelCol=target, metricName="r2")
-    tuned = TrainValidationSplit(
-        estimator=base, estimatorParamMaps=maps, evaluator=judge, trainRatio=train_ratio, parallelism=parallelism, seed=SEED
-    ).fit(vectors)
-    return [float(v) for v in tuned.validationMetrics]
-
-
-def _same(base, variant, param) -> bool:
-    name = param.name
-    return base.isDefined(name) and base.getOrDefault(name) == variant.getOrDefault(name)
+    with ThreadPool(parallelism) as pool:
+        scores = pool.map(inheritable_thread_target(df.sparkSession)(score), options)
+    return options[int(np.argmax(scores))], list(zip(options, scores))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelstat.functions.columns import metric_name
-from gavelstat.schema import FEATURES
+from gavelstat.schema import FEATURES, R2_DOWN, R2_NO_PREVIOUS, R2_SAME, R2_UP
 
 RUN_KEYS = ["run_id", "model_type"]
 
@@ -63,13 +63,13 @@ def average_r2(models: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
 
 def describe_change(previous: Column, current: Column) -> Column:
     """Wording of the change of R² against the previous run, to four decimals."""
-    up = F.concat(F.lit("R² increased by "), _four(current - previous))
-    down = F.concat(F.lit("R² decreased by "), _four(previous - current))
+    up = F.concat(F.lit(R2_UP), _four(current - previous))
+    down = F.concat(F.lit(R2_DOWN), _four(previous - current))
     return (
-        F.when(previous.isNull(), "No previous R² value")
+        F.when(previous.isNull(), R2_NO_PREVIOUS)
         .when(current > previous, up)
         .when(current < previous, down)
-        .otherwise("R² stayed the same")
+        .otherwise(R2_SAME)
     )
 
 

@@ -229,11 +229,38 @@ def param_grid(spark, sf_dir):
     small = [{**c, "n_estimators": 3} for c in M.candidates("gradient_boosting", 2)]
     rows = []
     for model_type, options in (("ridge", M.candidates("ridge")), ("gradient_boosting", small)):
-        best, scores = M.search(train_rows, features, model_type, options)
+        best, scores = M.search(train_rows, features, model_type, options, key=F.col(KEY))
         rows += [(model_type, str(option), score, option == best) for option, score in scores]
     return spark.createDataFrame(rows, "model_type string, params string, r2 double, best boolean")
 
 
+def _ridge_grid_sql():
+    placed = """placed AS (SELECT *, age_at_arrest AS x1, prior_misd_cnt AS x2, bail_amount AS y,
+  CAST('0x' || substr(md5('42:' || internal_case_id), 1, 15) AS BIGINT) % 1000 < 800 AS fits FROM parts WHERE split = 'train')"""
+    fits = ", ".join(
+        f"""fit_{i} AS (SELECT *, my - w1 * m1 - w2 * m2 AS w0 FROM (SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS w1,
+  (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS w2 FROM (SELECT m1, m2, my, n * s11 + {a} AS a11, n * s12 AS a12,
+  n * s22 + {a} AS a22, n * c1 AS b1, n * c2 AS b2 FROM moments)))"""
+        for i, a in enumerate(M.PARAM_GRIDS["ridge"]["alpha"])
+    )
+    scores = " UNION ALL ".join(
+        f"""SELECT '{{''alpha'': {a}}}' AS params, 1 - avg(pow(y - w0 - w1 * x1 - w2 * x2, 2)) / var_pop(y) AS r2
+  FROM placed, fit_{i} WHERE NOT fits"""
+        for i, a in enumerate(M.PARAM_GRIDS["ridge"]["alpha"])
+    )
+    return f"""{WITH_PARTS}, {placed}, {pair_moments('placed', where='WHERE fits')}, {fits}, scores AS ({scores})
+ SELECT params, {r('r2', 9)} AS r2, r2 = max(r2) OVER () AS best FROM scores"""
+
+
+@query("param_grid_ridge", _ridge_grid_sql())
+def param_grid_ridge(spark, sf_dir):
+    """The whole ridge grid on a pair of features, scored on the rows that a key hash holds out."""
+    train_rows, _, _ = _split(spark, sf_dir)
+    best, scores = M.search(train_rows, PAIR, "ridge", M.candidates("ridge"), key=F.col(KEY))
+    rows = [(str(option), score, option == best) for option, score in scores]
+    return spark.createDataFrame(rows, "params string, r2 double, best boolean").withColumn("r2", rounded(F.col("r2"), 9))
+
+
 # ---- grouped models ----
 
 
