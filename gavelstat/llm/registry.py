@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelstat.llm import (
-    bpe, chat, dart_minhash, debruijn, digest_index, mixing, pii, quality_ranker, suffix_buckets, text_rules,
+    bpe, chat, dart_minhash, debruijn, digest_index, mixing, pii, quality_ranker, suffix_buckets, text_rules, twins,
 )
 from gavelstat.llm.frames import table
 
@@ -32,12 +32,12 @@ def op1(spark, sf_dir):
     return quality_ranker.score(docs, quality_ranker.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op2_dart_minhash")
+@query("op2_dart_minhash", twins.NEAR_DUPLICATES)
 def op2(spark, sf_dir):
     return dart_minhash.classes(table(spark, sf_dir, "documents"))
 
 
-@query("op3_suffix_buckets")
+@query("op3_suffix_buckets", twins.BYTE_STRINGS)
 def op3(spark, sf_dir):
     return suffix_buckets.remove(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -95,7 +95,7 @@ def op6(spark, sf_dir):
     return mixing.taken(mixing.plan(table(spark, sf_dir, "documents")))
 
 
-@query("op7_debruijn")
+@query("op7_debruijn", twins.WORD_SEQUENCES)
 def op7(spark, sf_dir):
     return debruijn.remove(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -105,7 +105,7 @@ def op8(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op9_text_rules")
+@query("op9_text_rules", twins.text_rules_sql())
 def op9(spark, sf_dir):
     return text_rules.judge(table(spark, sf_dir, "documents")).drop("n_lines")
 
