@@ -16,6 +16,7 @@ import gc
 import hashlib
 import heapq
 import json
+import mmap
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from gavelstat.workspace import drop_at_exit, new_path, release
 #: Words in the lexicon, and counters in a task's summary.
 LEXICON_WORDS = 1 << 16
 #: Encoded words that a worker remembers from step to step.
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 17
 # Fixed value: the vocabulary's own pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII alone, which the standard library splits faster.
@@ -56,18 +57,24 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Pairs:
-    """Ranks of many pairs at once: a hash table with linear probing."""
-
-    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
-        self.merged = np.zeros(max((r for r, _ in ranks.values()), default=0) + 1, np.int64)
-        self.bits = max(len(ranks), 1).bit_length() + 2
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.ranks = np.full(1 << self.bits, _NO_RANK, np.int64)
-        pairs = np.asarray([*ranks], np.int64).reshape(-1, 2)
-        for slot, key, (rank, new) in zip(self._slot(self._key(*pairs.T)).tolist(), self._key(*pairs.T).tolist(), ranks.values()):
-            while self.keys[slot] >= 0:
-                slot = (slot + 1) % len(self.keys)
-            self.keys[slot], self.ranks[slot], self.merged[rank] = key, rank, new
+    """Ranks of many pairs at once: a hash table with linear probing, in flat arrays."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray, merged: np.ndarray):
+        """``keys`` and ``ranks`` by slot, ``merged`` (the pair's new id) by rank."""
+        self.keys, self.ranks, self.merged = keys, ranks, merged
+        self.bits = len(keys).bit_length() - 1
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, new: np.ndarray) -> Pairs:
+        """From pairs of ids in the order of their ranks."""
+        size = 1 << (max(len(pairs), 1).bit_length() + 2)
+        out = cls(np.full(size, -1, np.int64), np.full(size, _NO_RANK, np.int64), new.astype(np.int64))
+        keys = cls._key(*pairs.T)
+        for rank, (slot, key) in enumerate(zip(out._slot(keys).tolist(), keys.tolist())):
+            while out.keys[slot] >= 0:
+                slot = (slot + 1) % size
+            out.keys[slot], out.ranks[slot] = key, rank
+        return out
 
     @staticmethod
     def _key(a, b):
@@ -92,29 +99,58 @@ class Pairs:
 
 
 class Merges:
-    """Ids of single bytes, ranked merges of ids, and the bytes of every id."""
-
-    def __init__(self, vocabulary: dict):
-        symbols = byte_symbols()
-        model = vocabulary["model"]
-        self.special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
-        size = 1 + max([*model["vocab"].values(), *self.special.values()])
-        self.token = [b""] * size
-        for text, i in model["vocab"].items():
-            self.token[i] = bytes(symbols[c] for c in text)
-        for text, i in self.special.items():
-            self.token[i] = text.encode()
-        self.single = [0] * 256
-        for c, b in symbols.items():
-            self.single[b] = model["vocab"][c]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            ids = model["vocab"]
-            self.rank[ids[a], ids[b]] = (rank, ids[a + b])
-        self.pairs = Pairs(self.rank)
+    """Ids of single bytes, ranked merges of ids, and the bytes of every id; flat arrays that a file can hold."""
+
+    def __init__(self, special: dict[str, int], single: np.ndarray, ends: np.ndarray, blob: bytes, pairs: Pairs):
+        self.special, self.single, self.ends, self.blob, self.pairs = special, single, ends, blob, pairs
         self.pattern = regex.compile(PATTERN)
 
+    @classmethod
+    def of(cls, vocabulary: dict) -> Merges:
+        """From the content of a vocabulary file."""
+        symbols, model = byte_symbols(), vocabulary["model"]
+        ids = model["vocab"]
+        special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
+        token = [b""] * (1 + max([*ids.values(), *special.values()]))
+        for text, i in ids.items():
+            token[i] = bytes(symbols[c] for c in text)
+        for text, i in special.items():
+            token[i] = text.encode()
+        single = np.zeros(256, np.int64)
+        for c, b in symbols.items():
+            single[b] = ids[c]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        pairs = np.asarray([(ids[a], ids[b]) for a, b in merges], np.int64).reshape(-1, 2)
+        new = np.asarray([ids[a + b] for a, b in merges], np.int64)
+        return cls(special, single, np.cumsum([len(t) for t in token]), b"".join(token), Pairs.of(pairs, new))
+
+    def to_bytes(self) -> bytes:
+        """The arrays one after the other, behind a head that tells their sizes."""
+        arrays = [self.single, self.ends, self.pairs.keys, self.pairs.ranks, self.pairs.merged]
+        head = json.dumps({"special": self.special, "sizes": [*map(len, arrays)], "blob": len(self.blob)}).encode()
+        head += b" " * (-len(head) % 8)
+        blob = self.blob + bytes(-len(self.blob) % 8)
+        return len(head).to_bytes(8, "little") + head + b"".join(a.astype("<i8").tobytes() for a in arrays) + blob
+
+    @classmethod
+    def mapped(cls, path: str) -> tuple[Merges, int]:
+        """From the start of a file mapped into memory; and where the rest of the file begins."""
+        with open(path, "rb") as file:
+            raw = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        at = 8 + int.from_bytes(raw[:8], "little")
+        head = json.loads(raw[8:at])
+        arrays = []
+        for size in head["sizes"]:
+            arrays.append(np.frombuffer(raw, "<i8", size, at))
+            at += 8 * size
+        blob = raw[at : at + head["blob"]]
+        single, ends, *pairs = arrays
+        return cls(head["special"], single, ends, blob, Pairs(*pairs)), at + len(blob) + -len(blob) % 8
+
+    def tokens(self) -> list[bytes]:
+        ends = self.ends.tolist()
+        return [self.blob[a:b] for a, b in zip([0, *ends], ends)]
+
     def merge_all(self, words: list[bytes]) -> list[bytes]:
         """Ids of every word, as little-endian 32-bit integers.
 
@@ -124,10 +160,10 @@ class Merges:
         some = []
         for i, word in enumerate(words):
             if len(word) > _LONG:
-                out[i] = np.asarray(self._merge_long([self.single[b] for b in word]), "<u4").tobytes()
+                out[i] = np.asarray(self._merge_long(self.single[np.frombuffer(word, np.uint8)]), "<u4").tobytes()
             elif word:
                 some.append(i)
-        ids = np.asarray(self.single, np.int64)[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
+        ids = self.single[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
         owner = np.repeat(np.arange(len(some)), [len(words[i]) for i in some])
         done_ids, done_owner = [], []
         while len(ids):
@@ -152,26 +188,27 @@ class Merges:
             out[i] = flat[low:high]
         return out
 
-    def _merge_long(self, ids: list[int]) -> list[int]:
+    def _merge_long(self, word: np.ndarray) -> list[int]:
         """The same with a heap of pairs over a linked list, for words of any length."""
-        rank, n = self.rank, len(ids)
+        ranks = self.pairs.rank(word[:-1], word[1:])
+        ids, n = word.tolist(), len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks.tolist()) if r < _NO_RANK]
         heapq.heapify(heap)
         while heap:
-            _, new, i, pair = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if j >= n or (ids[i], ids[j]) != pair:
+            if j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = int(self.pairs.merged[rank]), -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-            for left in (before[i], i):
-                if left >= 0 and after[left] < n:
-                    p = ids[left], ids[after[left]]
-                    if p in rank:
-                        heapq.heappush(heap, (*rank[p], left, p))
+            ends = [left for left in (before[i], i) if left >= 0 and after[left] < n]
+            a, b = np.asarray([(ids[k], ids[after[k]]) for k in ends], np.int64).reshape(-1, 2).T
+            for left, r in zip(ends, self.pairs.rank(a, b).tolist()):
+                if r < _NO_RANK:
+                    heapq.heappush(heap, (r, left, ids[left], ids[after[left]]))
         return [i for i in ids if i >= 0]
 
 
@@ -186,6 +223,7 @@ class Encoder:
         special = sorted(merges.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.word: dict[str, bytes] = {}
+        self.token = merges.tokens()
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -227,7 +265,7 @@ class Encoder:
         self.word.update((t, i.to_bytes(4, "little")) for t, i in self.merges.special.items())
 
     def decode(self, ids: bytes) -> str:
-        token = self.merges.token
+        token = self.token
         return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", errors="replace")
 
 
@@ -292,16 +330,12 @@ def build(docs: DataFrame, vocabulary_path: str, most: int = LEXICON_WORDS) -> s
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = json.load(file)
-    merges = Merges(vocabulary)
+    merges = Merges.of(vocabulary)
     top = most_frequent(count_words(docs, most), most)
     words = list({w.encode() for text in top for w in merges.pattern.findall(text)})
     lexicon = compile_words({w: np.frombuffer(ids, "<u4") for w, ids in zip(words, merges.merge_all(words))})
-    slim = {"added_tokens": vocabulary["added_tokens"], "model": {k: vocabulary["model"][k] for k in ("vocab", "merges")}}
-    table = json.dumps(slim).encode()
-    table += b" " * (-len(table) % 4)
-    content = len(table).to_bytes(4, "little") + table + lexicon
     path = new_path(spark, "bpe") + ".model"
-    write_file(spark, path, content)
+    write_file(spark, path, merges.to_bytes() + lexicon)
     drop_at_exit(spark, path)
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[1]
@@ -318,10 +352,8 @@ def write_file(spark: SparkSession, path: str, content: bytes) -> None:
 def encoder_of(name: str) -> Encoder:
     """This worker's encoder from the file that ``build`` handed out."""
     path = SparkFiles.get(name)
-    with open(path, "rb") as file:
-        size = int.from_bytes(file.read(4), "little")
-        merges = Merges(json.loads(file.read(size)))
-    return Encoder(merges, Lexicon(path, 4 + size))
+    merges, rest = Merges.mapped(path)
+    return Encoder(merges, Lexicon(path, rest))
 
 
 def encode(docs: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:

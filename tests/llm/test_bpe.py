@@ -18,7 +18,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def merges():
     with open(PATH, encoding="utf-8") as file:
-        return bpe.Merges(json.load(file))
+        return bpe.Merges.of(json.load(file))
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +61,16 @@ def test_ids_and_text_equal_the_library(merges, library, tmp_path):
         assert encoder.decode(ids) == library.decode(expected, skip_special_tokens=False), repr(text)
 
 
+def test_model_files_read_back(merges, tmp_path):
+    path = tmp_path / "model"
+    path.write_bytes(merges.to_bytes() + compile_words({b"a": [7], b" the": [1, 2]}))
+    read, rest = bpe.Merges.mapped(str(path))
+    assert read.tokens() == merges.tokens() and read.special == merges.special
+    words = [b"hello", b" world", b"\xf0\x9f\x99\x82", b"x" * 3000]
+    assert read.merge_all(words) == merges.merge_all(words)
+    assert [numbers(i) for i in Lexicon(str(path), rest).get_all([b"a", b" the"])] == [[7], [1, 2]]
+
+
 def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
     rng = random.Random(3)
     words = {bytes(rng.choices(b"abc", k=rng.randint(1, 7))): [i, i + 1] for i in range(400)}
