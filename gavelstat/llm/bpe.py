@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelstat.llm.frames import map_batches, small, steps
+from gavelstat.llm.frames import bound_batches, map_batches, small, steps
 from gavelstat.llm.lexicon import Lexicon, compile_words
 from gavelstat.workspace import drop_at_exit, new_path, release
 
@@ -294,6 +294,7 @@ def count_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
             c = reduced(c, n)
             yield pa.RecordBatch.from_pydict({"word": [space + w for w in c], "n": list(c.values())}, schema=arrow)
 
+    bound_batches(docs.sparkSession)
     arrow = pa.schema([("word", pa.string()), ("n", pa.int64())])
     found = docs.select("text").mapInArrow(summarise, "word string, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n"))

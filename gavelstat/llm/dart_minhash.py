@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gavelstat.llm.components import components
 from gavelstat.llm.darts import signatures
-from gavelstat.llm.frames import LEAST, map_batches, small, steps
+from gavelstat.llm.frames import LEAST, bound_batches, map_batches, small, steps
 from gavelstat.llm.windows import combine, names, signed
 from gavelstat.workspace import materialize
 
@@ -133,6 +133,7 @@ def _compare(pairs: DataFrame, similarity: float) -> DataFrame:
                     [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]
                 )
 
+    bound_batches(pairs.sparkSession)
     return pairs.select("left", "right").mapInArrow(run, "a bigint, b bigint")
 
 

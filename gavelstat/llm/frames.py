@@ -18,6 +18,9 @@ from gavelstat.workspace import materialize
 LEAST = -(1 << 63)
 #: Text bytes that one step of a Python task works on; a longer text forms a step of its own.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch, where the session does not say otherwise; texts vary too much for a limit in rows.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,12 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have batches for Python limited by bytes, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], ddl: str, done: Callable[[], None] | None = None
 ) -> DataFrame:
@@ -62,6 +71,7 @@ def map_batches(
 
     ``done`` is called at the end of a task: workers live on, and should not keep what only this job needs.
     """
+    bound_batches(df.sparkSession)
     schema = schema_of(ddl)
     arrow = to_arrow_schema(schema)
 
