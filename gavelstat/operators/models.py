@@ -113,10 +113,10 @@ class FittedModel:
         result = df
         parts = self.forest.groups()
         if self.forest.combine != "sum" or len(parts) == 1:
-            return result.withColumn(column, _score(self.features, self.forest)(*self.features))
+            return result.withColumn(column, _score(df.sparkSession, self.features, self.forest)(*self.features))
         total = F.lit(0.0)
         for part in parts:
-            total = total + _score(self.features, part)(*self.features)
+            total = total + _score(df.sparkSession, self.features, part)(*self.features)
         return result.withColumn(column, total)
 
     def as_forest(self) -> Forest | None:
@@ -199,9 +199,9 @@ def forest_from_table(table: DataFrame, combine: str) -> Forest:
     return Forest(trees, [r["weight"] for r in rows], combine)
 
 
-def _score(features: Sequence[str], forest: Forest):
+def _score(spark: SparkSession, features: Sequence[str], forest: Forest):
     """Vectorised scorer; the forest is sent to the tasks once as a broadcast variable."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
