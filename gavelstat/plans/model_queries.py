@@ -36,16 +36,6 @@ from gavelstat.workspace import materialize, new_path
 WITH_PARTS = WITH_PREPARED + split_ctes("prepared")
 PAIR = ["age_at_arrest", "prior_misd_cnt"]
 
-# Ensemble sizes of the registered queries; the library's own defaults are in GOOD_PARAMS.
-SMALL = {
-    "gradient_boosting": {"n_estimators": 10},
-    "random_forest": {"n_estimators": 10, "max_depth": 8},
-    "hist_gradient_boosting": {"max_iter": 8},
-    "ada_boost": {"n_estimators": 5},
-    "bagging": {"n_estimators": 5, "max_depth": 6},
-    "extra_trees": {"n_estimators": 5, "max_depth": 6},
-}
-
 
 def _split(spark, sf_dir, carry=()):
     _, rows, learned = prepared_split(star_of(spark, sf_dir), KEY, carry=carry)
@@ -58,7 +48,7 @@ def _split(spark, sf_dir, carry=()):
 def _calibration(model_type):
     def run(spark, sf_dir):
         train_rows, _, features = _split(spark, sf_dir)
-        fitted = M.train(train_rows, features, model_type, params=SMALL[model_type], key=F.col(KEY))
+        fitted = M.train(train_rows, features, model_type, key=F.col(KEY))
         return fitted.predict(train_rows).agg(
             F.lit(model_type).alias("model_type"),
             F.count("*").alias("n_train"),
@@ -82,7 +72,7 @@ for _type in ("gradient_boosting", "random_forest", "hist_gradient_boosting", "e
 def _metrics(model_type):
     def run(spark, sf_dir):
         train_rows, test_rows, features = _split(spark, sf_dir)
-        fitted = M.train(train_rows, features, model_type, params=SMALL[model_type], key=F.col(KEY))
+        fitted = M.train(train_rows, features, model_type, key=F.col(KEY))
         return M.evaluate(fitted.predict(test_rows)).withColumn("model_type", F.lit(model_type))
 
     return run
@@ -213,9 +203,7 @@ def evaluate(spark, sf_dir):
 @query("multi_model_run")
 def multi_model_run(spark, sf_dir):
     """A whole training run: two tree models, two linear ones, and their mean R²."""
-    run = run_training(
-        star_of(spark, sf_dir), KEY, types=["random_forest", "gradient_boosting", "lasso", "ridge"], params=SMALL
-    )
+    run = run_training(star_of(spark, sf_dir), KEY, types=["random_forest", "gradient_boosting", "lasso", "ridge"])
     average = run.summary.agg(F.avg("r_squared").alias("average_r2"))
     return run.summary.select(
         "model_type", "model_target", "total_cases", "num_features", "mean_squared_error", "r_squared"
@@ -224,11 +212,10 @@ def multi_model_run(spark, sf_dir):
 
 @query("param_grid")
 def param_grid(spark, sf_dir):
-    """All ridge candidates and a sample of the boosting grid, by validation R²."""
+    """All candidates of the ridge and the boosting grid, by validation R²."""
     train_rows, _, features = _split(spark, sf_dir)
-    small = [{**c, "n_estimators": 3} for c in M.candidates("gradient_boosting", 2)]
     rows = []
-    for model_type, options in (("ridge", M.candidates("ridge")), ("gradient_boosting", small)):
+    for model_type, options in (("ridge", M.candidates("ridge")), ("gradient_boosting", M.candidates("gradient_boosting"))):
         best, scores = M.search(train_rows, features, model_type, options, key=F.col(KEY))
         rows += [(model_type, str(option), score, option == best) for option, score in scores]
     return spark.createDataFrame(rows, "model_type string, params string, r2 double, best boolean")
@@ -365,7 +352,7 @@ def grade_counties(spark, sf_dir):
 
 def _forest(spark, sf_dir, model_type="gradient_boosting"):
     train_rows, test_rows, features = _split(spark, sf_dir)
-    return M.train(train_rows, features, model_type, params=SMALL[model_type]), test_rows
+    return M.train(train_rows, features, model_type), test_rows
 
 
 @query("feature_importance")
