@@ -255,10 +255,9 @@ def estimator(model_type: str, target: str = TARGET, params: dict | None = None,
             featureSubsetStrategy=_feature_subset(p["max_features"]), **trees,
         )
     if model_type == "hist_gradient_boosting":
-        # up to 31 leaves per tree is a depth of 5
         trees["maxBins"] = p.get("max_bins", 255)
         return GBTRegressor(
-            maxIter=p["max_iter"], stepSize=p.get("learning_rate", 0.1), maxDepth=p["max_depth"] or 5, **trees
+            maxIter=p["max_iter"], stepSize=p.get("learning_rate", 0.1), maxDepth=p["max_depth"] or FULL_DEPTH, **trees
         )
     if model_type == "lasso":
         return LinearRegression(
