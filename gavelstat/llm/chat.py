@@ -1,7 +1,8 @@
 """Conversations as training texts, with the spans a model is to learn, and back.
 
 Turns are sorted within Spark partitions and streamed through a compiled template, one conversation after the
-other; a task holds the text of one conversation at a time.
+other.  ``formatted`` returns whole texts, so there a task holds the text of one conversation; ``digests`` reads
+every turn back as it comes and holds one turn at a time.
 
 Defined results: a null text or role is empty.  Turns go by turn, nulls first; rows of one turn by role, then
 text; repeated rows are turns of their own.  Rows with a null conv_id form one conversation.  An empty table
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gavelstat.llm.frames import schema_of
-from gavelstat.llm.template import compile_template, render
+from gavelstat.llm.template import Piece, compile_template, joined
 
 #: Strings that structure the output.  All start with < or [ and hold neither again.
 CONTROL = ["<s>", "</s>", "<|text|>", "[INST]", "[/INST]"]
@@ -29,6 +30,7 @@ TEMPLATE = (
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}"
     "{% else %}{{ '[INST] ' ~ '' }}{{ m.text | escape }} [/INST]{% endif %}</s>\n{% endfor %}"
 )
+_END = "</s>\n"  # no escaped value holds it
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _TURN = re.compile(r"<s>(.*?)<\|text\|>(?:\[INST\] (.*?) \[/INST\]|(.*?))</s>\n", re.S)
 
@@ -55,9 +57,9 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def conversations(rows: DataFrame, each: Callable[[int | None, str, list[tuple[int, int]]], dict], ddl: str,
-                  template: str = TEMPLATE) -> DataFrame:
-    """``each`` gets a conversation's id, text and marked spans and returns a row."""
+def streamed(rows: DataFrame, each: Callable[[int | None, Iterator[Piece]], dict], ddl: str,
+             template: str = TEMPLATE) -> DataFrame:
+    """``each`` gets a conversation's id and the pieces of its text, in order as they are made, and returns a row."""
     arrow = to_arrow_schema(schema_of(ddl))
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -75,7 +77,7 @@ def conversations(rows: DataFrame, each: Callable[[int | None, str, list[tuple[i
                     turn = next(turns, None)
 
             rest = messages()
-            done.append(each(conv_id, *render(compiled, messages=rest)))
+            done.append(each(conv_id, compiled.pieces(messages=rest)))
             for _ in rest:  # turns that the template did not ask for
                 pass
             if len(done) == 1000:
@@ -92,6 +94,12 @@ def conversations(rows: DataFrame, each: Callable[[int | None, str, list[tuple[i
     return ordered.select("conv_id", "role", "text").mapInArrow(run, schema_of(ddl))
 
 
+def conversations(rows: DataFrame, each: Callable[[int | None, str, list[tuple[int, int]]], dict], ddl: str,
+                  template: str = TEMPLATE) -> DataFrame:
+    """``each`` gets a conversation's id, whole text and marked spans and returns a row."""
+    return streamed(rows, lambda conv_id, pieces: each(conv_id, *joined(pieces)), ddl, template)
+
+
 def formatted(rows: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_spans (start and end in code points)."""
     return conversations(
@@ -103,16 +111,32 @@ def formatted(rows: DataFrame) -> DataFrame:
     )
 
 
-def _digests(conv_id: int | None, text: str, spans: list[tuple[int, int]]) -> dict:
-    turns = read_back(text)
-    loss = unescape("".join(text[a:b] for a, b in spans))
+def _digests(conv_id: int | None, pieces: Iterable[Piece]) -> dict:
+    """Reads every turn back when its last piece has come and then lets go of it."""
+    turns_sha, loss_sha = hashlib.sha256(), hashlib.sha256()
+    n_turns = loss_chars = formatted_chars = 0
+    held: list[str] = []
+    for text, marked in pieces:
+        held.append(text)
+        formatted_chars += len(text)
+        if marked:
+            loss = unescape(text)
+            loss_chars += len(loss)
+            loss_sha.update(loss.encode())
+        if text.endswith(_END):
+            for role, said in read_back("".join(held)):
+                n_turns += 1
+                turns_sha.update(f"{role}\n{said}\n".encode())
+            held = []
+    if held:
+        raise ValueError(f"no turn ends after turn {n_turns}")
     return {
         "conv_id": conv_id,
-        "n_turns": len(turns),
-        "turns_sha256": hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
-        "loss_chars": len(loss),
-        "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(),
-        "formatted_chars": len(text),
+        "n_turns": n_turns,
+        "turns_sha256": turns_sha.hexdigest(),
+        "loss_chars": loss_chars,
+        "loss_sha256": loss_sha.hexdigest(),
+        "formatted_chars": formatted_chars,
     }
 
 
@@ -122,4 +146,4 @@ def digests(rows: DataFrame) -> DataFrame:
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
         "formatted_chars bigint"
     )
-    return conversations(rows, _digests, ddl)
+    return streamed(rows, _digests, ddl)

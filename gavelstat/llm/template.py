@@ -360,12 +360,16 @@ def compile_template(source: str, filters: dict[str, Callable[[str], str]] | Non
     return Template(tree, _render(tree, filters))
 
 
-def render(template: Template, **env: Iterable) -> tuple[str, list[tuple[int, int]]]:
-    """The text and the spans under the generation mark, in code points."""
+def joined(pieces: Iterable[Piece]) -> tuple[str, list[tuple[int, int]]]:
+    """The whole text and the spans under the generation mark, in code points."""
     out, spans, at = [], [], 0
-    for text, marked in template.pieces(**env):
+    for text, marked in pieces:
         if marked and text:
             spans.append((at, at + len(text)))
         out.append(text)
         at += len(text)
     return "".join(out), spans
+
+
+def render(template: Template, **env: Iterable) -> tuple[str, list[tuple[int, int]]]:
+    return joined(template.pieces(**env))

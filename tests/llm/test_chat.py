@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 
@@ -85,3 +86,33 @@ def test_a_template_may_leave_turns_out(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "c")], "conv_id bigint, turn bigint, role string, text string")
     got = chat.conversations(frame, lambda c, t, s: {"conv_id": c, "text": t}, "conv_id bigint, text string", "fixed").collect()
     assert sorted(map(tuple, got)) == [(1, "fixed"), (2, "fixed")]
+
+
+def test_digests_hold_one_turn_at_a_time():
+    def messages(n):
+        return ({"role": "assistant" if i % 2 else "user", "text": f"{i}</s>\n" + "[INST]\\é" * 2000} for i in range(n))
+
+    template = compile_template(chat.TEMPLATE, {"escape": chat.escape})
+    whole, spans = render(template, messages=messages(40))
+    turns, loss = chat.read_back(whole), chat.unescape("".join(whole[a:b] for a, b in spans))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert chat._digests(5, template.pieces(messages=messages(40))) == {
+        "conv_id": 5, "n_turns": 40, "turns_sha256": sha("".join(f"{r}\n{t}\n" for r, t in turns)), "loss_chars": len(loss),
+        "loss_sha256": sha(loss), "formatted_chars": len(whole),
+    }
+    tracemalloc.start()
+    found = chat._digests(None, template.pieces(messages=messages(1000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["formatted_chars"] > 20_000_000 and peak < 2_000_000
+    with pytest.raises(ValueError):
+        chat._digests(None, iter([("<s>user<|text|>cut", False)]))
+
+
+def test_one_large_conversation_streams_through_a_task(spark):
+    ids = spark.range(20_000).selectExpr(
+        "CAST(NULL AS BIGINT) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "repeat('ab ', 300) AS text"
+    )
+    (row,) = chat.digests(ids).collect()
+    assert (row.n_turns, row.loss_chars) == (20_000, 10_000 * 900)
+    assert row.loss_sha256 == hashlib.sha256(("ab " * 300 * 10_000).encode()).hexdigest()
