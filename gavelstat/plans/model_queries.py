@@ -29,7 +29,7 @@ from gavelstat.plans.catalog import (
     split_ctes,
     star_of,
 )
-from gavelstat.plans.training import prepared_split, run_training
+from gavelstat.plans.training import grade_stored, persist_run, prepared_split, run_training
 from gavelstat.schema import TARGET
 from gavelstat.workspace import materialize, new_path
 
@@ -514,3 +514,60 @@ def shap_summary(spark, sf_dir):
 def top_features(spark, sf_dir):
     state = associations(spark, sf_dir, ["state"]).select("Feature", "Importance")
     return largest(state).withColumn("Importance", rounded(F.col("Importance")))
+
+
+# ---- the same over every feature ----
+
+
+@query("train_all")
+def train_all(spark, sf_dir):
+    """Least squares over all features on the training part."""
+    train_rows, _, features = _split(spark, sf_dir)
+    weights, intercept = M.train_linear(train_rows, features).linear()
+    return spark.createDataFrame(
+        [("intercept", intercept), *zip(features, map(float, weights))], "feature string, coefficient double"
+    )
+
+
+@query("predict_all")
+def predict_all(spark, sf_dir):
+    train_rows, test_rows, features = _split(spark, sf_dir)
+    return M.train_linear(train_rows, features).predict(test_rows).select(KEY, "prediction")
+
+
+@query("model_store_all")
+def model_store_all(spark, sf_dir):
+    """Predictions of a model over all features after it has been stored and loaded again."""
+    train_rows, test_rows, features = _split(spark, sf_dir)
+    path = M.train_linear(train_rows, features).save(spark, new_path(spark, "model"))
+    return M.load_model(spark, path).predict(test_rows).select(KEY, "prediction")
+
+
+def _grade_stored(spark, sf_dir, column):
+    """Held-out rows of every group against a ridge model over all features, read back from a stored run."""
+    star = star_of(spark, sf_dir)
+    run = run_training(star, KEY, types=["ridge"])
+    stored = persist_run(run, new_path(spark, "graded"))
+    return grade_stored(stored, run, "ridge", star, by=column)
+
+
+@query("grade_judges_stored")
+def grade_judges_stored(spark, sf_dir):
+    return _grade_stored(spark, sf_dir, "judge_name")
+
+
+@query("grade_counties_stored")
+def grade_counties_stored(spark, sf_dir):
+    return _grade_stored(spark, sf_dir, "county_name")
+
+
+@query("permutation_importance_all")
+def permutation_importance_all(spark, sf_dir):
+    train_rows, test_rows, features = _split(spark, sf_dir)
+    return E.permutation_importance(M.train_linear(train_rows, features).predict, test_rows, features, F.col(KEY))
+
+
+@query("partial_dependence_all")
+def partial_dependence_all(spark, sf_dir):
+    train_rows, test_rows, features = _split(spark, sf_dir)
+    return E.dependence(M.train_linear(train_rows, features), test_rows)
