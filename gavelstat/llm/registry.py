@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelstat.llm import (
-    bpe, chat, dart_minhash, debruijn, digest_index, mixing, pii, quality_ranker, suffix_buckets, text_rules, twins,
+    bpe, chat, conversation_repair, dart_minhash, debruijn, digest_index, license_scan, mixing, pii, quality_ranker,
+    suffix_buckets, text_rules, token_links, twins,
 )
 from gavelstat.llm.frames import table
 
@@ -121,3 +122,20 @@ FROM d WINDOW same AS (PARTITION BY t)""",
 )
 def op10(spark, sf_dir):
     return digest_index.temporary_index(spark).add(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_links")
+def op11(spark, sf_dir):
+    vocabularies = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_links.summary(table(spark, sf_dir, "documents"), *vocabularies)
+
+
+@query("op12_glr_repair")
+def op12(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.summary(conversation_repair.damaged(rows), rows)
+
+
+@query("op13_license_scan", twins.license_sql())
+def op13(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gavelstat.llm import text_rules
+from gavelstat.llm import license_scan, text_rules
 from gavelstat.llm.dart_minhash import SHINGLE
 from gavelstat.llm.debruijn import WORDS
 from gavelstat.llm.suffix_buckets import LENGTH
@@ -91,3 +91,39 @@ kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER B
 sums AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS c FROM spans GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)"""
+
+
+def license_sql() -> str:
+    """Every word run against every template position; diagonals, merged spans and labels as windows."""
+    known = license_scan.templates()
+    about = ", ".join(
+        f"({n}, '{t.label}', {str(t.phrase).lower()}, {t.runs}, {t.needed}, {len(t.words)}, {0 if t.phrase else license_scan.DRIFT})"
+        for n, t in enumerate(known)
+    )
+    runs = ", ".join(
+        f"({n}, {i}, {t.run}, '{' '.join(t.words[i : i + t.run])}')" for n, t in enumerate(known) for i in range(t.runs)
+    )
+    places = " UNION ALL ".join(
+        f"""SELECT doc_id, i - 1 AS place, {k} AS run, array_to_string(w[i : i + {k - 1}], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {k - 1})) AS i FROM d WHERE len(w) >= {k})"""
+        for k in sorted({t.run for t in known})
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '{license_scan.WORD}') AS w FROM documents),
+t(template, label, phrase, runs, needed, size, drift) AS (VALUES {about}),
+r(template, position, run, x) AS (VALUES {runs}),
+g AS (SELECT doc_id, template, place - position AS diagonal, min(place) AS a, max(place + run) AS b, list(position) AS p
+ FROM ({places}) JOIN r USING (run, x) GROUP BY ALL),
+n AS (SELECT g.*, t.* EXCLUDE template, CASE WHEN diagonal - lag(diagonal) OVER o > drift THEN 1 ELSE 0 END AS new
+ FROM g JOIN t USING (template) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+m AS (SELECT doc_id, template, label, phrase, runs, needed, size, min(a) AS a, max(b) AS b, len(list_distinct(flatten(list(p)))) AS votes
+ FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM n)
+ GROUP BY doc_id, template, label, phrase, runs, needed, size, part),
+v AS (SELECT *, votes >= needed AND b - a <= {license_scan.STRETCH} * size AS ok FROM m),
+s AS (SELECT doc_id, count(*) FILTER (ok AND phrase) AS n_base, min(a) FILTER (ok AND phrase) AS first_word,
+ max(a) FILTER (ok AND phrase) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok AND phrase) AS base_labels,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok) AS labels, max(votes / runs) AS score FROM v GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+ CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+ coalesce(score, 0.0) AS score FROM d LEFT JOIN s USING (doc_id)"""
