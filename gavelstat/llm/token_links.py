@@ -1,8 +1,9 @@
 """Which tokens of two tokenizers end together, and how often two ids do so in the whole corpus.
 
 Both tokenizers cut at a single space between two other characters, so a text is aligned piece by piece and pieces
-are remembered.  Of a piece, a dictionary per tokenizer leads from the byte at which a token ends to its place; the
-ends that both have, sorted, cut both id lists into groups, and each group gives its links.
+are remembered.  Unseen pieces are encoded and aligned together: a dictionary per tokenizer leads from the byte at
+which a token ends to its place; the ends that both have, sorted, cut both id lists into groups, and each group gives
+its links.  No token is empty, so of a group only the last tokens end together.
 
 1. A task aligns blocks of texts.  A stored row is a block: its documents, its distinct links with their numbers, and
    for every link of a document its place among those.
@@ -21,7 +22,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,52 +31,36 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelstat.llm.bpe import byte_symbols
+from gavelstat.llm.bpe import PATTERN, byte_symbols
 from gavelstat.llm.frames import map_batches, steps
 from gavelstat.workspace import materialize
 
 #: Text bytes of a block.
-BLOCK_BYTES = 8 << 20
-#: Pieces that a worker remembers, and the longest one worth it.
-MEMO_PIECES, MEMO_LENGTH = 1 << 17, 64
+BLOCK_BYTES = 4 << 20
+#: Pieces that a worker remembers in each of two generations, and the longest one worth it.
+MEMO_PIECES, MEMO_LENGTH = 1 << 16, 64
 #: A link as one integer: the A id, then the B id.
 B_BITS = 20
+#: White space in either library.
+_GAP = r"\s\u180e"
 #: A space that no token of either kind holds but as its first character.
-_CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
-_WORD_START = "▁"
+_CUT = re.compile(rf"(?<=[^{_GAP}]) (?=[^{_GAP}])")
+#: Pieces that may stand side by side in one text: no gap at their ends, letters of settled kinds, no long words.
+_PLAIN = re.compile(rf"(?![{_GAP}])[\x00-\u024f]{{1,500}}(?<![{_GAP}])")
+_WORD_START = "\u2581"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Texts that one call of a tokenizer gets.
-_CALL = 20_000
-
-
-def align(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int, int, int]]:
-    """Groups of two token lists: first and last place (exclusive) in a, then in b."""
-    ends_a, ends_b = ({}, {})
-    for tokens, ends in ((a, ends_a), (b, ends_b)):
-        at = 0
-        for i, token in enumerate(tokens):
-            at += len(token)
-            ends[at] = i
-    out, i, j = [], 0, 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        out.append((i, ends_a[end] + 1, j, ends_b[end] + 1))
-        i, j = ends_a[end] + 1, ends_b[end] + 1
-    return out
-
-
-def links(a: Sequence[bytes], b: Sequence[bytes], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Places of the tokens of one group that end together."""
-    i, i_end, j, j_end = group
-    ends: dict[int, list[int]] = {}
-    at = 0
-    for place in range(i, i_end):
-        at += len(a[place])
-        ends.setdefault(at, []).append(place)
-    out, at = [], 0
-    for place in range(j, j_end):
-        at += len(b[place])
-        out += [(other, place) for other in ends.get(at, ())]
-    return out
+#: Pieces that one call of a tokenizer gets.
+_CALL = 8192
+#: Groups as text, links (their A and B ids), and the numbers of A's and B's tokens; None: not restored.
+Aligned = tuple[str, bytes, int, int] | None
+
+
+def align(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ends that both token lists have, and the places of the tokens that end there."""
+    a_ends, b_ends = ({end: i for i, end in enumerate(np.cumsum(sizes).tolist())} for sizes in (a_sizes, b_sizes))
+    common = sorted(a_ends.keys() & b_ends.keys())
+    return (np.asarray(common, np.int64), *(np.fromiter(map(ends.__getitem__, common), np.int64, len(common))
+                                            for ends in (a_ends, b_ends)))
 
 
 class Aligner:
@@ -84,6 +69,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -92,49 +78,99 @@ class Aligner:
         self.a.no_padding()
         with open(a_path, encoding="utf-8") as file:
             vocabulary = json.load(file)
-        symbols = byte_symbols()
-        self.a_bytes = {i: bytes(symbols[c] for c in t) for t, i in vocabulary["model"]["vocab"].items() if set(t) <= symbols.keys()}
-        for t in vocabulary["added_tokens"]:
-            self.a_bytes.setdefault(t["id"], t["content"].encode())
+        symbols, model = byte_symbols(), vocabulary["model"]
+        ranks = {bytes(symbols[c] for c in t): i for t, i in model["vocab"].items() if set(t) <= symbols.keys()}
+        special = {t["content"].encode(): t["id"] for t in vocabulary["added_tokens"]}
+        ranks = {t: i for t, i in ranks.items() if i not in set(special.values())}
+        # where ids are in the order of merges, as in this vocabulary, a faster library encodes the same
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ordered = [model["vocab"][a + b] for a, b in merges] == list(range(256, 256 + len(merges)))
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_bytes = [b""] * (1 + max([*ranks.values(), *special.values()]))
+        for token, i in [*special.items(), *ranks.items()]:
+            self.a_bytes[i] = token
         self.b_bytes = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.memo: dict[str, tuple[str, bytes, bytes] | None] = {}
-
-    def learn(self, pieces: list[str]) -> dict[str, tuple[str, bytes, bytes] | None]:
-        """Groups as text, links, and counts of a's tokens, b's and groups, for each piece; None if one is not restored."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = [p for p in pieces if p not in self.memo]
-        found = {}
-        for low in range(0, len(new), _CALL):
-            some = new[low : low + _CALL]
-            a = self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            for p, x, y in zip(some, a, self.b.encode(some, num_threads=1)):
-                found[p] = self._aligned(p, x.ids, y)
-        self.memo.update((p, v) for p, v in found.items() if len(p) <= MEMO_LENGTH)
-        return {p: found[p] if p in found else self.memo[p] for p in pieces}
-
-    def _aligned(self, piece: str, a: list[int], b: list[int]) -> tuple[str, bytes, bytes] | None:
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == b" " + piece.encode():
-            return None
-        groups = align(a_bytes, b_bytes)
-        text = ";".join(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])) for i, k, j, m in groups)
-        pairs = [(a[x] << B_BITS) + b[y] for g in groups for x, y in links(a_bytes, b_bytes, g)]
-        return text, np.asarray(pairs, "<i8").tobytes(), np.asarray([len(a), len(b), len(groups)], "<i8").tobytes()
-
-    def texts(self, texts: list[str | None]) -> list[tuple[str, bytes, np.ndarray]]:
-        """Groups, links and counts of every text."""
+        if b"" in self.a_bytes or b"" in self.b_bytes:
+            raise ValueError("a vocabulary has a token without bytes")
+        self.a_size, self.b_size = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.young: dict[str, Aligned] = {}
+        self.old: dict[str, Aligned] = {}
+
+    def learn(self, pieces: list[str]) -> dict[str, Aligned]:
+        """Alignments of different pieces; those asked for lately are remembered."""
+        if len(self.young) > MEMO_PIECES:
+            self.old, self.young = self.young, {}
+        known, young, old = {}, self.young, self.old
+        new = []
+        for piece in pieces:
+            if piece in young:
+                known[piece] = young[piece]
+            elif piece in old:
+                known[piece] = young[piece] = old[piece]
+            else:
+                new.append(piece)
+        plain = [p for p in new if self.fast and _PLAIN.fullmatch(p)]
+        others = list(set(new).difference(plain)) if len(plain) < len(new) else []
+        for some, encode in ((plain, self._side_by_side), (others, self._one_by_one)):
+            for low in range(0, len(some), _CALL):
+                part = some[low : low + _CALL]
+                found = dict(zip(part, self._aligned(part, encode(part), self.b.encode(part, num_threads=1))))
+                known |= found
+                young |= {p: v for p, v in found.items() if len(p) <= MEMO_LENGTH}
+        return known
+
+    def _side_by_side(self, pieces: list[str]) -> list[int]:
+        return self.fast.encode_ordinary(" " + " ".join(pieces))
+
+    def _one_by_one(self, pieces: list[str]) -> list[int]:
+        return [i for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False) for i in e.ids]
+
+    def _aligned(self, pieces: list[str], a: list[int], b: list[list[int]]) -> list[Aligned]:
+        """Alignments of pieces whose A ids stand one after the other."""
+        raw = [b" " + p.encode() for p in pieces]
+        flat = [i for ids in b for i in ids]
+        a_bytes, b_bytes = (list(map(t.__getitem__, ids)) for t, ids in ((self.a_bytes, a), (self.b_bytes, flat)))
+        whole = b"".join(raw)
+        if b"".join(a_bytes) != whole:
+            return [x for p in pieces for x in self._aligned([p], self._one_by_one([p]), self.b.encode([p]))] if len(pieces) > 1 else [None]
+        if b"".join(b_bytes) != whole:
+            good = [b"".join(map(self.b_bytes.__getitem__, ids)) == r for ids, r in zip(b, raw)]
+            kept = [p for p, ok in zip(pieces, good) if ok]
+            found = iter(self._aligned(kept, self._one_by_one(kept), [ids for ids, ok in zip(b, good) if ok]) if kept else [])
+            return [next(found) if ok else None for ok in good]
+        a_ids, b_ids = np.asarray(a, np.int64), np.asarray(flat, np.int64)
+        ends, last_a, last_b = align(self.a_size[a_ids], self.b_size[b_ids])
+        bounds = np.searchsorted(ends, np.cumsum([len(r) for r in raw]), side="right")
+        x, y = (list(map(self.names.__getitem__, ids)) for ids in (a, flat))
+        groups, i, j = [], 0, 0
+        for k, m in zip(last_a.tolist(), last_b.tolist()):
+            if k == i and m == j:
+                groups.append(x[i] + "|" + y[j])
+            else:
+                groups.append(",".join(x[i : k + 1]) + "|" + ",".join(y[j : m + 1]))
+            i, j = k + 1, m + 1
+        pairs = ((a_ids[last_a] << B_BITS) + b_ids[last_b]).astype("<i8").tobytes()
+        n_a, n_b = (np.diff(last[bounds - 1] + 1, prepend=0).tolist() for last in (last_a, last_b))
+        out, low = [], 0
+        for high, p, q in zip(bounds.tolist(), n_a, n_b):
+            out.append((";".join(groups[low:high]), pairs[8 * low : 8 * high], p, q))
+            low = high
+        return out
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, bytes, int, int]]:
+        """Groups, links and numbers of tokens of every text."""
         split = [_CUT.split(t) if t else [] for t in texts]
         known = self.learn(list({p for pieces in split for p in pieces}))
         out = []
         for pieces in split:
             parts = [known[p] for p in pieces]
             if not parts or None in parts:
-                out.append(("", b"", np.zeros(3, np.int64)))
+                out.append(("", b"", 0, 0))
                 continue
-            counts = np.frombuffer(b"".join([p[2] for p in parts]), "<i8").reshape(-1, 3).sum(axis=0)
-            out.append((";".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), counts))
+            groups, pairs, n_a, n_b = zip(*parts)
+            out.append((";".join(groups), b"".join(pairs), sum(n_a), sum(n_b)))
         return out
 
 
@@ -172,10 +208,9 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_B
         for part in steps(batch, "text", block_bytes):
             rows, found = [], []
             for step in steps(part, "text"):
-                for doc, (groups, pairs, n) in zip(step.column(0).to_pylist(), aligner.texts(step.column(1).to_pylist())):
-                    sha = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
-                    counts = zip(("n_a", "n_b", "n_groups", "n_links"), (*n.tolist(), len(pairs) // 8))
-                    rows.append({"doc_id": doc, "groups_sha256": sha} | dict(counts))
+                for doc, (groups, pairs, n_a, n_b) in zip(step.column(0).to_pylist(), aligner.texts(step.column(1).to_pylist())):
+                    sha, n = hashlib.sha256(groups.encode()).hexdigest() if groups else "", len(pairs) // 8
+                    rows.append({"doc_id": doc, "n_a": n_a, "n_b": n_b, "n_groups": n, "n_links": n, "groups_sha256": sha})
                     found.append(pairs)
             task = TaskContext.get()
             made = vars(task).setdefault("made_blocks", 0)
@@ -204,7 +239,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for step in steps(batch, "text"):
             found = aligner_of(*names).texts(step.column(1).to_pylist())
-            yield {"doc_id": step.column(0), "groups": [g for g, _, _ in found]}
+            yield {"doc_id": step.column(0), "groups": [g for g, *_ in found]}
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_batches(rows, run, "doc_id bigint, groups string", aligner_of.cache_clear)
