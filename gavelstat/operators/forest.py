@@ -9,10 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gavelstat.workspace import drop_at_exit, new_path
 
 GROUP_NODES = 2_000_000
 
@@ -147,40 +143,3 @@ def _order_weights(others: int) -> np.ndarray:
     for k in range(1, others + 1):
         weights[k] = weights[k - 1] * k / (others - k + 1)
     return weights / (others + 1)
-
-
-def read_trees(model) -> list[Tree]:
-    """Trees of a fitted MLlib tree model, from its saved node table.
-
-    The model already lives on the driver, so this moves nothing that was distributed.
-    """
-    spark = SparkSession.getActiveSession()
-    path = new_path(spark, "trees")
-    model.write().save(path)
-    drop_at_exit(spark, path)
-    return trees_from_table(spark.read.parquet(f"{path}/data"))
-
-
-def trees_from_table(nodes: DataFrame) -> list[Tree]:
-    if "treeID" in nodes.columns:
-        nodes = nodes.select("treeID", "nodeData.*")
-    else:
-        nodes = nodes.withColumn("treeID", F.lit(0))
-    rows = nodes.select(
-        "treeID", "id", "prediction", F.col("impurityStats")[0].alias("cover"), "leftChild", "rightChild",
-        F.col("split.featureIndex").alias("feature"),
-        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    ).toPandas()
-    trees = []
-    for _, part in rows.sort_values(["treeID", "id"]).groupby("treeID"):
-        trees.append(
-            Tree(
-                part["feature"].to_numpy(np.int64),
-                part["threshold"].fillna(0.0).to_numpy(float),
-                part["leftChild"].to_numpy(np.int64),
-                part["rightChild"].to_numpy(np.int64),
-                part["prediction"].to_numpy(float),
-                part["cover"].to_numpy(float),
-            )
-        )
-    return trees

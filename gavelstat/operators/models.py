@@ -5,29 +5,25 @@ from __future__ import annotations
 import itertools
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel,
-    DecisionTreeRegressor,
-    GBTRegressor,
-    LinearRegression,
-    RandomForestRegressor,
-)
+import pyarrow as pa
 from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelstat.functions.columns import row_hash
-from gavelstat.operators.extra_trees import fit_extra_trees
-from gavelstat.operators.forest import Forest, Tree, read_trees
+from gavelstat.operators import tree_growth as T
+from gavelstat.operators.forest import Forest, Tree
+from gavelstat.operators.tree_cells import Rules
 from gavelstat.schema import TARGET
-from gavelstat.workspace import materialize
+from gavelstat.workspace import release
 
 # ---- fixed values: parameters of each model type ----
 GOOD_PARAMS = {
@@ -47,7 +43,7 @@ GOOD_PARAMS = {
     "ridge": {"alpha": 0.1},
 }
 
-# ---- fixed values: search grids (parameters with no equal here left out) ----
+# ---- fixed values: search grids ----
 PARAM_GRIDS = {
     "gradient_boosting": {
         "n_estimators": [100, 200, 300],
@@ -83,10 +79,11 @@ PARAM_GRIDS = {
 
 DEFAULT_TYPES = ["random_forest", "gradient_boosting"]
 SEED = 42
-FULL_DEPTH = 30  # stands for 'unlimited': as deep as MLlib goes
-BINS = 128
-ROUND_CUT = 5
-OWN_ENSEMBLES = ("ada_boost", "bagging", "extra_trees")
+#: Parameters of each tree ensemble: the one that counts its trees, and the bins per feature.
+ROUNDS = {"gradient_boosting": "n_estimators", "hist_gradient_boosting": "max_iter", "random_forest": "n_estimators",
+          "ada_boost": "n_estimators", "bagging": "n_estimators", "extra_trees": "n_estimators"}
+BOOSTED = ("gradient_boosting", "hist_gradient_boosting")
+HIST_BINS, HIST_LEAVES = 255, 31
 VECTOR = "__features"
 
 
@@ -94,8 +91,7 @@ VECTOR = "__features"
 class FittedModel:
     """A trained model with the feature order it expects.
 
-    ``model`` is an MLlib pipeline; ensembles MLlib does not have keep their trees as a
-    ``forest`` instead.
+    ``model`` is an MLlib pipeline of a linear model; ensembles of trees are a ``forest`` instead.
     """
 
     model_type: str
@@ -121,15 +117,7 @@ class FittedModel:
 
     def as_forest(self) -> Forest | None:
         """The trees, for models made of trees."""
-        if self.forest is not None:
-            return self.forest
-        stage = self.model.stages[-1]
-        if not hasattr(stage, "treeWeights"):
-            return None
-        trees, weights = read_trees(stage), list(stage.treeWeights)
-        if self.model_type == "random_forest":
-            weights = [w / len(trees) for w in weights]
-        return Forest(trees, weights)
+        return self.forest
 
     def linear(self) -> tuple[list[float], float] | None:
         """Coefficients and intercept, for linear models."""
@@ -140,10 +128,8 @@ class FittedModel:
 
     def importances(self) -> list[float] | None:
         """Share of the impurity reduction per feature; None for linear and bagged models."""
-        if self.model is not None and hasattr(self.model.stages[-1], "featureImportances"):
-            return [float(v) for v in self.model.stages[-1].featureImportances.toArray()]
         if self.forest is not None and self.model_type != "bagging":
-            return list(_forest_importances(self.forest, len(self.features)))
+            return list(_forest_importances(self.forest, len(self.features), self.model_type not in BOOSTED))
         return None
 
     def importance_profile(self, spark: SparkSession) -> DataFrame:
@@ -176,27 +162,20 @@ def load_model(spark: SparkSession, path: str) -> FittedModel:
 
 def forest_table(spark: SparkSession, forest: Forest) -> DataFrame:
     """One row per tree with its nodes as arrays."""
-    rows = [
-        (i, float(w), t.feature.tolist(), t.threshold.tolist(), t.left.tolist(), t.right.tolist(),
-         t.value.tolist(), t.cover.tolist())
-        for i, (t, w) in enumerate(zip(forest.trees, forest.weights))
-    ]
-    return spark.createDataFrame(
-        rows,
-        "tree int, weight double, feature array<bigint>, threshold array<double>, `left` array<bigint>, "
-        "`right` array<bigint>, value array<double>, cover array<double>",
-    )
+    names = ("feature", "threshold", "left", "right", "value", "cover")
+    kinds = (pa.int16(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+    columns = {"tree": pa.array(range(len(forest.trees)), pa.int32()), "weight": pa.array(forest.weights, pa.float64())}
+    for name, kind in zip(names, kinds):
+        columns[name] = pa.array([getattr(t, name) for t in forest.trees], pa.list_(kind))
+    return spark.createDataFrame(pa.table(columns))
 
 
 def forest_from_table(table: DataFrame, combine: str) -> Forest:
-    rows = table.orderBy("tree").collect()
-    trees = [
-        Tree(*[np.asarray(r[c], dtype=t) for c, t in
-               (("feature", np.int64), ("threshold", float), ("left", np.int64), ("right", np.int64),
-                ("value", float), ("cover", float))])
-        for r in rows
-    ]
-    return Forest(trees, [r["weight"] for r in rows], combine)
+    stored = table.orderBy("tree").toArrow()
+    names = ("feature", "threshold", "left", "right", "value", "cover")
+    columns = [stored.column(c) for c in names]
+    trees = [Tree(*[c[i].values.to_numpy() for c in columns]) for i in range(stored.num_rows)]
+    return Forest(trees, stored.column("weight").to_pylist(), combine)
 
 
 def _score(spark: SparkSession, features: Sequence[str], forest: Forest):
@@ -211,54 +190,71 @@ def _score(spark: SparkSession, features: Sequence[str], forest: Forest):
     return score
 
 
-def _forest_importances(forest: Forest, p: int) -> np.ndarray:
-    """Mean over trees of each tree's normalised reduction of squared error."""
-    total, weight_sum = np.zeros(p), 0.0
+def _forest_importances(forest: Forest, p: int, per_tree: bool) -> np.ndarray:
+    """Reduction of squared error by feature, in shares: of each tree, then averaged, or of all trees together."""
+    total = np.zeros(p)
     for tree, weight in zip(forest.trees, forest.weights):
-        gain = np.zeros(p)
-        for n in np.flatnonzero(tree.feature >= 0):
-            a, b = tree.left[n], tree.right[n]
-            gain[tree.feature[n]] += (
-                tree.cover[a] * (tree.value[a] - tree.value[n]) ** 2
-                + tree.cover[b] * (tree.value[b] - tree.value[n]) ** 2
-            )
-        if gain.sum() > 0:
-            total += weight * gain / gain.sum()
-            weight_sum += weight
-    return total / weight_sum if weight_sum else total
+        n = np.flatnonzero(tree.feature >= 0)
+        gain = np.zeros(len(n))
+        for side in (tree.left[n], tree.right[n]):
+            gain += tree.cover[side] * (tree.value[side] - tree.value[n]) ** 2
+        found = np.bincount(tree.feature[n], gain, p)
+        if found.sum() > 0:
+            total += weight * (found / found.sum() if per_tree else found)
+    return total / total.sum() if total.sum() else total
 
 
 # ---- estimators ----
 
 
-def _feature_subset(value) -> str:
-    return "all" if value in (None, 1.0) else str(value)
+def tried_features(value, p: int) -> int | None:
+    """How many features a node draws: all, a share of them, or their square root or logarithm."""
+    if value in (None, 1.0):
+        return None
+    count = {"sqrt": p**0.5, "log2": np.log2(p)}.get(value) if isinstance(value, str) else value * p
+    return max(1, int(count))
+
+
+def rules_of(model_type: str, p: dict, features: int) -> Rules:
+    """How the trees of an ensemble grow, from parameters in their usual names."""
+    common = {"min_leaf": p.get("min_samples_leaf", 1), "min_split": p.get("min_samples_split", 2)}
+    if model_type == "ada_boost":
+        return Rules(depth=p.get("max_depth", 3))
+    if model_type == "bagging":
+        return Rules(depth=p.get("max_depth"), **common)
+    if model_type == "hist_gradient_boosting":
+        return Rules(depth=p["max_depth"], leaves=p.get("max_leaf_nodes", HIST_LEAVES), strict=True, **common)
+    return Rules(depth=p["max_depth"], tried=tried_features(p.get("max_features"), features),
+                 random_cuts=model_type == "extra_trees", **common)
+
+
+def _fit_trees(rows: DataFrame, bins: T.Bins, model_type: str, p: dict) -> Forest:
+    rules, seed, count = rules_of(model_type, p, len(bins.features)), p.get("seed", SEED), p[ROUNDS[model_type]]
+    if model_type in BOOSTED:
+        return T.fit_boosted(rows, bins, boost_plan(model_type, p, len(bins.features)))
+    if model_type == "ada_boost":
+        return T.fit_ada(rows, bins, rules, count, p["learning_rate"], seed)
+    share, draws = 1.0, None
+    if model_type == "bagging":
+        share, draws = p["max_features"], p["max_samples"]
+    elif p.get("bootstrap"):
+        draws = 1.0
+    return T.fit_forest(rows, bins, T.ForestPlan(count, rules, share, draws, seed))
+
+
+def boost_plan(model_type: str, p: dict, features: int) -> T.BoostPlan:
+    rate = p.get("learning_rate", 0.1)
+    return T.BoostPlan(p[ROUNDS[model_type]], rules_of(model_type, p, features), rate, p.get("subsample", 1.0), p.get("seed", SEED))
+
+
+def find_bins(df: DataFrame, features: Sequence[str], model_type: str) -> T.Bins:
+    return T.find_bins(df, features, HIST_BINS if model_type == "hist_gradient_boosting" else T.MOST_VALUES)
 
 
 def estimator(model_type: str, target: str = TARGET, params: dict | None = None, scale: tuple[float, int] | None = None):
-    """The MLlib estimator for a model type with parameters in their usual names."""
-    if model_type not in GOOD_PARAMS:
-        raise ValueError(f"unknown model type {model_type!r}; known are {sorted(GOOD_PARAMS)}")
+    """The MLlib estimator of a linear model type with parameters in their usual names."""
     p = {**GOOD_PARAMS[model_type], **(params or {})}
     common = {"featuresCol": VECTOR, "labelCol": target}
-    trees = {**common, "seed": p.get("seed", SEED), "maxBins": p.get("max_bins", BINS),
-             "minInstancesPerNode": p.get("min_samples_leaf", 1)}
-    if model_type == "gradient_boosting":
-        return GBTRegressor(
-            maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
-            subsamplingRate=p.get("subsample", 1.0),
-            featureSubsetStrategy=_feature_subset(p.get("max_features")), **trees,
-        )
-    if model_type == "random_forest":
-        return RandomForestRegressor(
-            numTrees=p["n_estimators"], maxDepth=p["max_depth"] or FULL_DEPTH, bootstrap=p["bootstrap"],
-            featureSubsetStrategy=_feature_subset(p["max_features"]), **trees,
-        )
-    if model_type == "hist_gradient_boosting":
-        trees["maxBins"] = p.get("max_bins", 255)
-        return GBTRegressor(
-            maxIter=p["max_iter"], stepSize=p.get("learning_rate", 0.1), maxDepth=p["max_depth"] or FULL_DEPTH, **trees
-        )
     if model_type == "lasso":
         return LinearRegression(
             elasticNetParam=1.0, regParam=p["alpha"], standardization=False, maxIter=1000, tol=1e-10, **common
@@ -282,23 +278,19 @@ def train(
 ) -> FittedModel:
     """Fit one model on a stored table of numeric features.
 
-    ``key`` identifies rows; bagging needs it to draw the same sample on a retry.
+    ``key`` identifies rows, whose draws follow from it; bagging insists on it, others take the content of a row.
     """
     if model_type not in GOOD_PARAMS:
         raise ValueError(f"unknown model type {model_type!r}; known are {sorted(GOOD_PARAMS)}")
     features, merged = list(features), {**GOOD_PARAMS[model_type], **(params or {})}
-    if model_type == "extra_trees":
-        forest = fit_extra_trees(
-            df, features, target, merged["n_estimators"], merged["max_depth"] or FULL_DEPTH,
-            merged["min_samples_split"], merged["min_samples_leaf"], merged.get("seed", SEED),
-        )
+    if model_type == "bagging" and key is None:
+        raise ValueError("bagging needs the row key")
+    if model_type in ROUNDS:
+        bins = find_bins(df, features, model_type)
+        rows = T.binned(df, bins, target, key)
+        forest = _fit_trees(rows, bins, model_type, merged)
+        release(rows)
         return FittedModel(model_type, features, merged, forest=forest)
-    if model_type == "ada_boost":
-        return FittedModel(model_type, features, merged, forest=_fit_ada_boost(df, features, target, merged))
-    if model_type == "bagging":
-        if key is None:
-            raise ValueError("bagging needs the row key")
-        return FittedModel(model_type, features, merged, forest=_fit_bagging(df, features, target, merged, key))
     scale = None
     if model_type == "ridge":
         row = df.agg(F.stddev_pop(target), F.count(target)).first()
@@ -315,83 +307,6 @@ def train_linear(df: DataFrame, features: Sequence[str], target: str = TARGET) -
     return FittedModel("linear", list(features), {}, model=Pipeline(stages=[assembler, ols]).fit(df.select(*features, target)))
 
 
-def _fit_ada_boost(df: DataFrame, features: list[str], target: str, p: dict) -> Forest:
-    """AdaBoost.R2 (Drucker 1997) with a linear loss.
-
-    Each round fits a depth-3 tree on weighted rows, weights the tree by its error and
-    shifts row weight to the badly predicted ones.  Weights are stored every few rounds,
-    which keeps the plan short and makes them safe against lost executors.
-    """
-    vectors = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(df.select(*features, target))
-    rows = materialize(vectors.select(VECTOR, target, F.lit(1.0).alias("__w")), "boost")
-    trees, weights = [], []
-    for number in range(p["n_estimators"]):
-        tree = DecisionTreeRegressor(
-            featuresCol=VECTOR, labelCol=target, weightCol="__w", maxDepth=p.get("max_depth", 3), maxBins=BINS,
-            seed=SEED + number, predictionCol="__p",
-        )
-        model = tree.fit(rows)
-        miss = F.abs(F.col("__p") - F.col(target))
-        scored = model.transform(rows).withColumn("__e", miss)
-        worst, weighted, total = scored.agg(
-            F.max("__e"), F.sum(F.col("__w") * F.col("__e")), F.sum("__w")
-        ).first()
-        error = weighted / worst / total if worst else 0.0
-        if error >= 0.5 and trees:
-            break
-        trees.append(read_trees(model)[0])
-        if error <= 0.0:
-            weights.append(1.0)
-            break
-        beta = error / (1.0 - error)
-        weights.append(p["learning_rate"] * float(np.log(1.0 / beta)) if error < 0.5 else 1.0)
-        if error >= 0.5:
-            break
-        decay = F.pow(F.lit(beta), (1.0 - F.col("__e") / F.lit(worst)) * F.lit(p["learning_rate"]))
-        rows = scored.select(VECTOR, target, (F.col("__w") * decay / F.lit(total)).alias("__w"))
-        if (number + 1) % ROUND_CUT == 0:
-            rows = materialize(rows, "boost")
-    return Forest(trees, weights, "median")
-
-
-def _poisson_weight(uniform: Column, mean: float) -> Column:
-    """Poisson row weight by inverting its distribution at ``uniform``, up to a tail below 2^-60."""
-    weight, p, cumulative = F.lit(0), float(np.exp(-mean)), 0.0
-    k = 0
-    while k <= mean or p > 2.0**-60:
-        cumulative += p
-        weight = weight + (uniform > F.lit(cumulative)).cast("int")
-        k += 1
-        p *= mean / k
-    return weight.cast("double")
-
-
-def _fit_bagging(df: DataFrame, features: list[str], target: str, p: dict, key: Column) -> Forest:
-    """Trees on Poisson-weighted rows and a random half of the features each.
-
-    Poisson weights are what drawing rows with replacement tends to on large data, and they
-    need no shuffle: each row's weight follows from its key.
-    """
-    assembler = VectorAssembler(inputCols=features, outputCol="__all")
-    rows = materialize(assembler.transform(df.withColumn("__key", key)).select("__key", "__all", target), "bagging")
-    width = max(1, int(p["max_features"] * len(features)))
-    trees = []
-    for number in range(p["n_estimators"]):
-        chosen = sorted(np.random.default_rng([SEED, number]).choice(len(features), width, replace=False).tolist())
-        uniform = row_hash(F.col("__key"), SEED + number) / F.lit(float(2**60))
-        drawn = rows.withColumn("__w", _poisson_weight(uniform, p["max_samples"])).filter(F.col("__w") > 0)
-        sliced = VectorSlicer(inputCol="__all", outputCol=VECTOR, indices=chosen).transform(drawn)
-        tree = DecisionTreeRegressor(
-            featuresCol=VECTOR, labelCol=target, weightCol="__w", maxDepth=p.get("max_depth") or FULL_DEPTH,
-            maxBins=BINS, seed=SEED + number,
-        )
-        fitted: DecisionTreeRegressionModel = tree.fit(sliced)
-        small = read_trees(fitted)[0]
-        lookup = np.asarray([*chosen, -1])
-        trees.append(Tree(lookup[small.feature], small.threshold, small.left, small.right, small.value, small.cover))
-    return Forest(trees, [1.0 / len(trees)] * len(trees))
-
-
 # ---- evaluation ----
 
 
@@ -445,17 +360,53 @@ def search(
     """Best parameters by R² on one hold-out; the fits run ``parallelism`` at a time.
 
     Which rows are held out follows from a hash of ``key`` (default: the row's content), so all model types are
-    judged on the same rows, however the table is partitioned.
+    judged on the same rows, however the table is partitioned.  Options that differ in the number of trees alone
+    share the fit with the most, whose first trees are the others' models.
     """
     if key is None:
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in [*features, target]])
+    features = list(features)
     part = F.pmod(row_hash(key, SEED), F.lit(1000)) < F.lit(int(train_ratio * 1000))
-    fit_rows, test_rows = df.filter(part), df.filter(~part)
+    scores: list[float | None] = [None] * len(options)
+    merged = [{**GOOD_PARAMS[model_type], **o} for o in options]
+    fits = _shared_fits(model_type, merged)
+    if model_type in BOOSTED:
+        bins = find_bins(df.filter(part), features, model_type)
+        rows = T.binned(df.withColumn("__fits", part), bins, target, key, ["__fits"])
+        if rows.count() <= T.UNIT_ROWS:
+            plans = [boost_plan(model_type, p, len(features)) for p, _ in fits]
+            found = T.staged_scores(rows, "__fits", bins, plans, [sorted(set(stages.values())) for _, stages in fits])
+            for (_, stages), by_rounds in zip(fits, found):
+                for i, rounds in stages.items():
+                    scores[i] = by_rounds[rounds]
+        release(rows)
+    if None in scores:
+        fit_rows, test_rows = df.filter(part), df.filter(~part)
+
+        def score(fit: tuple[dict, dict[int, int]]) -> None:
+            fitted = train(fit_rows, features, model_type, target, fit[0], key=key)
+            for i, rounds in fit[1].items():
+                shown = fitted if model_type not in ROUNDS else replace(fitted, forest=_first_trees(fitted, rounds))
+                scores[i] = evaluate(shown.predict(test_rows), target=target).first()["r2"]
+
+        with ThreadPool(parallelism) as pool:
+            pool.map(inheritable_thread_target(df.sparkSession)(score), fits)
+    return options[int(np.argmax(scores))], list(zip(options, scores))
 
-    def score(option: dict) -> float:
-        fitted = train(fit_rows, features, model_type, target, option, key=key)
-        return evaluate(fitted.predict(test_rows), target=target).first()["r2"]
 
-    with ThreadPool(parallelism) as pool:
-        scores = pool.map(inheritable_thread_target(df.sparkSession)(score), options)
-    return options[int(np.argmax(scores))], list(zip(options, scores))
+def _shared_fits(model_type: str, merged: Sequence[dict]) -> list[tuple[dict, dict[int, int]]]:
+    """Parameters to fit, each with the options (by place) that it serves and their numbers of trees."""
+    name, fits = ROUNDS.get(model_type), {}
+    for i, p in enumerate(merged):
+        rest = json.dumps({k: v for k, v in p.items() if k != name}, sort_keys=True)
+        fits.setdefault(rest, {})[i] = p.get(name, 0)
+    return [({**merged[max(s, key=s.get)]}, s) for s in fits.values()]
+
+
+def _first_trees(model: FittedModel, rounds: int) -> Forest:
+    forest = model.forest
+    kept = rounds + (model.model_type in BOOSTED)  # the constant that boosting starts from
+    trees, weights = forest.trees[:kept], forest.weights[:kept]
+    if model.model_type in BOOSTED or forest.combine != "sum":
+        return replace(forest, trees=trees, weights=weights)
+    return replace(forest, trees=trees, weights=[1.0 / len(trees)] * len(trees))

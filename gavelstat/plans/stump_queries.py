@@ -46,9 +46,10 @@ TRAIN = f"""{WITH_PREPARED}{split_ctes('prepared')}, train AS (SELECT * FROM par
 
 
 def boosted(rate: float) -> str:
-    residual = f"""residual AS (SELECT train.*, 2 * (bail_amount - {leaf('one')}) AS rest FROM train, one)"""
+    first = f"one.mean + {rate} * ({leaf('one')} - one.mean)"
+    residual = f"residual AS (SELECT train.*, bail_amount - ({first}) AS rest FROM train, one)"
     return f"""{TRAIN}, {residual}, {best_split('two', 'residual', 'rest')}
- SELECT internal_case_id, {r(f"{leaf('one')} + {rate} * {leaf('two')}")} AS prediction FROM test, one, two"""
+ SELECT internal_case_id, {r(f"{first} + {rate} * {leaf('two')}")} AS prediction FROM test, one, two"""
 
 
 ADA_BOOST = f"""{TRAIN}, missed AS (SELECT train.*, abs(bail_amount - {leaf('one')}) AS miss FROM train, one),

@@ -165,11 +165,9 @@ def test_separate_models_for_listed_targets(data):
     assert got[0] == pytest.approx(0.0, abs=1e-9) and got[1] == rows.count()
 
 
-def test_no_depth_limit_is_the_deepest_tree_of_the_grid(spark):
-    for model_type in ("random_forest", "hist_gradient_boosting"):
-        depths = [M.estimator(model_type, params={"max_depth": d}).getMaxDepth() for d in (10, 20, None)]
-        assert depths == [10, 20, M.FULL_DEPTH]
+def test_unlimited_trees_split_until_their_leaves_are_small(spark):
     rows = spark.createDataFrame([(float(i), float(2**i)) for i in range(12)], "a double, bail_amount double")
     one = {"max_iter": 1, "min_samples_leaf": 1}
-    unlimited = M.train(rows, ["a"], "hist_gradient_boosting", params=one).as_forest().trees[0]
+    unlimited = M.train(rows, ["a"], "hist_gradient_boosting", params=one).as_forest().trees[1]
     assert len(unlimited.value) == 23  # the chain that splits off one row at a time
+    assert len(M.train(rows, ["a"], "hist_gradient_boosting", params=one | {"max_depth": 3}).as_forest().trees[1].value) == 7
