@@ -30,15 +30,16 @@ import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gavelstat.llm.bpe import PATTERN, byte_symbols
-from gavelstat.llm.frames import map_batches, steps
+from gavelstat.llm.frames import bound_batches, map_batches, schema_of, steps
 from gavelstat.workspace import materialize
 
 #: Text bytes of a block.
 BLOCK_BYTES = 4 << 20
 #: Pieces that a worker remembers in each of two generations, and the longest one worth it.
-MEMO_PIECES, MEMO_LENGTH = 1 << 16, 64
+MEMO_PIECES, MEMO_LENGTH = 1 << 15, 64
 #: A link as one integer: the A id, then the B id.
 B_BITS = 20
 #: White space in either library.
@@ -50,7 +51,7 @@ _PLAIN = re.compile(rf"(?![{_GAP}])[\x00-\u024f]{{1,500}}(?<![{_GAP}])")
 _WORD_START = "\u2581"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Pieces that one call of a tokenizer gets.
-_CALL = 8192
+_CALL = 4096
 #: Groups as text, links (their A and B ids), and the numbers of A's and B's tokens; None: not restored.
 Aligned = tuple[str, bytes, int, int] | None
 
@@ -187,7 +188,7 @@ def aligner_of(a_name: str, b_name: str) -> Aligner:
 # ---- Spark ----
 
 _DOC = "doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string"
-BLOCK_DDL = f"block bigint, docs array<struct<{_DOC}>>, codes array<bigint>, numbers array<bigint>, places binary"
+BLOCK_DDL = f"block bigint, docs array<struct<{_DOC}>>, codes array<bigint>, numbers array<int>, places binary"
 
 
 def _block(number: int, docs: list[dict], found: list[bytes]) -> dict:
@@ -248,22 +249,38 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 def summary(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Sizes of every document's alignment, and how its links stand in the whole corpus."""
     stored = materialize(blocks(docs, a_path, b_path, block_bytes), "links")
-    counts = pair_counts(stored)
-    wanted = stored.select("block", F.explode("codes").alias("code")).join(counts, "code")
-    per_block = wanted.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("code", "n", "best"))).alias("known"))
-    joined = stored.select("block", "docs", "places").join(per_block, "block", "left").select(
-        "docs", "places", F.col("known.n").alias("n"), F.col("known.best").alias("best")
+    known = stored.select("block", F.explode("codes").alias("code")).join(pair_counts(stored), "code")
+    own = stored.select("block", "docs", "places")
+    # the numbers of a block's links, in the order of their codes, then its documents
+    stream = known.unionByName(own, allowMissingColumns=True).repartition("block").sortWithinPartitions(
+        "block", F.col("code").asc_nulls_last()
     )
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for docs, places, n, best in zip(*(c for c in batch.columns)):
-            rows = docs.as_py()
-            at = np.frombuffer(places.as_py(), "<u4")
-            n, best = (np.asarray(v.values if v.is_valid else [], np.int64) for v in (n, best))
-            ends = np.concatenate(([0], np.cumsum([r["n_links"] for r in rows])))
-            sums = [np.concatenate(([0], np.cumsum(v[at])))[ends] for v in (n, best)] if len(at) else [np.zeros(len(rows) + 1, int)] * 2
-            columns = {c: [r[c] for r in rows] for c in rows[0]}
-            yield columns | {"n_best": np.diff(sums[1]), "count_sum": np.diff(sums[0])}
-
     ddl = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    return map_batches(joined, run, ddl)
+    arrow = to_arrow_schema(schema_of(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            code, n, best, docs, places = batch.columns
+            low = 0
+            for at in np.flatnonzero(code.is_null().to_numpy(zero_copy_only=False)).tolist():
+                held.append(_numbers(n[low:at], best[low:at]))
+                n_all, best_all = (np.concatenate(v) for v in zip(*held))
+                yield pa.RecordBatch.from_pylist(_rated(docs[at].as_py(), places[at].as_py(), n_all, best_all), schema=arrow)
+                held, low = [], at + 1
+            held.append(_numbers(n[low:], best[low:]))
+
+    bound_batches(docs.sparkSession)
+    return stream.select("code", "n", "best", "docs", "places").mapInArrow(run, schema_of(ddl))
+
+
+def _numbers(n: pa.Array, best: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return n.to_numpy(zero_copy_only=False).astype(np.int64), best.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _rated(docs: list[dict], places: bytes, n: np.ndarray, best: np.ndarray) -> list[dict]:
+    """Documents of a block with the corpus numbers of their links; ``places`` tells each link's place in ``n``."""
+    at = np.frombuffer(places, "<u4")
+    ends = np.cumsum([0, *[d["n_links"] for d in docs]])
+    sums = [np.diff(np.concatenate(([0], np.cumsum(v[at])))[ends]).tolist() for v in (n, best)]
+    return [d | {"n_best": b, "count_sum": c} for d, c, b in zip(docs, *sums)]
