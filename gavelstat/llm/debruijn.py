@@ -52,7 +52,7 @@ def word_names(words: list[bytes]) -> np.ndarray:
 
 
 def chains(source: DataFrame) -> DataFrame:
-    """bucket (minimizer), path, doc and at of every chain."""
+    """bucket (minimizer), path, doc, mark and at of every chain."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for step in steps(batch, "text"):
@@ -62,10 +62,10 @@ def chains(source: DataFrame) -> DataFrame:
             for c in WINDOWS.chains(np.concatenate([word_names(w) for w in words]), sizes):
                 yield {
                     "bucket": signed(c.bucket), "path": signed(c.path), "doc": docs[c.doc],
-                    "at": pack(marks[c.doc], c.start, c.count),
+                    "mark": marks[c.doc], "at": pack(c.start, c.count),
                 }
 
-    return map_batches(source, run, "bucket bigint, path bigint, doc bigint, at bigint")
+    return map_batches(source, run, "bucket bigint, path bigint, doc bigint, mark bigint, at bigint")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
@@ -87,21 +87,17 @@ def occurrences(found: DataFrame) -> DataFrame:
 
 
 def _start():
-    return F.shiftright("at", 7).bitwiseAND((1 << 33) - 1)
+    return F.shiftright("at", 7)
 
 
 def _count():
     return F.col("at").bitwiseAND(127)
 
 
-def _mark():
-    return F.shiftright("at", 40).cast("bigint")
-
-
 def unitigs(occurring: DataFrame) -> DataFrame:
     """Compacted paths: head (path), source_doc, source_mark, source_start and kmers (their number)."""
     rows = occurring.filter("repeated").select(
-        "path", "doc", _mark().alias("mark"), _start().alias("start"), _count().alias("kmers"), "n", "first_doc"
+        "path", "doc", "mark", _start().alias("start"), _count().alias("kmers"), "n", "first_doc"
     )
     along = Window.partitionBy("doc", "mark").orderBy("start")
     follow = rows.select(
@@ -142,13 +138,13 @@ def wanted(occurring: DataFrame) -> DataFrame:
         F.col("source_start").alias("start"), "kmers", F.lit("span").alias("kind"),
     )
     spans = occurring.filter("repeated and doc > first_doc").join(compact, F.col("path") == F.col("head"))
-    spans = spans.withColumn("salt", F.pmod(F.hash("doc", "at"), F.lit(SALTS)))
-    spans = spans.select("doc", _mark().alias("mark"), team, _start().alias("start"), "kmers", F.lit("span").alias("kind"))
+    spans = spans.withColumn("salt", F.pmod(F.hash("doc", "mark", "at"), F.lit(SALTS)))
+    spans = spans.select("doc", "mark", team, _start().alias("start"), "kmers", F.lit("span").alias("kind"))
     # later occurrences of a path repeat it throughout; only those of its first document can branch
     open_ = occurring.filter("branches and doc = first_doc")
     large = open_.groupBy("bucket").agg(F.count("*").alias("paths")).filter(F.col("paths") > LARGE_BUCKET)
     open_ = open_.join(large, "bucket", "left").select(
-        "doc", _mark().alias("mark"), F.col("bucket").alias("team"), _start().alias("start"), _count().alias("kmers"),
+        "doc", "mark", F.col("bucket").alias("team"), _start().alias("start"), _count().alias("kmers"),
         F.when(F.col("paths").isNull(), "few").otherwise("many").alias("kind"),
     )
     return sources.unionByName(spans).unionByName(open_)

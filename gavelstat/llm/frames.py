@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from gavelstat.llm.windows import MARK_BITS
 from gavelstat.workspace import materialize
 
 #: Stands for a null doc_id, before all others.
@@ -45,13 +44,17 @@ def gathered(df: DataFrame, label: str) -> DataFrame:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc (the order of documents), mark (tells rows of one doc_id apart) and the text, never null."""
+    """doc (the order of documents), mark (tells texts of one doc_id apart) and the text, never null.
+
+    The mark is a 64-bit hash of the text where a doc_id has several, and 0, which takes no room, elsewhere.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(1 << MARK_BITS)).alias("mark"),
-        text.alias("text"),
-    )
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("doc"), text.alias("text"))
+    hashed = rows.select("doc", F.xxhash64("text").alias("h"))
+    several = hashed.groupBy("doc").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high")
+    several = small(several.select("doc", F.lit(True).alias("several")), "several")
+    mark = F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0))
+    return rows.join(several, "doc", "left").select("doc", mark.alias("mark"), "text")
 
 
 def schema_of(ddl: str) -> StructType:

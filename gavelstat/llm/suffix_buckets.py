@@ -38,7 +38,7 @@ WINDOWS = Windows(LENGTH, GRAM, LENGTH)
 LARGE_BUCKET = 4096
 #: Rows that a task looks at together when it finishes buckets, and chains that it settles together.
 TOGETHER, TOGETHER_CHAINS = 20_000, 1 << 20
-CHAIN_DDL = "bucket bigint, path bigint, doc bigint, at bigint"
+CHAIN_DDL = "bucket bigint, path bigint, doc bigint, mark bigint, at bigint"
 
 
 def byte_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +52,7 @@ def byte_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chains(source: DataFrame) -> DataFrame:
-    """bucket, path, doc, at of every chain.
+    """bucket, path, doc, mark, at of every chain.
 
     The last bit of a path tells chains that may repeat themselves.  Path 0 marks a chain known to repeat an
     earlier one of its batch.
@@ -62,15 +62,14 @@ def chains(source: DataFrame) -> DataFrame:
         parts: list[tuple] = []
 
         def settled():
-            return dict(zip(("bucket", "path", "doc", "at"), settle(*map(np.concatenate, zip(*parts)))))
+            return dict(zip(("bucket", "path", "doc", "mark", "at"), settle(*map(np.concatenate, zip(*parts)))))
 
         for step in steps(batch, "text"):
             symbols, sizes = byte_symbols(step.column(2))
             docs, marks = (step.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for c in WINDOWS.chains(symbols, sizes):
-                at = pack(marks[c.doc], c.start, c.count)
                 path = signed(c.path) & ~3 | 2 | c.periodic
-                parts.append((signed(c.bucket), path, docs[c.doc], at))
+                parts.append((signed(c.bucket), path, docs[c.doc], marks[c.doc], pack(c.start, c.count)))
             if sum(len(p[0]) for p in parts) > TOGETHER_CHAINS:
                 yield settled()
                 parts = []
@@ -80,144 +79,144 @@ def chains(source: DataFrame) -> DataFrame:
     return map_batches(source, run, CHAIN_DDL)
 
 
-def settle(bucket, path, doc, at):
+def settle(bucket, path, doc, mark, at):
     """Of equal chains all but the earliest lose their path and get a bucket at random, to spread them."""
-    order = np.lexsort((at, doc, path, bucket))
-    bucket, path, doc, at = (x[order] for x in (bucket, path, doc, at))
+    order = np.lexsort((at, mark, doc, path, bucket))
+    bucket, path, doc, mark, at = (x[order] for x in (bucket, path, doc, mark, at))
     lead = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (path[1:] != path[:-1])))
     first = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-    repeat = (doc != doc[first]) | (at != at[first])
-    bucket[repeat] = (doc[repeat] * 0x9E3779B1 + at[repeat]) * 0x85EBCA77
+    repeat = _differs(first, doc, mark, at)
+    bucket[repeat] = (doc[repeat] * 0x9E3779B1 + mark[repeat] + at[repeat]) * 0x85EBCA77
     path[repeat] = 0
-    return bucket, path, doc, at
+    return bucket, path, doc, mark, at
+
+
+def _differs(first: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which rows are at another place than the row at index ``first``."""
+    return np.logical_or.reduce([x != x[first] for x in place])
 
 
 def judge_chains(ordered: DataFrame) -> DataFrame:
-    """From chains sorted by bucket, path, doc and at: repeats (bucket null) and chains still to be refined.
+    """From chains sorted by bucket, path, doc, mark and at: repeats (bucket null) and chains still to be refined.
 
     A stream: of a bucket that goes on only its first chain waits, until another path turns up.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # bucket, path, doc and at of the first chain equal to the last row's; whether that one was sent to
+        # bucket, path and place of the first chain equal to the last row's; whether that one was sent to
         # refinement, and whether its bucket has shown several paths
         last, sent, many = None, False, False
         for batch in batches:
-            bucket, path, doc, at = (batch.column(i).to_numpy() for i in range(4))
-            if not len(bucket):
+            rows = [batch.column(i).to_numpy() for i in range(5)]
+            if not len(rows[0]):
                 continue
-            settled = path == 0
-            yield _rows(None, doc[settled], at[settled])
-            bucket, path, doc, at = (x[~settled] for x in (bucket, path, doc, at))
+            settled = rows[1] == 0
+            yield _rows(None, *(x[settled] for x in rows[2:]))
+            rows = [x[~settled] for x in rows]
             if last is not None:  # the leader takes part again, as the first row
-                bucket, path, doc, at = (np.concatenate(([a], x)) for a, x in zip(last, (bucket, path, doc, at)))
+                rows = [np.concatenate(([a], x)) for a, x in zip(last, rows)]
+            bucket, path, *place = rows
             if not len(bucket):
                 continue
             new_bucket = np.concatenate(([True], bucket[1:] != bucket[:-1]))
             new_path = new_bucket | np.concatenate(([True], path[1:] != path[:-1]))
             lead = np.flatnonzero(new_path)
             first = lead[np.cumsum(new_path) - 1]
-            repeat = (doc != doc[first]) | (at != at[first])
-            yield _rows(None, doc[repeat], at[repeat])
+            repeat = _differs(first, *place)
+            yield _rows(None, *(x[repeat] for x in place))
             number = np.cumsum(new_bucket) - 1
             several = np.bincount(number[lead]) > 1
             several[0] |= many
             refine = several[number[lead]] | (path[lead] & 1 == 1)
             refine[0] &= not sent
-            yield _rows(bucket[lead[refine]], doc[lead[refine]], at[lead[refine]])
+            yield _rows(bucket[lead[refine]], *(x[lead[refine]] for x in place))
             sent, many = bool(refine[-1]) or (sent and len(lead) == 1), bool(several[-1])
-            last = tuple(x[lead[-1]] for x in (bucket, path, doc, at))
+            last = tuple(x[lead[-1]] for x in rows)
 
-    return ordered.mapInArrow(run, "bucket bigint, doc bigint, at bigint")
+    return ordered.mapInArrow(run, "bucket bigint, doc bigint, mark bigint, at bigint")
 
 
-def _rows(bucket, doc, at) -> pa.RecordBatch:
-    first = pa.nulls(len(doc), pa.int64()) if bucket is None else pa.array(bucket, pa.int64())
-    return pa.RecordBatch.from_arrays([first, pa.array(doc, pa.int64()), pa.array(at, pa.int64())], ["bucket", "doc", "at"])
+def _rows(bucket, *place) -> pa.RecordBatch:
+    first = pa.nulls(len(place[0]), pa.int64()) if bucket is None else pa.array(bucket, pa.int64())
+    return pa.RecordBatch.from_arrays([first, *(pa.array(x, pa.int64()) for x in place)], ["bucket", "doc", "mark", "at"])
 
 
 # ---- windows of differing chains ----
 
 
 def chain_bodies(wanted: DataFrame, source: DataFrame) -> DataFrame:
-    """What decides about chains: (team, known, doc, at, body).
+    """What decides about chains: (team, known, doc, mark, at, body).
 
     Chains of one bucket are a team, with their bytes.  The windows of a chain of a large bucket go on by
     themselves, each in the team of its own name; those known to repeat one of their batch need no team.
     """
-    ddl = "team bigint, known boolean, doc bigint, at bigint, body binary"
+    columns = ("team", "known", "doc", "mark", "at", "body")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for step in steps(batch, "text"):
             small: list[tuple] = []
             large: list[tuple] = []
-            for doc, text, rows in zip(*(step.column(i).to_pylist() for i in range(3))):
+            for doc, mark, text, rows in zip(*(step.column(i).to_pylist() for i in range(4))):
                 raw = text.encode()
-                mark, start, count = unpack(np.asarray([r["at"] for r in rows], np.int64))
-                for r, m, a, n in zip(rows, mark, start.tolist(), count.tolist()):
+                start, count = unpack(np.asarray([r["at"] for r in rows], np.int64))
+                for r, a, n in zip(rows, start.tolist(), count.tolist()):
                     body = raw[a : a + n - 1 + LENGTH]
                     if r["large"]:
                         name = names(BYTE_NAMES[np.frombuffer(body, np.uint8)], LENGTH)[0]
-                        large.append((signed(name), np.full(n, doc), pack(m, a + np.arange(n), 1)))
+                        large.append((signed(name), np.full(n, doc), np.full(n, mark), pack(a + np.arange(n), 1)))
                     else:
-                        small.append((r["bucket"], False, doc, r["at"], body))
+                        small.append((r["bucket"], False, doc, mark, r["at"], body))
             if small:
-                yield dict(zip(("team", "known", "doc", "at", "body"), zip(*small)))
+                yield dict(zip(columns, zip(*small)))
             if large:
-                name, doc, at = map(np.concatenate, zip(*large))
-                team, path, doc, at = settle(name, np.ones_like(name), doc, at)
-                yield {"team": team, "known": path == 0, "doc": doc, "at": at, "body": pa.nulls(len(team), pa.binary())}
+                name, *place = map(np.concatenate, zip(*large))
+                team, path, *place = settle(name, np.ones_like(name), *place)
+                yield dict(zip(columns, (team, path == 0, *place, pa.nulls(len(team), pa.binary()))))
 
     rows = F.collect_list(F.struct("at", "bucket", "large")).alias("rows")
-    per_doc = wanted.groupBy("doc", _mark()).agg(rows)
-    joined = source.join(per_doc, ["doc", "mark"]).select("doc", "text", "rows")
-    return map_batches(joined, run, ddl)
-
-
-def _mark():
-    return F.shiftright("at", 40).cast("bigint").alias("mark")
+    per_doc = wanted.groupBy("doc", "mark").agg(rows)
+    joined = source.join(per_doc, ["doc", "mark"]).select("doc", "mark", "text", "rows")
+    return map_batches(joined, run, "team bigint, known boolean, doc bigint, mark bigint, at bigint, body binary")
 
 
 def finish_teams(bodies: DataFrame) -> DataFrame:
-    """Repeated windows: doc and at of every run of them."""
+    """Repeated windows: doc, mark and at of every run of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            held += zip(*(batch.column(i).to_pylist() for i in range(5)))
+            held += zip(*(batch.column(i).to_pylist() for i in range(6)))
             if len(held) >= TOGETHER:
                 cut_at = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
                 yield _finish(held[:cut_at])
                 held = held[cut_at:]
         yield _finish(held)
 
-    dealt = bodies.repartition("team").sortWithinPartitions("team", "doc", "at")
-    return dealt.mapInArrow(run, "doc bigint, at bigint")
+    dealt = bodies.repartition("team").sortWithinPartitions("team", "doc", "mark", "at")
+    return dealt.mapInArrow(run, "doc bigint, mark bigint, at bigint")
 
 
 def _finish(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of whole teams, sorted by team, doc and at."""
-    found = [(doc, at) for _, known, doc, at, _ in rows if known]
+    """Rows of whole teams, sorted by team, doc, mark and at."""
+    found = [tuple(place) for _, known, *place, _ in rows if known]
     rows = [r for r in rows if not r[1]]
     # a window by itself repeats the first of its team; rows of equal documents count as one
-    single = [r for r in rows if r[4] is None]
-    first: dict[int, tuple[int, int]] = {}
-    for team, _, doc, at, _ in single:
-        if first.setdefault(team, (doc, at)) != (doc, at):
-            found.append((doc, at))
-    places = [np.asarray(found, np.int64).reshape(-1, 2)]
-    rows = [r for r in rows if r[4] is not None]
-    rows = [r for r, before in zip(rows, [None, *rows]) if before is None or r[2:4] != before[2:4]]
+    first: dict[int, tuple[int, int, int]] = {}
+    for team, _, *place, body in rows:
+        if body is None and first.setdefault(team, tuple(place)) != tuple(place):
+            found.append(tuple(place))
+    places = [np.asarray(found, np.int64).reshape(-1, 3)]
+    rows = [r for r in rows if r[5] is not None]
+    rows = [r for r, before in zip(rows, [None, *rows]) if before is None or r[2:5] != before[2:5]]
     if rows:
         places.append(_repeated_windows(rows))
-    doc, at = np.concatenate(places).T
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, at)], ["doc", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(places).T], ["doc", "mark", "at"])
 
 
 def _repeated_windows(rows: list[tuple]) -> np.ndarray:
-    doc, at = (np.asarray([r[i] for r in rows], np.int64) for i in (2, 3))
-    mark, start, count = unpack(at)
-    symbols = BYTE_NAMES[np.frombuffer(b"".join(r[4] for r in rows), np.uint8)]
+    doc, mark, at = (np.asarray([r[i] for r in rows], np.int64) for i in (2, 3, 4))
+    start, count = unpack(at)
+    symbols = BYTE_NAMES[np.frombuffer(b"".join(r[5] for r in rows), np.uint8)]
     row = np.repeat(np.arange(len(rows)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     body = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
@@ -228,7 +227,7 @@ def _repeated_windows(rows: list[tuple]) -> np.ndarray:
     begin, size = runs(repeat + row[repeat])  # the gap ends a run with its row
     begin = repeat[begin]
     owner = row[begin]
-    return np.stack([doc[owner], pack(mark[owner], start[owner] + nth[begin], size)], axis=1)
+    return np.stack([doc[owner], mark[owner], pack(start[owner] + nth[begin], size)], axis=1)
 
 
 # ---- removal ----
@@ -237,12 +236,12 @@ def _repeated_windows(rows: list[tuple]) -> np.ndarray:
 def repeats(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places of repeated windows that whole chains show, and chains to be refined with their buckets."""
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = chains(source).repartition(parts, "bucket").sortWithinPartitions("bucket", "path", "doc", "at")
+    ordered = chains(source).repartition(parts, "bucket").sortWithinPartitions("bucket", "path", "doc", "mark", "at")
     judged = materialize(judge_chains(ordered), "chains")
     open_ = judged.filter(F.col("bucket").isNotNull())
     large = open_.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE_BUCKET)
     open_ = open_.join(large, "bucket", "left").withColumn("large", F.col("n").isNotNull())
-    return judged.filter(F.col("bucket").isNull()).select("doc", "at"), open_
+    return judged.filter(F.col("bucket").isNull()).select("doc", "mark", "at"), open_
 
 
 def remove(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -251,7 +250,7 @@ def remove(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     whole, open_ = repeats(source)
     dealt = source.repartition("doc", "mark")  # one exchange for both joins with the texts
     places = whole.unionByName(finish_teams(chain_bodies(open_, dealt)))
-    per_doc = places.groupBy("doc", _mark()).agg(F.collect_list("at").alias("places"))
+    per_doc = places.groupBy("doc", "mark").agg(F.collect_list("at").alias("places"))
     joined = fewer(dealt.join(per_doc, ["doc", "mark"], "left").select("doc", "text", "places"))
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
 
@@ -270,7 +269,7 @@ def cut(raw: bytes, places: list[int] | None) -> tuple[int, int, int, str, bytes
     removed = spans = 0
     kept = raw
     if places:
-        _, start, count = unpack(np.asarray(places, np.int64))
+        start, count = unpack(np.asarray(places, np.int64))
         gone = covered(len(raw), start, start + count - 1 + LENGTH)
         removed = int(gone.sum())
         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())

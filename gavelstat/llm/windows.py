@@ -18,9 +18,8 @@ import numpy as np
 
 #: Windows that one step of numpy calls works on.
 BLOCK = 1 << 20
-#: A place in a document is fingerprint, start and number of windows in one integer that sorts in this order.
-_START_BITS, _COUNT_BITS = 33, 7
-MARK_BITS = 23
+#: A place in a document is start and number of windows in one integer that sorts in this order.
+_COUNT_BITS = 7
 
 
 def scramble(values: np.ndarray) -> np.ndarray:
@@ -68,14 +67,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def pack(mark: np.ndarray | int, start: np.ndarray, count: np.ndarray | int) -> np.ndarray:
-    return (np.int64(1) * mark << (_START_BITS + _COUNT_BITS)) + (start.astype(np.int64) << _COUNT_BITS) + count
+def pack(start: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+    return (start.astype(np.int64) << _COUNT_BITS) + count
 
 
-def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, start, number of windows."""
-    low = at & ((1 << (_START_BITS + _COUNT_BITS)) - 1)
-    return at >> (_START_BITS + _COUNT_BITS), low >> _COUNT_BITS, low & ((1 << _COUNT_BITS) - 1)
+def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start, number of windows."""
+    return at >> _COUNT_BITS, at & ((1 << _COUNT_BITS) - 1)
 
 
 @dataclass(frozen=True)

@@ -74,3 +74,18 @@ def test_a_shared_stretch_is_one_unitig(spark):
 
 def test_empty_table(spark):
     assert db.remove(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def many_of_one_id(n):
+    """More different texts of one doc_id than a short mark can tell apart; each has an own part and a shared one."""
+    rng = random.Random(n)
+    passage = " ".join(f"p{i}" for i in range(60))
+    return [f"{' '.join(f'a{rng.randrange(10**6)}' for _ in range(rng.randrange(4)))} {passage if i % 3 else ''} u{i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_many_texts_of_one_doc_id(spark, doc_id):
+    rows = [(doc_id, t) for t in many_of_one_id(15_000)]
+    rows += [(1, rows[1][1])] if doc_id else []
+    got = db.remove(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), keep_text=False).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)

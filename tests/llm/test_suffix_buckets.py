@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from gavelstat.llm import suffix_buckets as sb
 
@@ -78,17 +79,34 @@ def test_blocks_of_a_long_text_give_the_same(spark, monkeypatch):
 
 def test_open_buckets_across_batches(spark):
     rng = random.Random(8)
-    rows = sorted({(rng.randint(1, 40), rng.randint(1, 3), rng.randint(1, 5), rng.randint(1, 9)) for _ in range(600)})
+    rows = sorted({(rng.randint(1, 40), rng.randint(1, 3), rng.randint(1, 3), rng.randint(1, 2), rng.randint(1, 9)) for _ in range(600)})
     docs = spark.createDataFrame(rows, sb.CHAIN_DDL).coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = {tuple(r) for r in sb.judge_chains(docs.sortWithinPartitions("bucket", "path", "doc", "at")).collect()}
+        got = {tuple(r) for r in sb.judge_chains(docs.sortWithinPartitions("bucket", "path", "doc", "mark", "at")).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     first, paths = {}, {}
-    for b, p, d, a in rows:
-        first.setdefault((b, p), (d, a))
+    for b, p, *place in rows:
+        first.setdefault((b, p), place)
         paths.setdefault(b, set()).add(p)
-    expected = {(None, d, a) for b, p, d, a in rows if first[b, p] != (d, a)}
+    expected = {(None, *place) for b, p, *place in rows if first[b, p] != place}
     expected |= {(b, *first[b, p]) for b, p in first if len(paths[b]) > 1 or p % 2}
     assert got == expected
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_many_texts_of_one_doc_id(spark, doc_id):
+    """More different texts of one doc_id than a short mark can tell apart; they go by the hash of their texts."""
+    rng = random.Random(3)
+    passage = words(rng, 40, 9999)[:160]
+    texts = {f"{words(rng, rng.randint(0, 4), 99999)}{passage if i % 3 else ''}{'w' * rng.randint(0, 60)}{i}" for i in range(15_000)}
+    rows = [(doc_id, t) for t in sorted(texts, key=lambda t: signed_hash(t))]
+    rows += [(1, rows[1][1])] if doc_id else []
+    got = sb.remove(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), keep_text=False).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
