@@ -32,7 +32,7 @@ from gavelstat.llm.frames import LEAST, fewer, keyed_texts, map_batches, steps
 from gavelstat.llm.windows import BYTE_NAMES, Windows, covered, names, pack, runs, signed, unpack
 from gavelstat.workspace import materialize
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 WINDOWS = Windows(LENGTH, GRAM, LENGTH)
 #: Chains in a bucket from which its windows are grouped by their names across tasks.
 LARGE_BUCKET = 4096
