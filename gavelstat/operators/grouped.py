@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelstat.operators import models as M
+from gavelstat.operators import tree_growth as T
 from gavelstat.schema import MIN_CASES, TARGET
 from gavelstat.workspace import materialize
 
@@ -184,6 +185,49 @@ def grade(
     return graded.orderBy(*by).limit(limit) if limit is not None else graded
 
 
+def train_trees_per_group(
+    df: DataFrame, by: str, features: Sequence[str], model_type: str, key: Column, params: dict | None = None,
+    target: str = TARGET, min_cases: int = MIN_CASES, fits: Column | None = None,
+) -> DataFrame:
+    """A tree ensemble of every group with more than ``min_cases`` rows: n, n_test, mse, r2, importances.
+
+    Models learn from the rows where ``fits`` holds and are judged on the others, or on all rows without ``fits``.  A
+    group of at most UNIT_ROWS rows is trained in the task that its rows are dealt to, very many side by side; the
+    few larger ones are fitted one after the other, each by all tasks.
+    """
+    features = list(features)
+    plan = M.plan_of(model_type, {**M.GOOD_PARAMS[model_type], **(params or {})}, len(features))
+    whole, fits_here = fits is None, F.lit(True) if fits is None else fits
+    sizes = df.groupBy(by).agg(F.count("*").alias("__n")).filter(F.col(by).isNotNull() & (F.col("__n") > min_cases))
+    sizes = materialize(sizes, "sizes")
+    large = [r[by] for r in sizes.filter(F.col("__n") > T.UNIT_ROWS).select(by).collect()]
+    rows = df.join(sizes.filter(F.col("__n") <= T.UNIT_ROWS).select(by), by, "left_semi")
+
+    def each(group, h, y, x, learns):
+        if not learns.any():
+            return
+        forest = T.fit_in_place(plan, features, x[learns], y[learns], h[learns])
+        held = learns if whole else ~learns
+        miss = y[held] - forest.predict(x[held]) if held.any() else np.zeros(0)
+        mse = float((miss**2).mean()) if len(miss) else None
+        spread = float(y[held].var()) if len(miss) else 0.0
+        shares = M.forest_shares(forest, model_type, len(features))
+        yield {by: group, "n": len(y), "n_test": len(miss), "mse": mse, "r2": 1 - mse / spread if spread > 0 else None, "importances": shares}
+
+    kind = dict(df.dtypes)[by]
+    ddl = f"`{by}` {kind}, n bigint, n_test bigint, mse double, r2 double, importances array<double>"
+    found = T.in_groups(rows, by, features, target, key, fits_here, each, ddl)
+    for group in large:
+        mine = df.filter(F.col(by) == group)
+        model = M.train(mine.filter(fits_here), features, model_type, target, params, key)
+        judged = M.evaluate(model.predict(mine if fits is None else mine.filter(~fits)), target=target)
+        shares = F.array(*[F.lit(v) for v in model.importances()]) if model.importances() else F.lit(None).cast("array<double>")
+        found = found.unionByName(judged.select(
+            F.lit(group).alias(by), F.lit(mine.count()).alias("n"), F.col("n").alias("n_test"), "mse", "r2", shares.alias("importances")
+        ))
+    return found
+
+
 def train_for_targets(
     df: DataFrame, column: str, targets: Sequence[str], features: Sequence[str], model_type: str,
     target: str = TARGET, params: dict | None = None, key: Column | None = None, parallelism: int = 4,

@@ -128,9 +128,7 @@ class FittedModel:
 
     def importances(self) -> list[float] | None:
         """Share of the impurity reduction per feature; None for linear and bagged models."""
-        if self.forest is not None and self.model_type != "bagging":
-            return list(_forest_importances(self.forest, len(self.features), self.model_type not in BOOSTED))
-        return None
+        return None if self.forest is None else forest_shares(self.forest, self.model_type, len(self.features))
 
     def importance_profile(self, spark: SparkSession) -> DataFrame:
         """(Feature, Importance), one row per feature, most important first."""
@@ -190,6 +188,11 @@ def _score(spark: SparkSession, features: Sequence[str], forest: Forest):
     return score
 
 
+def forest_shares(forest: Forest, model_type: str, p: int) -> list[float] | None:
+    """Importances of ``p`` features; None for bagged trees, which are not asked for them."""
+    return None if model_type == "bagging" else _forest_importances(forest, p, model_type not in BOOSTED).tolist()
+
+
 def _forest_importances(forest: Forest, p: int, per_tree: bool) -> np.ndarray:
     """Reduction of squared error by feature, in shares: of each tree, then averaged, or of all trees together."""
     total = np.zeros(p)
@@ -228,23 +231,22 @@ def rules_of(model_type: str, p: dict, features: int) -> Rules:
                  random_cuts=model_type == "extra_trees", **common)
 
 
-def _fit_trees(rows: DataFrame, bins: T.Bins, model_type: str, p: dict) -> Forest:
-    rules, seed, count = rules_of(model_type, p, len(bins.features)), p.get("seed", SEED), p[ROUNDS[model_type]]
+def plan_of(model_type: str, p: dict, features: int) -> T.ForestPlan | T.BoostPlan | T.AdaPlan:
+    """What a tree ensemble's parameters ask for."""
+    rules, seed, count = rules_of(model_type, p, features), p.get("seed", SEED), p[ROUNDS[model_type]]
     if model_type in BOOSTED:
-        return T.fit_boosted(rows, bins, boost_plan(model_type, p, len(bins.features)))
+        return T.BoostPlan(count, rules, p.get("learning_rate", 0.1), p.get("subsample", 1.0), seed)
     if model_type == "ada_boost":
-        return T.fit_ada(rows, bins, rules, count, p["learning_rate"], seed)
-    share, draws = 1.0, None
+        return T.AdaPlan(count, rules, p["learning_rate"], seed)
     if model_type == "bagging":
-        share, draws = p["max_features"], p["max_samples"]
-    elif p.get("bootstrap"):
-        draws = 1.0
-    return T.fit_forest(rows, bins, T.ForestPlan(count, rules, share, draws, seed))
+        return T.ForestPlan(count, rules, p["max_features"], p["max_samples"], seed)
+    return T.ForestPlan(count, rules, 1.0, 1.0 if p.get("bootstrap") else None, seed)
 
 
-def boost_plan(model_type: str, p: dict, features: int) -> T.BoostPlan:
-    rate = p.get("learning_rate", 0.1)
-    return T.BoostPlan(p[ROUNDS[model_type]], rules_of(model_type, p, features), rate, p.get("subsample", 1.0), p.get("seed", SEED))
+def _fit_trees(rows: DataFrame, bins: T.Bins, plan: T.ForestPlan | T.BoostPlan | T.AdaPlan) -> Forest:
+    if isinstance(plan, T.BoostPlan):
+        return T.fit_boosted(rows, bins, plan)
+    return T.fit_ada(rows, bins, plan) if isinstance(plan, T.AdaPlan) else T.fit_forest(rows, bins, plan)
 
 
 def find_bins(df: DataFrame, features: Sequence[str], model_type: str) -> T.Bins:
@@ -288,7 +290,7 @@ def train(
     if model_type in ROUNDS:
         bins = find_bins(df, features, model_type)
         rows = T.binned(df, bins, target, key)
-        forest = _fit_trees(rows, bins, model_type, merged)
+        forest = _fit_trees(rows, bins, plan_of(model_type, merged, len(features)))
         release(rows)
         return FittedModel(model_type, features, merged, forest=forest)
     scale = None
@@ -374,7 +376,7 @@ def search(
         bins = find_bins(df.filter(part), features, model_type)
         rows = T.binned(df.withColumn("__fits", part), bins, target, key, ["__fits"])
         if rows.count() <= T.UNIT_ROWS:
-            plans = [boost_plan(model_type, p, len(features)) for p, _ in fits]
+            plans = [plan_of(model_type, p, len(features)) for p, _ in fits]
             found = T.staged_scores(rows, "__fits", bins, plans, [sorted(set(stages.values())) for _, stages in fits])
             for (_, stages), by_rounds in zip(fits, found):
                 for i, rounds in stages.items():

@@ -74,6 +74,24 @@ class Bins:
         return Tree(feature, threshold, left, right, value, cover)
 
 
+def bins_of_values(features: Sequence[str], x: np.ndarray) -> Bins:
+    """One bin per value that a column of ``x`` has."""
+    distinct = [np.unique(c[~np.isnan(c)]) for c in x.T]
+    return _one_per_value(list(features), {f: v if len(v) else np.zeros(1) for f, v in zip(features, distinct)}, {})
+
+
+def _one_per_value(features: list[str], distinct: dict[str, np.ndarray], quantile: dict[str, np.ndarray]) -> Bins:
+    """Cuts halfway between neighbours of ``distinct`` values; those of ``quantile`` are cuts themselves."""
+    cuts = {f: v[:-1] for f, v in quantile.items()}
+    for f, v in distinct.items():
+        middle = (v[:-1] + v[1:]) / 2
+        cuts[f] = np.where(middle >= v[1:], v[:-1], middle)
+    values = distinct | quantile
+    wide = max(len(v) for v in values.values())
+    table = np.stack([np.pad(values[f], (0, wide - len(values[f])), mode="edge") for f in features])
+    return Bins(features, [cuts[f] for f in features], table)
+
+
 def find_bins(df: DataFrame, features: Sequence[str], most: int = MOST_VALUES) -> Bins:
     """One bin per value, or ``most`` bins of about equal size for a feature with more values than that."""
     features = list(features)
@@ -85,19 +103,12 @@ def find_bins(df: DataFrame, features: Sequence[str], most: int = MOST_VALUES) -
         found[r["series"]].append(r["x"])
     release(long)
     many = [f for f in features if f not in few]
-    cuts, values = {}, {}
-    for f in few:
-        v = np.unique(np.asarray(found[f], float))
-        middle = (v[:-1] + v[1:]) / 2
-        cuts[f], values[f] = np.where(middle >= v[1:], v[:-1], middle), v if len(v) else np.zeros(1)
+    distinct = {f: np.unique(np.asarray(found[f] or [0.0], float)) for f in few}
+    quantile = {}
     if many:
-        n, picked = select_ranks(melt_numbers(df, many), lambda _, n: [n * i // most for i in range(1, most)] + [n - 1])
-        for f in many:
-            v = np.unique([value for value, _, _ in picked[f].values()])
-            cuts[f], values[f] = v[:-1], v
-    wide = max(len(values[f]) for f in features)
-    table = np.stack([np.pad(values[f], (0, wide - len(values[f])), mode="edge") for f in features])
-    return Bins(features, [cuts[f] for f in features], table)
+        _, picked = select_ranks(melt_numbers(df, many), lambda _, n: [n * i // most for i in range(1, most)] + [n - 1])
+        quantile = {f: np.unique([value for value, _, _ in picked[f].values()]) for f in many}
+    return _one_per_value(features, distinct, quantile)
 
 
 def binned(df: DataFrame, bins: Bins, target: str, key: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -565,13 +576,21 @@ def _rescored(scored: DataFrame, trees: list[C.Nodes], rate: float) -> DataFrame
     return scored.mapInArrow(run, scored.schema)
 
 
-def fit_ada(rows: DataFrame, bins: Bins, rules: C.Rules, rounds: int, rate: float, seed: int) -> Forest:
+@dataclass(frozen=True)
+class AdaPlan:
+    rounds: int
+    rules: C.Rules
+    rate: float
+    seed: int = 42
+
+
+def fit_ada(rows: DataFrame, bins: Bins, plan: AdaPlan) -> Forest:
     """AdaBoost.R2: trees on weighted rows, combined by their weighted median."""
     n, mean = rows.agg(F.count("*"), F.avg("y")).first()
     mean = float(mean)
     if n <= UNIT_ROWS:
         def train(unit, h, y, x):
-            trees, votes = C.ada_boost(C.Block(x, y - mean, bins.widths), rules, rounds, rate, seed)
+            trees, votes = C.ada_boost(C.Block(x, y - mean, bins.widths), plan.rules, plan.rounds, plan.rate, plan.seed)
             for i, (nodes, vote) in enumerate(zip(trees, votes)):
                 yield _tree_row(0, i, nodes) | {"vote": vote}
 
@@ -581,19 +600,19 @@ def fit_ada(rows: DataFrame, bins: Bins, rules: C.Rules, rounds: int, rate: floa
         grown = [a for _, _, a in sorted(_collected(stored.drop("vote")), key=lambda r: r[1])]
         release(stored)
     else:
-        grown, votes = _ada_large(rows, bins, rules, rounds, rate, seed, mean)
+        grown, votes = _ada_large(rows, bins, plan, mean)
     trees = [bins.tree(*a[:4], a[4] + mean, a[5]) for a in grown]
     return Forest(trees, votes, "median")
 
 
-def _ada_large(rows, bins, rules, rounds, rate, seed, mean):
-    weighed, state, grown = rows.select("h", "y", "x", F.lit(1.0).alias("w")), C.AdaState(rate), []
+def _ada_large(rows: DataFrame, bins: Bins, plan: AdaPlan, mean: float) -> tuple[list, list[float]]:
+    weighed, state, grown = rows.select("h", "y", "x", F.lit(1.0).alias("w")), C.AdaState(plan.rate), []
 
     def view(tree, h, y, x, batch):
         return y, batch.column(3).to_numpy()
 
-    for number in range(rounds):
-        (top,) = grow_tops(weighed, [number], bins, rules, seed, view, mean)
+    for number in range(plan.rounds):
+        (top,) = grow_tops(weighed, [number], bins, plan.rules, plan.seed, view, mean)
         shared = rows.sparkSession.sparkContext.broadcast(top.nodes)
 
         def missed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -609,7 +628,7 @@ def _ada_large(rows, bins, rules, rounds, rate, seed, mean):
             grown.append(top.nodes.arrays())
         if not goes_on:
             break
-        decay = F.pow(F.lit(beta), (1.0 - F.col("miss") / F.lit(worst)) * F.lit(rate))
+        decay = F.pow(F.lit(beta), (1.0 - F.col("miss") / F.lit(worst)) * F.lit(plan.rate))
         before, weighed = weighed, materialize(with_miss.select("h", "y", "x", (F.col("w") * decay / F.lit(total)).alias("w")), "ada")
         release(before)
     return grown, state.votes
@@ -643,3 +662,64 @@ def staged_scores(rows: DataFrame, fits: str, bins: Bins, plans: Sequence[BoostP
     for r in found.collect():
         out[r["unit"]][r["rounds"]] = r["r2"]
     return out
+
+
+# ---- a model for every group ----
+
+
+def fit_in_place(plan: ForestPlan | BoostPlan | AdaPlan, features: list[str], x: np.ndarray, y: np.ndarray, h: np.ndarray) -> Forest:
+    """The forest of one bounded block of rows, as the fit of a table of just these rows gives it."""
+    bins = bins_of_values(features, x)
+    mean, codes = float(y.mean()), bins.of(x)
+    if isinstance(plan, BoostPlan):
+        grown = C.boost(C.Block(codes, y - mean, bins.widths), h.astype(np.uint64), plan.rules, plan.rounds, plan.rate, plan.share, plan.seed)
+        trees = [bins.tree(*nodes.arrays()) for nodes, _ in grown]
+        return Forest([constant(mean, len(y)), *trees], [1.0, *[plan.rate] * len(trees)])
+    if isinstance(plan, AdaPlan):
+        grown, votes = C.ada_boost(C.Block(codes, y - mean, bins.widths), plan.rules, plan.rounds, plan.rate, plan.seed)
+        arrays = [nodes.arrays() for nodes in grown]
+        return Forest([bins.tree(*a[:4], a[4] + mean, a[5]) for a in arrays], votes, "median")
+    trees = []
+    for tree in range(plan.trees):
+        nodes, _ = C.grow(_block(codes, y, mean, bins, plan, tree, h), plan.rules, C.tree_key(plan.seed, tree))
+        trees.append(bins.tree(*_named(nodes, plan.allowed(tree, len(features)), mean).arrays()))
+    return Forest(trees, [1.0 / plan.trees] * plan.trees)
+
+
+def in_groups(rows: DataFrame, by: str, features: Sequence[str], target: str, key: Column, fits: Column, each: Callable, ddl: str) -> DataFrame:
+    """``each(group, h, y, x, fits)`` for every group of bounded size; it yields dicts.  x has a row per feature."""
+    names = list(features)
+    numbers = F.array(*[F.col(c).cast("double") for c in names])
+    packed = rows.select(F.col(by).alias("unit"), (row_hash(key, 0) * 2 + fits.cast("bigint")).alias("h"),
+                         F.col(target).cast("double").alias("y"), numbers.alias("x"))
+    kind = dict(packed.dtypes)["unit"]
+    arrow = to_arrow_schema(_parse_datatype_string(f"unit {kind}, h binary, y binary, x binary"))
+
+    def pack_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0).dictionary_encode()
+            number = groups.indices.to_numpy(zero_copy_only=False)
+            h, y = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(h), -1).astype(float)
+            order = np.argsort(number, kind="stable")
+            found, first = np.unique(number[order], return_index=True)
+            parts = np.split(order, first[1:])
+            columns = [groups.dictionary.take(pa.array(found)), *[[v[p].tobytes() for p in parts] for v in (h, y, x)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, arrow)], schema=arrow)
+
+    schema = _parse_datatype_string(ddl)
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for group, parts in groupby(blobs, key=lambda r: r[0]):
+            _, h, y, x = zip(*parts)
+            h, y = (np.frombuffer(b"".join(v), t) for v, t in ((h, np.int64), (y, float)))
+            x = np.frombuffer(b"".join(x), float).reshape(len(h), -1)
+            order = np.lexsort((y, h))
+            h, y, x = h[order], y[order], x[order]
+            for row in each(group, h >> 1, y, x, (h & 1) == 1):
+                yield pa.RecordBatch.from_pylist([row], schema=out)
+
+    blobs = packed.mapInArrow(pack_groups, f"unit {kind}, h binary, y binary, x binary")
+    return blobs.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)

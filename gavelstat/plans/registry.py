@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gavelstat.plans import catalog
 from gavelstat.plans import (  # noqa: F401
-    cohort_queries, model_queries, prepare_queries, result_queries, rollup_queries, stump_queries,
+    cohort_queries, group_queries, model_queries, prepare_queries, result_queries, rollup_queries, stump_queries,
 )
 
 
