@@ -113,10 +113,14 @@ def test_a_conversation_over_many_tasks(spark):
     rows = [(7, t, rng.choice(["user", "assistant", "user", "system"]), rng.choice(["a.", "b", f"c{t}."])) for t in range(3000)]
     rows += [(c, 0, "user", "Hi.") for c in range(40)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {r["conv_id"]: tuple(r) for r in cr.summary(cr.damaged(df), df).collect()}
     want = {r[0]: r for r in brute([r for r in rows if r[0] != 7] + [r for r in rows if r[0] == 7])}
-    small = cr.light(cr._plain(cr.damaged(df)))
-    assert cr.stretches(small).filter("conv = 7").count() > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["conv_id"]: tuple(r) for r in cr.summary(cr.damaged(df), df).collect()}
+        small = cr.light(cr._plain(cr.damaged(df)))
+        assert cr.stretches(small).filter("conv = 7").count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == want
 
 
@@ -145,8 +149,8 @@ def test_table_of_another_grammar():
     assert table.follow["pair"] == {"(", "$"} and sum(table.accepts) == 1
     repair = Repair((("s", ("s", "pair")), ("s", ("pair",)), ("pair", ("b", "x", "e")), ("pair", ("b", "e"))), "be")
     tokens = [(t, False, False) for t in "bxebxbe"]
-    # the second pair has no end: an inserted end costs 5, dropping b and x costs 4
-    assert repair.finish(repair.paths(tokens, repair.start)) == (4, "KKKDDKK")
+    # the second pair has no end: renaming its x to e costs least
+    assert repair.finish(repair.paths(tokens, repair.start)) == (1, "KKKKEKK")
 
 
 def test_split_paths_equal_whole_ones():
