@@ -97,44 +97,83 @@ def partial_dependence(tree: Tree, feature: int, grid: np.ndarray) -> np.ndarray
     return result
 
 
-def attributions(tree: Tree, x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values of one tree, rows by features.
+#: Features on the path to a leaf up to which all patterns of decisions are worked out beforehand.
+TABLE_FEATURES = 8
 
-    For each leaf, a feature on its path is either known (the row follows the path or
-    not) or unknown (training proportions decide).  Averaging over all orders of
-    learning features needs, for each number of known features, the summed products of
-    these factors; they are built feature by feature and taken apart again for each one.
-    """
-    result = np.zeros(x.shape)
-    stack = [(0, {})]
+
+@dataclass(frozen=True)
+class Leaf:
+    """The way to a leaf: its features, the range that each must lie in, and the share of training rows that does."""
+
+    features: list[int]
+    ranges: list[tuple[float, float]]
+    shares: np.ndarray
+    value: float
+
+
+def leaves(tree: Tree) -> list[Leaf]:
+    found, stack = [], [(0, {})]
     while stack:
         node, path = stack.pop()
         split = int(tree.feature[node])
-        if split >= 0:
-            follows = x[:, split] <= tree.threshold[node]
-            for child, hit in ((int(tree.left[node]), follows), (int(tree.right[node]), ~follows)):
-                share, seen = path.get(split, (1.0, np.ones(len(x), dtype=bool)))
-                step = tree.cover[child] / tree.cover[node]
-                stack.append((child, {**path, split: (share * step, seen & hit)}))
+        if split < 0:
+            if path and tree.value[node] != 0.0:
+                names = list(path)
+                shares = np.asarray([path[f][0] for f in names])
+                found.append(Leaf(names, [path[f][1:] for f in names], shares, float(tree.value[node])))
             continue
-        if path and tree.value[node] != 0.0:
-            _add_leaf(result, path, float(tree.value[node]))
-    return result
+        share, low, high = path.get(split, (1.0, -np.inf, np.inf))
+        cut, left, right = float(tree.threshold[node]), int(tree.left[node]), int(tree.right[node])
+        for child, ends in ((left, (low, min(high, cut))), (right, (max(low, cut), high))):
+            stack.append((child, {**path, split: (share * tree.cover[child] / tree.cover[node], *ends)}))
+    return found
 
 
-def _add_leaf(result: np.ndarray, path: dict, value: float) -> None:
-    names = list(path)
-    for i in names:
-        others = [path[j] for j in names if j != i]
+def attributions(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """Path-dependent Shapley values of one tree, rows by features.
+
+    What a leaf gives to the features on its path depends on a row only through which of them lie in the leaf's
+    ranges.  This pattern of decisions is a number, and the values of a pattern are looked up: in a table of all
+    patterns for short paths, in one of the patterns that occur for longer ones.
+    """
+    columns = np.ascontiguousarray(x.T)
+    result = np.zeros(columns.shape)
+    for leaf in leaves(tree):
+        d = len(leaf.features)
+        pattern = np.zeros(len(x), dtype=np.int16 if d <= TABLE_FEATURES else np.int64)
+        for place, (f, (low, high)) in enumerate(zip(leaf.features, leaf.ranges)):
+            inside = columns[f] <= high if high < np.inf else ~(columns[f] <= low)
+            if low > -np.inf and high < np.inf:
+                inside &= columns[f] > low
+            pattern += inside * pattern.dtype.type(1 << place)
+        if d <= TABLE_FEATURES:
+            patterns = np.arange(1 << d)
+        else:
+            patterns, pattern = np.unique(pattern, return_inverse=True)
+        seen = (patterns[:, None] >> np.arange(d) & 1).astype(float)
+        for f, values in zip(leaf.features, _pattern_values(seen, leaf.shares, leaf.value).T):
+            result[f] += np.take(values, pattern)
+    return result.T
+
+
+def _pattern_values(seen: np.ndarray, shares: np.ndarray, value: float) -> np.ndarray:
+    """What each pattern gives to each feature.
+
+    A feature of the path is either known (the row is in range or not) or unknown (the training share decides).
+    Averaging over all orders of learning features needs, for each number of known ones, the summed products of these
+    factors over all others.
+    """
+    out = np.empty(seen.shape)
+    for i in range(len(shares)):
+        others = [j for j in range(len(shares)) if j != i]
         # known[k]: sum over the sets of k known others of the product of all factors
-        known = np.zeros((len(others) + 1, len(result)))
+        known = np.zeros((len(others) + 1, len(seen)))
         known[0] = 1.0
-        for size, (share, seen) in enumerate(others, start=1):
-            for k in range(size, 0, -1):
-                known[k] = known[k] * share + known[k - 1] * seen
-            known[0] *= share
-        share, seen = path[i]
-        result[:, i] += value * (seen - share) * (_order_weights(len(others)) @ known)
+        for size, j in enumerate(others, start=1):
+            known[1 : size + 1] = known[1 : size + 1] * shares[j] + known[:size] * seen[:, j]
+            known[0] *= shares[j]
+        out[:, i] = value * (seen[:, i] - shares[i]) * (_order_weights(len(others)) @ known)
+    return out
 
 
 def _order_weights(others: int) -> np.ndarray:
