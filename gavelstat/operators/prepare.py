@@ -129,21 +129,26 @@ def label_encode_new(
     return impute_median(new, holes)
 
 
-def one_hot(df: DataFrame, column: str, max_labels: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, column: str, form: str = "columns", max_labels: int = 1000) -> DataFrame:
     """One 0/1 column per label, named ``column_label``; a row without a label is 0 in all.
 
-    A table can't have very many columns: beyond ``max_labels`` the result is sparse, one map ``column_labels`` from
-    the names that the columns would have to their ones.
+    A table can't have very many columns: more than ``max_labels`` labels are an error.  ``form='map'`` takes any number: one
+    map ``column_labels`` from the names that the columns would have to their ones.
     """
-    rows = df.filter(F.col(column).isNotNull()).select(column).distinct().limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
+    rest = [c for c in df.columns if c != column]
+    if form == "map":
         name = F.concat(F.lit(f"{column}_"), F.col(column).cast("string"))
         ones = F.when(F.col(column).isNotNull(), F.create_map(name, F.lit(1)))
         none = F.create_map().cast("map<string,int>")
-        return df.select(*[c for c in df.columns if c != column], F.coalesce(ones, none).alias(f"{column}_labels"))
+        return df.select(*rest, F.coalesce(ones, none).alias(f"{column}_labels"))
+    if form != "columns":
+        raise ValueError(f"unknown form {form!r}; known are columns and map")
+    rows = df.filter(F.col(column).isNotNull()).select(column).distinct().limit(max_labels + 1).collect()
+    if len(rows) > max_labels:
+        raise ValueError(f"{column} has more than {max_labels} labels; ask for form='map'")
     labels = sorted(r[column] for r in rows)
     dummies = [F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in labels]
-    return df.select(*[c for c in df.columns if c != column], *dummies)
+    return df.select(*rest, *dummies)
 
 
 def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:

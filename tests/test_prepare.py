@@ -126,6 +126,8 @@ def test_small_steps(spark):
     assert "bail_amount" not in x.columns and y.columns == ["k", "bail_amount"]
     hot = P.one_hot(spark.createDataFrame([("a",), ("b",), (None,)], "t string"), "t")
     assert [tuple(r) for r in hot.collect()] == [(1, 0), (0, 1), (0, 0)]
-    sparse = P.one_hot(spark.createDataFrame([("a",), ("b",), (None,)], "t string"), "t", max_labels=1)
+    with pytest.raises(ValueError, match="more than 1 labels"):
+        P.one_hot(spark.createDataFrame([("a",), ("b",), (None,)], "t string"), "t", max_labels=1)
+    sparse = P.one_hot(spark.createDataFrame([("a",), ("b",), (None,)], "t string"), "t", "map")
     assert [r["t_labels"] for r in sparse.collect()] == [{"t_a": 1}, {"t_b": 1}, {}]
     assert P.value_counts(df, "gender").agg(F.sum("n")).first()[0] == 30
