@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from gavelstat.functions.columns import row_hash
 from gavelstat.functions.order_stats import melt_numbers, select_ranks
 from gavelstat.functions.ranks import descending_rank
-from gavelstat.operators.forest import Forest, attributions, partial_dependence
+from gavelstat.operators.forest import Forest, attributions, dependence_sums, partial_dependence
 from gavelstat.schema import TARGET
+from gavelstat.workspace import materialize
 
 BUCKET_ROWS = 65_536
 GRID = 100
+SWEEP_ROWS = 65_536
 GRID_RANGE = (0.05, 0.95)
 NOISE = 1e-9
 LEVELS = {"state": [], "county": ["county_name"], "judge": ["county_name", "judge_name"]}
@@ -26,34 +28,52 @@ LEVELS = {"state": [], "county": ["county_name"], "judge": ["county_name", "judg
 # ---- permutation importance ----
 
 
-def shuffled_neighbours(df: DataFrame, features: Sequence[str], key: Column, seed: int, rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``__donor``: the features of another row picked by a random cycle.
+def permuted(df: DataFrame, features: Sequence[str], key: Column, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds ``__donor``: the features of the row that a random permutation of the whole table assigns.
 
-    Rows are dealt into even buckets by a hash of their key and, within a bucket, put in the
-    order of a second hash; each takes the features of its successor.  Every row
-    is a donor exactly once, with one shuffle and no global order.
+    Two orders of all rows, each by a hash of the key, are matched place by place, so any row can be any other's donor
+    and each is one exactly once.  An order is made by dealing rows to ranges of the hash; a row's place is its
+    place within the range plus the rows of all ranges before, so that no task sorts more than a range.  The number of
+    ranges follows that of the rows; the result depends on keys and seed alone.  ``key`` should tell rows apart: rows
+    that share one stay in a range.
     """
-    buckets = max(1, math.ceil(df.count() / rows))
-    bucket = F.pmod(row_hash(key, seed), F.lit(buckets))
-    placed = df.withColumn("__bucket", bucket).withColumn("__place", row_hash(key, seed + 1)).withColumn("__key", key)
-    order = Window.partitionBy("__bucket").orderBy("__place", "__key")
-    own = F.struct(*features)
-    first = F.first(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    donor = F.coalesce(F.lead(own).over(order), first)
-    return placed.withColumn("__donor", donor).drop("__bucket", "__place", "__key")
+    rows = materialize(df.withColumns({"__key": F.coalesce(key.cast("string"), F.lit("")), "__own": F.struct(*features)}), "permuted")
+    n = rows.count()
+    ranges = max(1, math.ceil(n / bucket_rows))
+    left = _placed(rows, seed, ranges)
+    right = _placed(rows.select("__key", "__own"), seed + 1, ranges)
+    donors = right.select("__place", F.col("__own").alias("__donor"))
+    # rows and donors meet in both cases by place, a number that no two rows of a side share
+    return left.join(donors.hint("shuffle_hash"), "__place").drop("__place", "__key", "__own")
+
+
+def _placed(rows: DataFrame, seed: int, ranges: int) -> DataFrame:
+    """Adds ``__place``, 0 to n - 1, in the order of a hash of the key; equal rows may swap places."""
+    # 60 bits in equal ranges; the top 30 decide, so that the product fits a long
+    number = F.call_function("shiftright", F.col("__hash"), F.lit(30)).cast("bigint") * F.lit(ranges)
+    hashed = rows.withColumn("__hash", row_hash(F.col("__key"), seed))
+    hashed = hashed.withColumn("__range", F.call_function("shiftright", number, F.lit(30)).cast("bigint"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per range, some 65,000 times fewer than rows
+    sizes = hashed.groupBy("__range").agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy("__hash", "__key", "__own"))
+    ranked = hashed.withColumn("__within", within)
+    placed = ranked.join(offsets, "__range").withColumn("__place", F.col("__within") + F.col("__offset") - 1)
+    return placed.drop("__hash", "__range", "__within", "__offset")
 
 
 def permutation_importance(
     predict, df: DataFrame, features: Sequence[str], key: Column, target: str = TARGET, seed: int = 42,
-    rows: int = BUCKET_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Rise of the squared error when one feature's values are shuffled; any model.
 
     ``predict`` maps a frame with the feature columns to one with ``prediction``.  Each row is
-    scored once as it is and once per feature, without a further shuffle.
+    scored once as it is and once per feature.  The features of a row move together from its donor.
     """
     features = list(features)
-    donors = shuffled_neighbours(df, features, key, seed, rows)
+    donors = permuted(df, features, key, seed, bucket_rows)
     variants = [F.struct(F.lit("").alias("Feature"), *[F.col(f).alias(f) for f in features])]
     for changed in features:
         values = [F.col(f"__donor.{f}").alias(f) if f == changed else F.col(f).alias(f) for f in features]
@@ -250,33 +270,52 @@ def linear_dependence(df: DataFrame, features: Sequence[str], coefficients: Sequ
     return table.withColumn("average", F.lit(centre) + slope * (F.col("values") - mean))
 
 
-def brute_dependence(df: DataFrame, forest: Forest, features: Sequence[str], grids: dict[str, list[float]]) -> DataFrame:
-    """Partial dependence by scoring every row at every grid value; for any combination of trees.
+def sweep_dependence(df: DataFrame, forest: Forest, features: Sequence[str], grids: dict[str, list[float]]) -> DataFrame:
+    """Partial dependence over the rows themselves; for any combination of trees.
 
-    Each task keeps one running sum per grid value, so the row-by-grid pairs never leave it.
+    A task walks the trees once per row and feature and adds up over intervals between thresholds; one sum per grid value
+    leaves it.  A summed forest is sent out in parts of bounded size; a median needs all its trees together.
     """
     features = list(features)
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    parts = forest.groups() if forest.combine == "sum" else [forest]
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    total = None
+    for part in parts:
+        sums = _sweep_kernel(df.sparkSession.sparkContext.broadcast(part), features, grids)
+        found = rows.mapInPandas(sums, "feature string, place int, s double, n bigint")
+        found = found.groupBy("feature", "place").agg((F.sum("s") / F.sum("n")).alias("part"))
+        total = found if total is None else total.unionByName(found)
+    values = [(f, i, float(v)) for f, grid in grids.items() for i, v in enumerate(grid)]
+    table = df.sparkSession.createDataFrame(values, "feature string, place int, `values` double")
+    averages = total.groupBy("feature", "place").agg(F.sum("part").alias("average"))
+    return table.join(averages, ["feature", "place"]).select("feature", "values", "average")
+
+
+def _sweep_kernel(shared, features: list[str], grids: dict[str, list[float]]):
+    wanted = {f: np.asarray(grid, float) for f, grid in grids.items()}
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {f: np.zeros(len(grids[f])) for f in grids}
-        count = 0
+        total = {f: np.zeros(len(grid)) for f, grid in wanted.items()}
+        count, held = 0, []
+
+        def add() -> None:
+            x = np.concatenate(held)
+            for f, grid in wanted.items():
+                total[f] += dependence_sums(shared.value, x, features.index(f), grid)
+            held.clear()
+
         for batch in batches:
-            x = batch[features].to_numpy(float)
-            count += len(x)
-            for f, values in grids.items():
-                column = features.index(f)
-                for i, v in enumerate(values):
-                    changed = x.copy()
-                    changed[:, column] = v
-                    total[f][i] += shared.value.predict(changed).sum()
-        rows = [(f, float(v), float(total[f][i]), count) for f in grids for i, v in enumerate(grids[f])]
-        yield pd.DataFrame(rows, columns=["feature", "values", "s", "n"])
-
-    partial = df.select(*[F.col(f).cast("double") for f in features]).mapInPandas(
-        sums, "feature string, `values` double, s double, n bigint"
-    )
-    return partial.groupBy("feature", "values").agg((F.sum("s") / F.sum("n")).alias("average"))
+            held.append(batch[features].to_numpy(float))
+            count += len(batch)
+            if sum(map(len, held)) >= SWEEP_ROWS:  # a walk costs as much for few rows as for many
+                add()
+        if held:
+            add()
+        if count:
+            rows = [(f, i, float(s), count) for f in total for i, s in enumerate(total[f])]
+            yield pd.DataFrame(rows, columns=["feature", "place", "s", "n"])
+
+    return sums
 
 
 def dependence(model, df: DataFrame, features: Sequence[str] | None = None, resolution: int = GRID) -> DataFrame:
@@ -288,7 +327,7 @@ def dependence(model, df: DataFrame, features: Sequence[str] | None = None, reso
     forest = model.as_forest()
     if forest.combine == "sum" and model.model_type != "bagging":
         return forest_dependence(df.sparkSession, forest, model.features, grids)
-    return brute_dependence(df, forest, model.features, grids)
+    return sweep_dependence(df, forest, model.features, grids)
 
 
 # ---- attributions ----

@@ -6,6 +6,7 @@ work on rows of a batch at once; Spark does the partitioning and the merging.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,13 +52,7 @@ class Forest:
     def predict(self, x: np.ndarray) -> np.ndarray:
         each = np.stack([t.value[t.leaf_of(x)] for t in self.trees], axis=1)
         weights = np.asarray(self.weights)
-        if self.combine == "sum":
-            return each @ weights
-        order = np.argsort(each, axis=1, kind="stable")
-        reached = np.cumsum(weights[order], axis=1)
-        first = (reached >= 0.5 * reached[:, -1:]).argmax(axis=1)
-        rows = np.arange(len(x))
-        return each[rows, order[rows, first]]
+        return each @ weights if self.combine == "sum" else weighted_median(each, weights)
 
     def base_value(self) -> float:
         return sum(w * t.mean() for t, w in zip(self.trees, self.weights))
@@ -75,6 +70,71 @@ class Forest:
         return [*parts, Forest(trees, weights, self.combine)] if trees else parts
 
 
+def weighted_median(each: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Along the second axis, the smallest value that half of the weight does not exceed."""
+    order = np.argsort(each, axis=1, kind="stable")
+    reached = np.cumsum(weights[order], axis=1)
+    first = (reached >= 0.5 * reached[:, -1:]).argmax(axis=1)
+    return np.take_along_axis(each, np.take_along_axis(order, first[:, None], axis=1), axis=1)[:, 0]
+
+
+#: Numbers held at once while the medians of a sweep are found.
+SWEEP_CELLS = 1 << 22
+
+
+def reachable(tree: Tree, x: np.ndarray, feature: int, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, float]]:
+    """Rows, first and last interval (end exclusive) and value of the leaves that rows reach as ``feature`` varies.
+
+    Interval i holds the values above cuts[i - 1] and up to cuts[i].  A split on ``feature`` sends all rows both ways
+    and shares out the intervals; any other split shares out the rows.  Each row is met once per leaf it can reach,
+    however many values are asked for.
+    """
+    stack = [(0, np.arange(len(x)), 0, len(cuts) + 1)]
+    while stack:
+        node, rows, low, high = stack.pop()
+        split = tree.feature[node]
+        if split < 0:
+            yield rows, low, high, float(tree.value[node])
+            continue
+        left, right = int(tree.left[node]), int(tree.right[node])
+        if split == feature:
+            middle = int(np.searchsorted(cuts, tree.threshold[node])) + 1
+            ways = ((left, rows, low, min(high, middle)), (right, rows, max(low, middle), high))
+        else:
+            goes_left = x[rows, split] <= tree.threshold[node]
+            ways = ((left, rows[goes_left], low, high), (right, rows[~goes_left], low, high))
+        stack.extend(way for way in ways if len(way[1]) and way[2] < way[3])
+
+
+def dependence_sums(forest: Forest, x: np.ndarray, feature: int, grid: np.ndarray, cells: int = SWEEP_CELLS) -> np.ndarray:
+    """For each grid value, the predictions of all rows with ``feature`` set to it, added up.
+
+    Trees are constant between their thresholds, so the forest is walked once per row and feature, not once per grid value.
+    """
+    at = [t.threshold[t.feature == feature] for t in forest.trees]
+    cuts = np.unique(np.concatenate(at)) if at else np.empty(0)
+    weights = np.asarray(forest.weights, float)
+    sums = np.zeros(len(cuts) + 1)
+    if forest.combine == "sum":
+        for tree, weight in zip(forest.trees, weights):
+            for rows, low, high, value in reachable(tree, x, feature, cuts):
+                sums[low:high] += weight * value * len(rows)
+    else:
+        # only intervals that hold a grid value matter to the medians
+        wanted, place = np.unique(np.searchsorted(cuts, grid), return_inverse=True)
+        step = max(1, cells // max(1, len(weights) * len(wanted)))
+        for start in range(0, len(x), step):
+            part = x[start : start + step]
+            each = np.empty((len(part), len(weights), len(wanted)))
+            for t, tree in enumerate(forest.trees):
+                for rows, low, high, value in reachable(tree, part, feature, cuts):
+                    first, last = np.searchsorted(wanted, [low, high])
+                    each[rows, t, first:last] = value
+            sums[wanted] += weighted_median(each, weights).sum(axis=0)
+        return sums[wanted][place]
+    return sums[np.searchsorted(cuts, grid)]
+
+
 def partial_dependence(tree: Tree, feature: int, grid: np.ndarray) -> np.ndarray:
     """Average prediction with ``feature`` set to each grid value.
 

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gavelstat.functions.columns import row_hash
 from gavelstat.operators import explain as E
 from gavelstat.operators import models as M
-from gavelstat.operators.forest import Forest, attributions, partial_dependence
+from gavelstat.operators.forest import Forest, attributions, dependence_sums, partial_dependence
 from gavelstat.workspace import materialize
 
 FEATURES = ["a", "b", "c"]
@@ -135,12 +136,59 @@ def test_grids(spark):
 
 
 def test_shuffling_is_a_permutation(data):
-    for rows in (10_000, 100):
-        moved = E.shuffled_neighbours(data, FEATURES, F.col("k"), 1, rows).collect()
+    seen = {}
+    for rows, parts in ((10_000, 3), (100, 3), (100, 11)):
+        moved = E.permuted(data.repartition(parts), FEATURES, F.col("k"), 1, rows).collect()
         donors = [tuple(r["__donor"]) for r in moved]
         own = [tuple(r[f] for f in FEATURES) for r in moved]
         assert sorted(donors) == sorted(own) and len(own) == 600
         assert sum(d == x for d, x in zip(donors, own)) < 10
+        seen[rows, parts] = sorted((r["k"], tuple(r["__donor"])) for r in moved)
+    # neither the number of ranges nor the partitioning decides who gives to whom
+    assert len(set(map(str, seen.values()))) == 1
+
+
+def test_donors_come_from_the_whole_table(spark):
+    """Above one range, a row's donor lies in its own range no more often than chance has it."""
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("a"))
+    moved = E.permuted(df, ["a"], F.col("k"), 5, bucket_rows=1000)
+    number = lambda c: F.call_function("shiftright", row_hash(c, 5), F.lit(30)) * 20 / 2**30
+    same = number(F.col("k")).cast("int") == number(F.col("__donor.a").cast("bigint").cast("string")).cast("int")
+    found = moved.agg(F.count("*").alias("n"), F.countDistinct("__donor.a").alias("d"), F.avg(same.cast("int")).alias("s")).first()
+    assert (found.n, found.d) == (20_000, 20_000) and 0.03 < found.s < 0.07
+
+
+def test_permuting_odd_tables(spark):
+    empty = spark.createDataFrame([], "k string, a double")
+    assert E.permuted(empty, ["a"], F.col("k"), 1).count() == 0
+    twice = spark.createDataFrame([("x", 1.0)] * 5 + [(None, None)] * 3 + [("y", 2.0)], "k string, a double")
+    moved = E.permuted(twice, ["a"], F.col("k"), 1, bucket_rows=2).collect()
+    assert sorted(str(r["__donor"].a) for r in moved) == sorted(str(r.a) for r in moved) and len(moved) == 9
+
+
+def test_dependence_by_sweep_equals_scoring_all_rows(data):
+    """Summed and median forests, grid values on thresholds, missing values, features that no tree uses."""
+    x = data.select(*FEATURES).toPandas().to_numpy()
+    x = np.column_stack([x, np.zeros(len(x))])
+    x[3, 1] = np.nan
+    for kind, params in (("bagging", {"n_estimators": 7}), ("ada_boost", {"n_estimators": 9})):
+        forest = M.train(data, FEATURES, kind, params=params, key=F.col("k")).forest
+        cuts = np.concatenate([t.threshold[t.feature == 0] for t in forest.trees])
+        for feature in range(4):
+            grid = np.unique(np.concatenate([np.linspace(-3, 3, 17), cuts[:9]]))
+            for cells in (64, 1 << 22):
+                got = dependence_sums(forest, x, feature, grid, cells)
+                for g, s in zip(grid, got):
+                    changed = x.copy()
+                    changed[:, feature] = g
+                    assert s == pytest.approx(forest.predict(changed).sum())
+    parts = E.sweep_dependence(data.repartition(5), forest, FEATURES, {"b": [-1.0, 0.5]}).collect()
+    for row in parts:
+        changed = x[:, :3].copy()
+        changed[3, 1] = 0.0
+        changed[:, 1] = row["values"]
+        assert row["average"] == pytest.approx(forest.predict(changed).mean())
+    assert E.sweep_dependence(data.limit(0), forest, FEATURES, {"b": [0.0]}).count() == 0
 
 
 def test_permutation_importance_finds_the_strong_feature(data):
