@@ -21,6 +21,7 @@ from gavelstat.plans.model_queries import ASSOCIATION, WITH_PARTS, _forest, _spl
 from gavelstat.plans.training import persist_run, run_training
 from gavelstat.schema import FEATURES, TARGET
 from gavelstat.sources import outputs as O
+from gavelstat.sources.run_log import BATCH, RUN, RunLog
 from gavelstat.sources.tpch_star import table
 from gavelstat.workspace import drop_at_exit, materialize, new_path
 
@@ -67,13 +68,23 @@ def result_row(spark, sf_dir):
     RESULT_ROWS,
 )
 def append_result(spark, sf_dir):
-    """Result rows appended in two commits and read back."""
+    """Result rows added in two batches, one of them tried twice, and read back."""
     rows = materialize(_county_results(spark, sf_dir), "results")
-    path = new_path(spark, "results")
     early = F.col("model_target") < "NATION_2"
-    O.append_rows(rows.filter(early), path)
-    O.append_rows(rows.filter(~early), path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return _logged(spark, {"early": rows.filter(early), "late": rows.filter(~early)})
+
+
+def _logged(spark, batches):
+    """Batches through a run log; the first is stopped before its commit once, the last is repeated afterwards."""
+    log = RunLog(spark, new_path(spark, "log"))
+    first, *_, last = batches
+    attempt = log.begin("run", first)
+    batches[first].write.parquet(f"{log.path}/data/{attempt}")
+    for name, rows in [*batches.items(), (last, batches[last])]:
+        log.write(rows, "run", name)
+    log.clean()
+    log.compact(least=len(batches))
+    return log.read().drop(RUN, BATCH)
 
 
 @query(
@@ -144,12 +155,10 @@ def compare_r2(spark, sf_dir):
 
 @query("run_history", RUNS)
 def run_history(spark, sf_dir):
-    """The same comparison over a run table filled by two appends."""
+    """The same comparison over a run log filled by two batches, one of them tried twice."""
     runs = materialize(_runs(spark, sf_dir), "runs")
-    path = new_path(spark, "runs")
-    O.append_rows(runs.filter("run_id < '4'"), path)
-    O.append_rows(runs.filter("run_id >= '4'"), path)
-    return S.compare_runs(spark.read.schema(runs.schema).parquet(path)).drop("run_ts")
+    logged = _logged(spark, {"early": runs.filter("run_id < '4'"), "late": runs.filter("run_id >= '4'")})
+    return S.compare_runs(logged).drop("run_ts")
 
 
 @query(
