@@ -121,7 +121,7 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM d WINDOW same AS (PARTITION BY t)""",
 )
 def op10(spark, sf_dir):
-    return digest_index.temporary_index(spark).add(table(spark, sf_dir, "documents"))
+    return digest_index.temporary_index(spark).add(table(spark, sf_dir, "documents"), steps=2)
 
 
 @query("op11_token_links")
