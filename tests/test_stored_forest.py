@@ -57,3 +57,25 @@ def test_trees_grown_together_are_the_trees_grown_alone():
             alone = C.grow(block, rules, key)[0].arrays()
             for a, b in zip(alone, arrays):
                 np.testing.assert_allclose(a, b[end - size : end])
+
+
+def test_chunks_of_a_groups_forest_add_up_to_the_whole(data, monkeypatch):
+    from gavelstat.operators import grouped as G
+
+    grouped = data.withColumn("g", F.when(F.col("a") < 2, "small").otherwise("large"))
+    fits = F.pmod(F.crc32("k"), F.lit(4)) > 0
+
+    def run():
+        found = G.train_trees_per_group(grouped, "g", FEATURES, "random_forest", F.col("k"), {"n_estimators": 9}, fits=fits)
+        return {r["g"]: r for r in found.collect()}
+
+    whole = run()
+    monkeypatch.setattr(G, "CHUNK_WORK", 1 << 10)
+    parts = run()
+    for g, r in whole.items():
+        mine = grouped.filter(F.col("g") == g)
+        model = M.train(mine.filter(fits), FEATURES, "random_forest", params={"n_estimators": 9}, key=F.col("k"))
+        judged = M.evaluate(model.predict(mine.filter(~fits))).first()
+        for found in (r, parts[g]):
+            assert found["mse"] == pytest.approx(judged["mse"]) and found["n_test"] == judged["n"]
+            assert found["importances"] == pytest.approx(model.importances())
