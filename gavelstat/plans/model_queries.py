@@ -352,7 +352,7 @@ def grade_counties(spark, sf_dir):
 
 def _forest(spark, sf_dir, model_type="gradient_boosting"):
     train_rows, test_rows, features = _split(spark, sf_dir)
-    return M.train(train_rows, features, model_type), test_rows
+    return M.train(train_rows, features, model_type, key=F.col(KEY)), test_rows
 
 
 @query("feature_importance")

@@ -86,3 +86,34 @@ def test_leaves_of_rows_of_any_layout():
     assert np.array_equal(C.leaves_of(nodes, block.x), leaf)
     assert np.array_equal(C.leaves_of(nodes, block.x[:, ::2]), leaf[::2])
     assert block.take(np.arange(0, 2000, 3)).x.flags["C_CONTIGUOUS"]
+
+
+def test_features_of_few_bins_are_counted_together(monkeypatch):
+    rng = np.random.default_rng(9)
+    widths = [7, 3, C.JOINT_CELLS + 1, 2, 40, 11, 5]
+    x = np.stack([rng.integers(0, w, 900) for w in widths]).astype(np.uint16)
+    y, w, rows = rng.normal(size=900), rng.integers(0, 4, 900).astype(float), np.flatnonzero(rng.random(900) < 0.3)
+    for block in (C.Block(x, y, widths), C.Block(x, y, widths, w=w)):
+        for some in (None, rows):
+            plain, together = block.histogram(some), block.counted_together().histogram(some)
+            np.testing.assert_allclose(together, plain, atol=1e-9)
+            part = slice(None) if some is None else some
+            expected = np.bincount(x[4, part], (y if block.w is None else w * y)[part], 40)
+            np.testing.assert_allclose(plain[2][block.offsets()[4] :][:40], expected, atol=1e-9)
+    groups = C.joints(x, widths)
+    assert sorted(f for g in groups for f in g.features) == list(range(len(widths)))
+    assert all(np.prod(g.widths) <= C.JOINT_CELLS for g in groups if len(g.features) > 1)
+
+    passes, count = [], np.bincount
+    monkeypatch.setattr(C.np, "bincount", lambda *args, **options: passes.append(1) or count(*args, **options))
+    list(C.boost(C.Block(x[[0, 1, 3, 6]], y, [7, 3, 2, 5]), np.arange(900, dtype=np.uint64), C.Rules(depth=3), 1, 0.1, 1.0, 1))
+    # both of all rows once, their sums again in the round, both for the smaller side of three splits; no pass per feature
+    assert len(passes) <= 2 + 1 + 3 * 2
+
+
+def test_nodes_whose_targets_agree_stay_leaves():
+    x = np.repeat(np.arange(4), 5)[None].astype(np.uint16)
+    y = np.repeat([1.0, 1.0, 2.0, 2.0], 5)
+    nodes, leaf = C.grow(C.Block(x, y, [4]), C.Rules(depth=4), C.tree_key(1, 0))
+    assert np.asarray(nodes.feature).tolist() == [0, -1, -1] and np.asarray(nodes.cut)[0] == 1
+    assert leaf.tolist() == [1] * 10 + [2] * 10
