@@ -356,13 +356,23 @@ def shap_values(df: DataFrame, forest: Forest, features: Sequence[str], keep: Se
 def _attribution_kernel(shared, features: list[str]):
     columns = [f"__phi_{f}" for f in features]
 
+    def applied(batches: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(batches, ignore_index=True)
+        x, phi = (np.asfortranarray(rows[c].to_numpy(float)) for c in (features, columns))
+        for tree, weight in zip(shared.value.trees, shared.value.weights):
+            phi = phi + weight * attributions(tree, x)
+        return rows.assign(**dict(zip(columns, phi.T)))
+
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count = [], 0
         for batch in batches:
-            x, phi = batch[features].to_numpy(float), batch[columns].to_numpy(float)
-            for tree, weight in zip(shared.value.trees, shared.value.weights):
-                phi = phi + weight * attributions(tree, x)
-            batch[columns] = phi
-            yield batch
+            held.append(batch)
+            count += len(batch)
+            if count >= SWEEP_ROWS:  # what a tree costs for itself is spread over many rows
+                yield applied(held)
+                held, count = [], 0
+        if count:
+            yield applied(held)
 
     return add
 

@@ -1,12 +1,15 @@
 import itertools
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gavelstat.functions.columns import row_hash
 from gavelstat.operators import explain as E
+from gavelstat.operators import forest as forest_module
 from gavelstat.operators import models as M
 from gavelstat.operators.forest import Forest, attributions, dependence_sums, partial_dependence
 from gavelstat.workspace import materialize
@@ -213,3 +216,26 @@ def test_association_profile(spark):
     sums = got.groupby(["level", "county_name", "judge_name"], dropna=False)["Importance"].sum()
     np.testing.assert_allclose(sums, 1.0)
     assert len(sums) == 1 + 2 + 8
+
+
+def test_rows_on_the_same_sides_of_all_splits_share_their_attributions(boosted, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(5_000, 3))
+    for tree in boosted.as_forest().trees[1:]:
+        looked_at = []
+        by_row = forest_module._attributions
+        monkeypatch.setattr(forest_module, "_attributions", lambda t, rows: looked_at.append(len(rows)) or by_row(t, rows))
+        np.testing.assert_array_equal(attributions(tree, x), by_row(tree, x))
+        monkeypatch.undo()
+        assert sum(looked_at) <= 1 << (tree.feature >= 0).sum()
+
+
+def test_leaves_of_a_tree_are_looked_up_once_for_many_batches(boosted, monkeypatch):
+    forest, calls, leaves = boosted.as_forest(), [], forest_module.leaves
+    monkeypatch.setattr(forest_module, "leaves", lambda tree: calls.append(1) or leaves(tree))
+    x = np.random.default_rng(7).normal(size=(600, 3))
+    wide = pd.DataFrame(x, columns=FEATURES).assign(k=[f"k{i}" for i in range(600)], **{f"__phi_{f}": 0.0 for f in FEATURES})
+    kernel = E._attribution_kernel(SimpleNamespace(value=forest), FEATURES)
+    found = pd.concat(kernel(iter([wide.iloc[i : i + 100] for i in range(0, 600, 100)])))
+    assert len(calls) == len(forest.trees) and list(found.columns) == list(wide.columns) and found["k"].tolist() == wide["k"].tolist()
+    expected = sum(w * attributions(t, x) for t, w in zip(forest.trees, forest.weights))
+    np.testing.assert_allclose(found[[f"__phi_{f}" for f in FEATURES]].to_numpy(), expected, atol=1e-12)
