@@ -36,8 +36,8 @@ from gavelstat.llm.bpe import PATTERN, byte_symbols
 from gavelstat.llm.frames import bound_batches, map_batches, schema_of, steps
 from gavelstat.workspace import materialize
 
-#: Text bytes of a block.
-BLOCK_BYTES = 4 << 20
+#: Text bytes of a block; a task of the JVM holds several rows of blocks at once, in arrays that are larger than they.
+BLOCK_BYTES = 1 << 20
 #: Pieces that a worker remembers in each of two generations, and the longest one worth it.
 MEMO_PIECES, MEMO_LENGTH = 1 << 15, 64
 #: A link as one integer: the A id, then the B id.
@@ -194,7 +194,12 @@ BLOCK_DDL = f"block bigint, docs array<struct<{_DOC}>>, codes array<bigint>, num
 def _block(number: int, docs: list[dict], found: list[bytes]) -> dict:
     codes, places, numbers = np.unique(np.frombuffer(b"".join(found), "<i8"), return_inverse=True, return_counts=True)
     return {"block": [number], "docs": [docs], "codes": [codes], "numbers": [numbers],
-            "places": [places.astype("<u4").tobytes()]}
+            "places": [places.astype(_place_kind(len(codes))).tobytes()]}
+
+
+def _place_kind(codes: int) -> str:
+    """Two bytes for a place where they are enough."""
+    return "<u2" if codes <= 1 << 16 else "<u4"
 
 
 def blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -248,7 +253,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def summary(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Sizes of every document's alignment, and how its links stand in the whole corpus."""
-    stored = materialize(blocks(docs, a_path, b_path, block_bytes), "links")
+    stored = materialize(blocks(docs, a_path, b_path, block_bytes), "links", large_rows=True)
     known = stored.select("block", F.explode("codes").alias("code")).join(pair_counts(stored), "code")
     own = stored.select("block", "docs", "places")
     # the numbers of a block's links, in the order of their codes, then its documents
@@ -280,7 +285,7 @@ def _numbers(n: pa.Array, best: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _rated(docs: list[dict], places: bytes, n: np.ndarray, best: np.ndarray) -> list[dict]:
     """Documents of a block with the corpus numbers of their links; ``places`` tells each link's place in ``n``."""
-    at = np.frombuffer(places, "<u4")
+    at = np.frombuffer(places, _place_kind(len(n)))
     ends = np.cumsum([0, *[d["n_links"] for d in docs]])
     sums = [np.diff(np.concatenate(([0], np.cumsum(v[at])))[ends]).tolist() for v in (n, best)]
     return [d | {"n_best": b, "count_sum": c} for d, c, b in zip(docs, *sums)]

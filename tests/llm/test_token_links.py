@@ -4,9 +4,11 @@ import bisect
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -14,6 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gavelstat.llm import token_links as tl
+from gavelstat.workspace import materialize
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 A = Tokenizer.from_file(A_PATH)
@@ -122,3 +125,26 @@ def test_pieces_asked_for_together_equal_single_ones():
     for p in pieces:
         found = together[p]
         assert ("" if found is None else found[0]) == whole(p)[0]
+
+
+def test_tables_of_blocks_are_written_in_small_groups(spark, monkeypatch):
+    """A writer collected 100 rows of blocks, and a reader took all of a file's into its vectors."""
+    stored = []
+    monkeypatch.setattr(tl, "materialize", lambda *a, **b: stored.append(b) or materialize(*a, **b))
+    tl.summary(spark.createDataFrame([(1, "the cat")], "doc_id bigint, text string"), A_PATH, B_PATH)
+    assert stored == [{"large_rows": True}]
+    rows = spark.createDataFrame([(i, random.Random(i).randbytes(1_000_000)) for i in range(40)], "id int, places binary")
+    large = materialize(rows.coalesce(1), "large", **stored[0])
+    (file,) = Path(large.stored_at.removeprefix("file:")).glob("*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_rows == 40 and max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 16
+
+
+@pytest.mark.parametrize("codes", [1, 1 << 16, (1 << 16) + 1])
+def test_places_take_the_bytes_that_they_need(codes):
+    links = np.concatenate([np.arange(codes), [codes - 1]]).astype("<i8")
+    docs = [{"n_links": codes}, {"n_links": 1}]
+    block = tl._block(0, docs, [links.tobytes()])
+    assert len(block["places"][0]) == (codes + 1) * (2 if codes <= 1 << 16 else 4)
+    first, second = tl._rated(docs, block["places"][0], np.arange(codes), np.ones(codes, np.int64))
+    assert (first["count_sum"], second["count_sum"], second["n_best"]) == (codes * (codes - 1) // 2, codes - 1, 1)
