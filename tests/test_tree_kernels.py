@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gavelstat.operators import tree_cells as C
+from gavelstat.operators import tree_growth as T
 
 
 def _block(n=4000, weighted=False, seed=1):
@@ -117,3 +119,31 @@ def test_nodes_whose_targets_agree_stay_leaves():
     nodes, leaf = C.grow(C.Block(x, y, [4]), C.Rules(depth=4), C.tree_key(1, 0))
     assert np.asarray(nodes.feature).tolist() == [0, -1, -1] and np.asarray(nodes.cut)[0] == 1
     assert leaf.tolist() == [1] * 10 + [2] * 10
+
+
+@pytest.mark.parametrize("plan", [
+    T.ForestPlan(5, C.Rules(min_leaf=2, tried=2)),
+    T.ForestPlan(3, C.Rules(depth=9, min_leaf=4, min_split=10, random_cuts=True)),
+    T.ForestPlan(4, C.Rules(), share=0.5, draws=1.0),
+    T.ForestPlan(3, C.Rules(depth=4, tried=3, random_cuts=True), draws=0.7),
+])
+def test_jobs_of_the_jvm_grow_the_trees_of_the_numpy_kernels(spark, monkeypatch, plan):
+    """Units grew in Python, an operation of numpy at a time."""
+    monkeypatch.setattr(T, "in_units", None)
+    rng, names = np.random.default_rng(4), ["a", "b", "c", "d"]
+    x = np.stack([rng.integers(0, w, 3000) for w in (2, 40, 700, 5)]).astype(float)
+    y = np.sin(x[1] / 7) + (x[2] > 120) * x[0] + rng.normal(0, 0.1, 3000)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(np.column_stack([x.T, y]))], "k int, a double, b double, c double, d double, y double")
+    bins = T.find_bins(df, names)
+    rows = T.binned(df.repartition(3), bins, "y", F.col("k").cast("string"))
+    forest = T.fit_forest(rows, bins, plan)
+    h, y, x = T._arrays(rows.select("h", "y", "x").toArrow().combine_chunks().to_batches()[0])
+    order, mean = np.lexsort((y, h)), float(y.mean())
+    for number, tree in enumerate(forest.trees):
+        block = T._block(x[:, order], y[order], mean, bins, plan, number, h[order])
+        nodes, _ = C.grow(block, plan.rules, C.tree_key(plan.seed, number))
+        want = bins.tree(*T._named(nodes, plan.allowed(number, 4), mean).arrays())
+        for name in ("feature", "threshold", "left", "right"):
+            np.testing.assert_array_equal(getattr(tree, name), getattr(want, name))
+        np.testing.assert_allclose(tree.value, want.value, atol=1e-9)
+        np.testing.assert_allclose(tree.cover, want.cover)
