@@ -147,3 +147,20 @@ def test_jobs_of_the_jvm_grow_the_trees_of_the_numpy_kernels(spark, monkeypatch,
             np.testing.assert_array_equal(getattr(tree, name), getattr(want, name))
         np.testing.assert_allclose(tree.value, want.value, atol=1e-9)
         np.testing.assert_allclose(tree.cover, want.cover)
+
+
+@pytest.mark.parametrize("rules,share", [(C.Rules(depth=4, min_leaf=4), 1.0), (C.Rules(leaves=9, strict=True), 1.0), (C.Rules(depth=5, tried=2), 0.7)])
+def test_rounds_over_kept_blocks_are_those_of_one_task(spark, monkeypatch, rules, share):
+    """Every pass counted cells in Python and dealt them out to be added up."""
+    rng, names = np.random.default_rng(5), ["a", "b", "c"]
+    x = np.stack([rng.integers(0, w, 2000) for w in (3, 60, 400)]).astype(float)
+    y = np.cos(x[1] / 9) * x[0] + (x[2] > 90) + rng.normal(0, 0.1, 2000)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(np.column_stack([x.T, y]))], "k int, a double, b double, c double, y double")
+    bins = T.find_bins(df, names)
+    rows, plan = T.binned(df.repartition(3), bins, "y", F.col("k").cast("string")), T.BoostPlan(7, rules, 0.3, share)
+    one = T.fit_boosted(rows, bins, plan)
+    for name, value in (("count_cells", None), ("BOOST_ROWS", 200), ("BLOCK_ROWS", 100), ("ROUND_CUT", 2), ("FEW_TASKS", 1)):
+        monkeypatch.setattr(T, name, value)
+    kept = T.fit_boosted(rows, bins, plan)
+    assert len(kept.trees) == 8 and all(len(t.feature) > 3 for t in kept.trees[1:])
+    np.testing.assert_allclose(kept.predict(x.T), one.predict(x.T), atol=1e-9)
