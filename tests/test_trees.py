@@ -208,3 +208,18 @@ def test_one_row_and_equal_targets(spark):
         for model_type in ("random_forest", "gradient_boosting", "hist_gradient_boosting", "extra_trees"):
             params = {"n_estimators": 2} if model_type != "hist_gradient_boosting" else {"max_iter": 2}
             assert {r["prediction"] for r in M.train(df, ["a"], model_type, params=params).predict(df).collect()} == {5.0}
+
+
+def test_options_that_ask_for_the_same_trees_share_a_fit(data, monkeypatch):
+    """The root and the logarithm of 15 features are 3, and a table above UNIT_ROWS was binned for each fit again."""
+    fits = M._shared_fits("gradient_boosting", [{**M.GOOD_PARAMS["gradient_boosting"], **o} for o in M.candidates("gradient_boosting")], 15)
+    assert len(fits) == 36 and sorted(i for _, served in fits for i in served) == list(range(216))
+    assert len(M._shared_fits("ridge", M.candidates("ridge"), 15)) == 3
+    options = [{"n_estimators": n, "max_depth": 3, "subsample": 0.7, "max_features": m} for n in (2, 4) for m in ("sqrt", "log2")]
+    _, scores = M.search(data, FEATURES, "gradient_boosting", options, key=F.col("k"))
+    binned, plain = [], T.binned
+    monkeypatch.setattr(T, "binned", lambda *a: (binned.append(a), plain(*a))[1])
+    monkeypatch.setattr(T, "UNIT_ROWS", 200)
+    _, again = M.search(data, FEATURES, "gradient_boosting", options, key=F.col("k"))
+    assert [s for _, s in again] == pytest.approx([s for _, s in scores], abs=1e-9)
+    assert len(binned) == 1 and len({s for _, s in scores}) == 2
